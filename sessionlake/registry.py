@@ -1,0 +1,135 @@
+"""Registered queries: every operator applied to the given tables, whole."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionlake.operators import ledger, pricing
+from sessionlake.sources import tables
+from sessionlake.sources.pricing import overlay_pricing
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(build: Callable[[SparkSession, str], DataFrame]):
+    QUERIES[build.__name__] = build
+    return build
+
+
+def usd(column: str, alias: str | None = None):
+    """Amounts are compared to eight digits, below every rate granularity in use."""
+    return F.round(F.col(column), 8).alias(alias or column)
+
+
+def priced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pricing.price_requests(tables.event_requests(spark, sf_dir), tables.event_pricing(spark))
+
+
+def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduplicated and priced request ledger of the events table."""
+    requests = ledger.dedup_requests(tables.event_requests(spark, sf_dir))
+    return pricing.price_requests(requests, tables.event_pricing(spark))
+
+
+def attributed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.attribute_ownership(ledger_events(spark, sf_dir), tables.event_sessions(spark, sf_dir))
+
+
+@query
+def price_requests(spark, sf_dir):
+    return priced_events(spark, sf_dir).select(
+        F.col("byte_offset").alias("event_id"), "model", "speed", "pricing_model", "priced", "missing", usd("usd")
+    )
+
+
+@query
+def cost_buckets(spark, sf_dir):
+    buckets = pricing.cost_buckets(priced_events(spark, sf_dir), ["model"])
+    return buckets.select("model", "category", F.round("rate", 12).alias("rate"), "tokens", "above")
+
+
+@query
+def cost_buckets_by_node(spark, sf_dir):
+    buckets = pricing.cost_buckets(priced_events(spark, sf_dir))
+    total = buckets.groupBy("node_id", "category").agg(
+        F.sum(F.col("rate") * F.col("tokens")).alias("usd"), F.sum("tokens").alias("tokens"), F.count("*").alias("buckets")
+    )
+    return total.select("node_id", "category", usd("usd"), "tokens", "buckets")
+
+
+@query
+def standin_prices(spark, sf_dir):
+    """Stand-in rates over an overlaid price table; models are made of event types."""
+    floor = tables.event_pricing(spark)
+    overlay = spark.createDataFrame(
+        [("gpt-5-view", 7e-6, 21e-6), ("openai/gpt-5-click", 1e-6, 3e-6), ("click", 9e-6, 9e-6)],
+        "model string, input double, output double",
+    )
+    for name in [name for name in floor.columns if name not in overlay.columns]:
+        overlay = overlay.withColumn(name, F.lit(None).cast("double"))
+    prices = overlay_pricing(floor, overlay.select(*floor.columns))
+    kind = F.col("request_id")
+    suffix = (
+        F.when(F.col("byte_offset") % 4 == 0, "-sol").when(F.col("byte_offset") % 4 == 1, "-terra").when(F.col("byte_offset") % 4 == 2, "-luna").otherwise("")
+    )
+    requests = tables.event_requests(spark, sf_dir).withColumns(
+        {
+            "agent": F.lit("codex"),
+            "model": F.when(kind.isin("view", "click"), F.concat(F.lit("gpt-5-"), kind, suffix)).otherwise(kind),
+            "speed": F.lit(""),
+            "includes_cache_read": F.lit(True),
+            "write_5m": F.lit(0).cast("bigint"),
+            "write_1h": F.lit(0).cast("bigint"),
+        }
+    )
+    return pricing.price_requests(requests, prices, "purchase").select(
+        F.col("byte_offset").alias("event_id"), "model", "pricing_model", "exact", "estimated", usd("usd")
+    )
+
+
+@query
+def dedup_requests(spark, sf_dir):
+    return ledger.dedup_requests(tables.event_requests(spark, sf_dir)).select(
+        F.col("node_id").alias("user_id"), "message_id", "request_id", F.col("byte_offset").alias("event_id"), "input", "is_sidechain",
+        F.col("ledger_at.byte_offset").alias("first_event_id"),
+    )
+
+
+@query
+def owned_cost(spark, sf_dir):
+    return (
+        attributed_events(spark, sf_dir)
+        .groupBy(F.col("node_id").alias("user_id"))
+        .agg(
+            F.sum("usd").alias("gross_usd"),
+            F.sum(F.when(F.col("is_duplicate"), 0.0).otherwise(F.col("usd"))).alias("owned_usd"),
+            F.count_if("is_duplicate").alias("replayed"),
+            F.sum(F.when(F.col("is_duplicate"), 0).otherwise(F.col("input"))).alias("owned_input"),
+        )
+        .select("user_id", usd("gross_usd"), usd("owned_usd"), "replayed", "owned_input")
+    )
+
+
+@query
+def replay_report(spark, sf_dir):
+    return ledger.replay_report(attributed_events(spark, sf_dir)).select(
+        F.col("node_id").alias("user_id"), "owner_id", usd("usd"), "requests"
+    )
+
+
+@query
+def usage_by_model(spark, sf_dir):
+    rows = ledger.usage_by_model(ledger_events(spark, sf_dir), attributed_events(spark, sf_dir))
+    return rows.select(
+        F.col("node_id").alias("user_id"), "model", "uncached_input", "output", "write_5m", "write_1h", "cache_read",
+        "total", "requests", usd("usd"), usd("replayed_usd"), usd("owned_usd"),
+    )
+
+
+@query
+def costliest_model(spark, sf_dir):
+    rows = ledger.costliest_model(ledger.usage_by_model(ledger_events(spark, sf_dir)))
+    return rows.select(F.col("node_id").alias("user_id"), "model", "models", usd("usd"), "label")
