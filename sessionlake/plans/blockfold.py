@@ -35,14 +35,14 @@ def fold_blocks(df: DataFrame, by: list[str], order: str, block, step: Step, dec
     key_schema = ", ".join(f"`{name}` {dict(blocked.dtypes)[name]}" for name in key)
     order_type = dict(df.dtypes)[order]
 
-    def states(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def states(keys, pdf):
         pdf = pdf.sort_values(order, kind="stable")
         used = pdf["__carry"].iloc[0]
         used = None if pd.isna(used) else used
         _, state = step(pdf, used)
         return pd.DataFrame([[*keys, used, state]], columns=[*key, "used", "state"])
 
-    def decide(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def decide(keys, pdf):
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         used = pdf["__carry"].iloc[0]
         decisions, _ = step(pdf, None if pd.isna(used) else used)

@@ -77,11 +77,12 @@ def running(
         *[_over(spec.kind, F.col(f"__b_{name}"), before).alias(f"__c_{name}") for name, spec in specs.items()],
     )
     inside = W.partitionBy(*key).orderBy(*order)
-    joined = blocked.join(carries, key)
-    out = joined
+    values = []
     for name, spec in specs.items():
         frame = inside.rowsBetween(W.unboundedPreceding, 0 if spec.inclusive else -1)
-        out = out.withColumn(name, _combine(spec.kind, F.col(f"__c_{name}"), _over(spec.kind, spec.expr, frame)))
+        local = _over(spec.kind, spec.expr, frame)
+        values.append(_combine(spec.kind, F.col(f"__c_{name}"), local).alias(name))
+    out = blocked.join(carries, key).select("*", *values)
     return out.drop(BLOCK, *[f"__c_{name}" for name in specs])
 
 

@@ -205,13 +205,18 @@ def harness_flag(text: Column) -> Column:
     return F.coalesce(flagged, F.lit(False))
 
 
-def claude_summaries(records: DataFrame) -> DataFrame:
+def claude_lines(records: DataFrame) -> DataFrame:
+    """Narrow per-line table for accounting and summaries: no line text, no content blocks."""
+    shown = records.withColumns({"prompt": user_text(), "replies": assistant_text_blocks()})
+    return shown.drop("line", "content", "blocks", "notice", "compact")
+
+
+def claude_summaries(lines: DataFrame) -> DataFrame:
     """Own-file summary of every transcript: identity, times, title, message count, error flag."""
     described = F.col("type").isin("user", "assistant", "ai-title")
     at = F.col("byte_offset")
     identity = F.when(described, non_empty(F.when(F.col("agent_id") != "", F.col("agent_id")).otherwise(F.col("session_id"))))
-    rows = records.withColumn("prompt", user_text()).withColumn("replies", assistant_text_blocks())
-    rows = rows.withColumn("prompt_title", F.when(F.col("prompt") != "", non_empty(T.clean_title(F.col("prompt")))))
+    rows = lines.withColumn("prompt_title", F.when(F.col("prompt") != "", non_empty(T.clean_title(F.col("prompt")))))
     grouped = rows.groupBy("agent", "path").agg(
         first_known(F.col("ts"), at).alias("started_at"),
         first_known(F.struct("ts_raw"), at, F.col("ts").isNotNull()).getField("ts_raw").alias("started_raw"),
