@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.operators import ledger, pricing
-from sessionlake.sources import tables
+from sessionlake.functions import text
+from sessionlake.functions.matching import compile_matcher
+from sessionlake.operators import ledger, manifest, pricing, search, sessions, timeline, tree
+from sessionlake.plans.staging import stage
+from sessionlake.sources import claude, codex, scan, tables
 from sessionlake.sources.pricing import overlay_pricing
+from sessionlake.sources.records import USAGE_FIELDS, distinct_models
+from sessionlake.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -133,3 +138,556 @@ def usage_by_model(spark, sf_dir):
 def costliest_model(spark, sf_dir):
     rows = ledger.costliest_model(ledger.usage_by_model(ledger_events(spark, sf_dir)))
     return rows.select(F.col("node_id").alias("user_id"), "model", "models", usd("usd"), "label")
+
+
+# --- listing -----------------------------------------------------------------------------------
+
+
+def _user_roots(spark, sf_dir):
+    """Users as rolled-up root sessions: owned tokens and cost of the events ledger."""
+    attributed = attributed_events(spark, sf_dir)
+    own = attributed.where("NOT is_duplicate").groupBy("agent", "node_id").agg(
+        F.sum("usd").alias("total_usd"),
+        F.sum(F.col("input") + F.col("output") + F.col("write_5m") + F.col("write_1h") + F.col("cache_read")).alias("total_total"),
+        F.bool_or("estimated").alias("total_estimated"),
+        F.array_sort(F.collect_set(F.when(F.col("missing"), F.col("model")))).alias("total_missing"),
+    )
+    sessions_of = tables.event_sessions(spark, sf_dir)
+    user = F.col("node_id").cast("bigint")
+    described = sessions_of.withColumns(
+        {
+            "project": F.concat(F.lit("p"), (user % 4).cast("string")),
+            "cwd": F.concat(F.lit("/work/p"), (user % 4).cast("string"), F.lit("/u"), F.col("node_id")),
+            "title": F.concat(F.lit("User "), F.col("node_id")),
+        }
+    )
+    return described.join(own, ["agent", "node_id"], "left").withColumns(
+        {
+            "total_usd": F.coalesce("total_usd", F.lit(0.0)),
+            "total_total": F.coalesce("total_total", F.lit(0)),
+            "total_estimated": F.coalesce("total_estimated", F.lit(False)),
+            "total_missing": F.coalesce("total_missing", F.array().cast("array<string>")),
+        }
+    )
+
+
+@query
+def list_sessions(spark, sf_dir):
+    """Top twenty by owned tokens below one directory, second page."""
+    roots = sessions.filter_sessions(_user_roots(spark, sf_dir), agent="claude", cwd="/work/p1", until="2030-01-01")
+    paged = sessions.page(roots, sessions.sort_sessions(roots, "tokens", "desc"), 20, 5)
+    return paged.select("session_id", "project", "messages", F.col("total_total").alias("tokens"), usd("total_usd", "usd"))
+
+
+@query
+def list_page_info(spark, sf_dir):
+    roots = sessions.filter_sessions(_user_roots(spark, sf_dir), project="p2", since="2024-01-29T12:00:00Z")
+    return sessions.page_info(roots, 10, 3)
+
+
+@query
+def list_fuzzy(spark, sf_dir):
+    """Fuzzy match over customers as sessions."""
+    rows = tables.table(spark, sf_dir, "customer").select(
+        F.lit("claude").alias("agent"), F.col("c_mktsegment").alias("project"), F.col("c_name").alias("title"), "c_custkey"
+    )
+    return sessions.filter_sessions(rows, query="Mach 01").select("c_custkey", "project", "title")
+
+
+@query
+def sort_display(spark, sf_dir):
+    """Display order by project, descending, as an explicit rank."""
+    roots = _user_roots(spark, sf_dir).withColumn("path", F.col("node_id"))
+    ordered = roots.orderBy(*sessions.sort_display("project", descending=True)).limit(25)
+    return ordered.select("project", "path", "messages")
+
+
+@query
+def corpus_summary(spark, sf_dir):
+    row = tree.corpus_summary(_user_roots(spark, sf_dir))
+    return row.select("sessions", "projects", usd("usd"), "estimated", F.array_join("missing_pricing", ",").alias("missing_pricing"))
+
+
+# --- trees -------------------------------------------------------------------------------------
+
+
+@query
+def tree_closure(spark, sf_dir):
+    _, edges = tables.place_tree(spark, sf_dir)
+    return tree.closure(edges).select("ancestor", "descendant", "depth")
+
+
+def _places(spark, sf_dir):
+    nodes, edges = tables.place_tree(spark, sf_dir)
+    return nodes, edges, tree.closure(edges)
+
+
+@query
+def tree_rollup(spark, sf_dir):
+    nodes, _, pairs = _places(spark, sf_dir)
+    rolled = tree.rollup(nodes, tables.order_totals(spark, sf_dir), pairs)
+    return rolled.select(
+        "node_id", "self_total", "desc_total", "total_total", F.round("total_usd", 2).alias("total_usd"), F.round("desc_usd", 2).alias("desc_usd"),
+        "subagents", "total_estimated", F.array_join("total_missing", ",").alias("missing"), "updated_at",
+    )
+
+
+@query
+def tree_preorder(spark, sf_dir):
+    """Depth and position in the pre-order listing of every tree."""
+    nodes, _, pairs = _places(spark, sf_dir)
+    listed = tree.preorder(nodes, pairs)
+    return listed.select("node_id", "root_id", "depth", F.array_join(F.transform("sort_path", lambda key: key["node_id"]), "/").alias("sort_path"))
+
+
+@query
+def cost_tree(spark, sf_dir):
+    nodes, _, pairs = _places(spark, sf_dir)
+    rolled = tree.rollup(nodes, tables.order_totals(spark, sf_dir), pairs)
+    return tree.cost_tree(rolled, pairs, "r1").select(
+        "node_id", "depth", "title", "self_uncached_input", "total_uncached_input", F.round("own_usd", 2).alias("own_usd"), F.round("total_usd", 2).alias("total_usd")
+    )
+
+
+@query
+def canonical_ref(spark, sf_dir):
+    nodes, _, pairs = _places(spark, sf_dir)
+    spaced = nodes.withColumn("session_id", F.regexp_replace("title", "#", " ~*&/"))
+    return tree.with_refs(spaced, pairs).select("node_id", "root_id", "depth", "ref")
+
+
+@query
+def addressable(spark, sf_dir):
+    """Trees in which some reference occurs twice are rejected: customer names repeat modulo 997."""
+    nodes, _, pairs = _places(spark, sf_dir)
+    key = F.regexp_extract("node_id", r"(\d+)$", 1).cast("bigint")
+    folded = nodes.withColumn("session_id", F.when(F.startswith("node_id", F.lit("c")), F.concat(F.lit("c"), key % 997)).otherwise(F.col("node_id")))
+    _, rejected = tree.addressable(tree.with_refs(folded, pairs))
+    return rejected.select("path", "code", "message")
+
+
+@query
+def resolve_selector(spark, sf_dir):
+    """Selectors made from customer names: references, ids, prefixes and misses."""
+    nodes, _, pairs = _places(spark, sf_dir)
+    named = tree.with_refs(nodes.withColumn("session_id", F.col("title")), pairs)
+    name = F.col("c_name")
+    selectors = tables.table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 4 == 0, name)
+        .when(F.col("c_custkey") % 4 == 1, F.substring(name, 1, 17))
+        .when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("/lake/c"), F.col("c_custkey"), F.lit(".jsonl")))
+        .otherwise(F.concat(F.lit("no-"), name))
+        .alias("selector")
+    )
+    found = tree.resolve_selector(selectors, named)
+    return found.groupBy("selector", "status").agg(F.max("candidates").alias("candidates"), F.min("ref").alias("first_ref"))
+
+
+@query
+def subagent_refs(spark, sf_dir):
+    nodes, edges, pairs = _places(spark, sf_dir)
+    return tree.subagent_refs(tree.with_refs(nodes, pairs), edges).select("ref", "child_ref")
+
+
+@query
+def sibling_titles(spark, sf_dir):
+    """Customers of a nation with colliding titles take the first prompt line no sibling shares."""
+    nodes, edges = tables.place_tree(spark, sf_dir)
+    customers = tables.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey")).alias("node_id"),
+        F.concat_ws("\n", F.col("c_mktsegment"), F.concat(F.lit("balance "), F.floor(F.col("c_acctbal") / 10).cast("string")), F.col("c_name")).alias("prompt"),
+    )
+    worded = nodes.join(customers, "node_id").withColumns(
+        {"title": F.substring_index("prompt", "\n", 1), "title_prompt": F.col("prompt")}
+    ).drop("prompt")
+    return tree.sibling_titles(worded, edges).select("node_id", "title")
+
+
+# --- ordered operators -------------------------------------------------------------------------
+
+
+def _day_block():
+    """Blocks of the events table in time order."""
+    return F.floor(F.col("seq") / 86_400_000_000)
+
+
+def _event_rows(spark, sf_dir):
+    return tables.table(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), "event_type", tables.event_number().alias("k"),
+        F.round(F.col("value") * 1000).cast("bigint").alias("tokens"),
+    )
+
+
+@query
+def pair_tool_result(spark, sf_dir):
+    """Every purchase with the latest earlier click of the same user and parity of k."""
+    rows = _event_rows(spark, sf_dir).withColumn("call_id", F.col("k") % 2)
+    paired = timeline.pair_tool_result(
+        rows.where("event_type = 'click'"), rows.where("event_type = 'purchase'"), ["user_id", "call_id"], ["event_id", "tokens"], _day_block()
+    )
+    return paired.select("event_id", F.col("call.event_id").alias("click_id"), F.col("call.tokens").alias("click_tokens"))
+
+
+@query
+def prompt_context(spark, sf_dir):
+    rows = _event_rows(spark, sf_dir).select(
+        "user_id", "event_id", "seq", (F.col("event_type") == "view").alias("is_prompt"),
+        F.when(F.col("event_type").isin("click", "purchase"), F.col("tokens")).alias("request_context"),
+    )
+    found = timeline.prompt_context(rows, ["user_id"], _day_block())
+    return found.where("is_prompt").select("event_id", "context")
+
+
+@query
+def request_target(spark, sf_dir):
+    rows = _event_rows(spark, sf_dir).select(
+        "user_id", "seq", (F.col("event_type") == "signup").alias("is_token"), F.col("event_type").isin("click", "purchase").alias("is_eligible")
+    )
+    return timeline.request_target(rows, ["user_id"], _day_block()).select("user_id", "seq", "target")
+
+
+@query
+def event_index(spark, sf_dir):
+    rows = _event_rows(spark, sf_dir).withColumns({"agent": F.lit("claude"), "node_id": F.col("user_id")})
+    return timeline.event_index(rows, _day_block()).where("event_type = 'error'").select("event_id", "event_index")
+
+
+@query
+def mirror_dedup(spark, sf_dir):
+    """Replies and prompts repeat within sixteen kept rows; signups are token records."""
+    kind = F.col("event_type")
+    rows = _event_rows(spark, sf_dir).select(
+        "user_id", "seq",
+        F.when(kind == "signup", "token").when(kind.isin("click", "purchase"), "target").otherwise("other").alias("role"),
+        F.when(kind.isin("click", "view"), F.concat_ws("-", kind, (F.col("k") % 9).cast("string"))).otherwise("").alias("key"),
+        (F.col("k") % 2 == 0).alias("billed"),
+    )
+    week = F.floor(F.col("seq") / (7 * 86_400_000_000))
+    return timeline.mirror_dedup(rows, ["user_id"], week).select("user_id", "seq", "slot")
+
+
+@query
+def replay_prefix(spark, sf_dir):
+    """Users whose first two deltas fall on one day replay that day."""
+    rows = tables.table(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
+    path = F.col("user_id").cast("string")
+    counters = lambda value: F.struct(*[value.alias(name) for name in codex.TOKEN_FIELDS])
+    k = tables.event_number()
+    tokens = rows.select(
+        F.lit("codex").alias("agent"), path.alias("path"), F.col("event_id").alias("byte_offset"), F.date_format("ts", "yyyy-MM-dd").alias("second"),
+        F.when(k % 4 != 0, counters(F.col("event_id"))).alias("total"), F.when(F.col("event_type") == "click", counters(k)).alias("delta"),
+    )
+    forks = tokens.select("agent", "path").distinct().withColumns(
+        {"thread_source": F.lit("subagent"), "forked_from_id": F.lit("")}
+    ).where("CAST(path AS BIGINT) % 2 = 0")
+    found = codex.replay_prefix(tokens, forks)
+    return found.select(F.col("path").alias("user_id"), "replay_second", "replay_end", F.col("baseline.input_tokens").alias("baseline"))
+
+
+# --- whole transcripts derived from the tables ---------------------------------------------------
+
+
+@query
+def transcript_ledger(spark, sf_dir):
+    """Lines of the first format parsed, deduplicated and priced."""
+    records = claude.claude_records(tables.event_transcripts(spark, sf_dir))
+    requests = ledger.dedup_requests(claude.claude_requests(records))
+    priced = pricing.price_requests(requests, tables.event_pricing(spark))
+    return priced.select(
+        F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).alias("user_id"), "message_id", "request_id",
+        (F.col("byte_offset") / tables.LINE_STRIDE).cast("bigint").alias("event_id"), "input", "output", "write_5m", "write_1h", "cache_read", usd("usd"),
+    )
+
+
+@query
+def transcript_summary(spark, sf_dir):
+    lines = claude.claude_lines(claude.claude_records(tables.event_transcripts(spark, sf_dir)))
+    return claude.claude_summaries(lines).select(
+        "session_id", "title", "project", "messages", "has_error", "started_raw", "updated_raw"
+    )
+
+
+@query
+def transcript_models(spark, sf_dir):
+    """Billed models of every file in first-seen order."""
+    records = claude.claude_records(tables.event_transcripts(spark, sf_dir))
+    requests = ledger.dedup_requests(claude.claude_requests(records))
+    models = distinct_models(requests, ["agent", "node_id"], F.col("ledger_at"))
+    return models.select(F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).alias("user_id"), F.array_join("models", ",").alias("models"))
+
+
+@query
+def transcript_events(spark, sf_dir):
+    """Timelines of the first format: blocks, paired results, head usage and index."""
+    records = claude.claude_records(tables.event_transcripts(spark, sf_dir))
+    events = timeline.event_index(timeline.claude_events(records))
+    return events.select(
+        F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).alias("user_id"), "event_index", "kind", "text", "tool_input", "summary", "duration_ms",
+        F.col("usage.input").alias("usage_input"), F.col("usage.output").alias("usage_output"),
+    )
+
+
+def _rollouts(spark, sf_dir):
+    records = codex.codex_records(stage(tables.event_rollouts(spark, sf_dir), "rollouts"))
+    meta = codex.file_meta(records)
+    return records, meta, codex.line_state(records, meta)
+
+
+@query
+def rollout_ledger(spark, sf_dir):
+    """Deltas against cumulative totals: clean partitions, remaining totals, and per-model sums."""
+    _, _, state = _rollouts(spark, sf_dir)
+    return codex.codex_ledger(state).select(
+        F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).alias("user_id"), "is_aggregate", "model", "input", "cache_read", "output"
+    )
+
+
+@query
+def current_model(spark, sf_dir):
+    """Model in force at every token record, by the accounting and the timeline rule."""
+    _, _, state = _rollouts(spark, sf_dir)
+    return state.where(codex.is_token_count()).select(
+        (F.col("byte_offset") / tables.LINE_STRIDE - 1).cast("bigint").alias("event_id"), "model", "line_model", "advances"
+    )
+
+
+@query
+def rollout_events(spark, sf_dir):
+    """Timelines of the second format: kinds, usage targets, explicit usage rows and index."""
+    records, meta, state = _rollouts(spark, sf_dir)
+    summaries = stage(codex.codex_summaries(records, state, meta), "summaries")
+    requests = codex.codex_ledger(state).select(
+        "agent", "node_id", "byte_offset", "is_aggregate", F.struct(*USAGE_FIELDS).alias("usage_struct")
+    )
+    events = timeline.event_index(timeline.codex_events(records, state, meta, requests, summaries))
+    return events.select(
+        F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).alias("user_id"), "event_index", "kind", "text", "usage_aggregate", F.col("usage.input").alias("usage_input"),
+    )
+
+
+@query
+def skip_malformed(spark, sf_dir):
+    """Document lines, every third cut short: the diagnostics of the unreadable ones."""
+    line = F.to_json(F.struct(F.col("lang").alias("type"), F.col("text")))
+    raw = tables.table(spark, sf_dir, "documents").select(
+        F.lit("claude").alias("agent"), F.lit("/lake/d.jsonl").alias("path"), F.col("doc_id").alias("byte_offset"),
+        F.when(F.col("doc_id") % 3 == 0, F.substring(line, 1, 20)).otherwise(line).alias("line"),
+    )
+    _, bad = scan.skip_malformed(raw)
+    return bad.select(F.col("byte_offset").alias("doc_id"), "code")
+
+
+@query
+def manifest_diff(spark, sf_dir):
+    """Two file manifests over the parts: created, changed and removed files."""
+    part = tables.table(spark, sf_dir, "part")
+    path = F.concat(F.lit("/lake/p"), F.col("p_partkey"), F.lit(".jsonl"))
+    rows = part.select(F.lit("claude").alias("agent"), path.alias("path"), F.col("p_size").cast("bigint").alias("size_bytes"), F.lit(0).cast("timestamp").alias("modified_at"), "p_partkey")
+    old = manifest.file_manifest(rows.where("p_partkey % 7 <> 0"), "v1")
+    grown = F.when(F.col("p_partkey") % 5 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))
+    new = manifest.file_manifest(rows.where("p_partkey % 11 <> 0").withColumn("size_bytes", grown), "v1")
+    return manifest.diff_manifest(new, old).select("path", "change")
+
+
+@query
+def removed_sessions(spark, sf_dir):
+    """Users seen in the first half of the events who are missing among the purchases."""
+    events = tables.table(spark, sf_dir, "events")
+    old = events.select(F.col("user_id").alias("node_id")).distinct()
+    new = events.where("event_type = 'purchase' AND value > 30").select(F.col("user_id").alias("node_id")).distinct()
+    return manifest.removed_sessions(old, new, ["node_id"])
+
+
+@query
+def usage_per_window(spark, sf_dir):
+    """Tokens per day and model (an extension; event-time windows)."""
+    rows = tables.table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), F.round(F.col("value") * 1000).cast("bigint").alias("input"), tables.event_number().alias("output"),
+    )
+    return windows.usage_per_window(rows, "1 day").select(
+        F.date_format("window.start", "yyyy-MM-dd").alias("day"), "model", "requests", "input", "output"
+    )
+
+
+# --- search ------------------------------------------------------------------------------------
+
+
+def _search(spark, sf_dir, pattern, **options):
+    nodes = tables.conversation_nodes(spark, sf_dir)
+    none = nodes.select("agent", F.col("node_id").alias("ancestor"), F.col("node_id").alias("descendant")).where("false")
+    hits = search.search_hits(nodes, tables.conversation_events(spark, sf_dir), none, pattern, **options)
+    return hits.select("ref", "event_index", "kind", "field", "range_start", "range_end", "matches", "snippet")
+
+
+@query
+def search_literal(spark, sf_dir):
+    """Case-insensitive literal over all turns, with ranges, counts and snippets."""
+    return _search(spark, sf_dir, "the", around=20)
+
+
+@query
+def search_literal_cs(spark, sf_dir):
+    return _search(spark, sf_dir, "The", case_sensitive=True, around=10, kinds=["user", "tool-call"])
+
+
+@query
+def search_regex(spark, sf_dir):
+    return _search(spark, sf_dir, "[a-z]+ing|err?", regex=True, around=12, project="project-2")
+
+
+@query
+def search_page(spark, sf_dir):
+    """Second page of ordered hits."""
+    nodes = tables.conversation_nodes(spark, sf_dir)
+    none = nodes.select("agent", F.col("node_id").alias("ancestor"), F.col("node_id").alias("descendant")).where("false")
+    hits = search.search_hits(nodes, tables.conversation_events(spark, sf_dir), none, "on", around=5)
+    return sessions.page(hits, search.search_order(), 15, 10).select("ref", "event_index", "field", "range_start", "matches")
+
+
+@query
+def search_counts(spark, sf_dir):
+    nodes = tables.conversation_nodes(spark, sf_dir)
+    none = nodes.select("agent", F.col("node_id").alias("ancestor"), F.col("node_id").alias("descendant")).where("false")
+    hits = search.search_hits(nodes, tables.conversation_events(spark, sf_dir), none, "would")
+    return search.search_counts(nodes, hits)
+
+
+@query
+def search_documents(spark, sf_dir):
+    """Regex search over whole documents."""
+    matcher = compile_matcher(r"\b[a-z]{3}ing\b", regex=True)
+    rows = tables.document_texts(spark, sf_dir).where(matcher.hits(F.col("text")))
+    start, end = matcher.span(F.col("text"))
+    return rows.select("doc_id", start.alias("range_start"), end.alias("range_end"), matcher.count(F.col("text")).alias("matches"))
+
+
+@query
+def byte_budget_page(spark, sf_dir):
+    """Leading turns whose texts fit one response budget."""
+    rows = tables.table(spark, sf_dir, "conversations")
+    size = F.octet_length("text")
+    kept = sessions.byte_budget_page(rows, [F.col("conv_id"), F.col("turn")], budget=60_000, size=size)
+    return kept.select("conv_id", "turn")
+
+
+@query
+def event_rows(spark, sf_dir):
+    """Searchable projection and bounded texts of every turn."""
+    shown = sessions.event_text(tables.conversation_events(spark, sf_dir))
+    return shown.select(
+        "node_id", "event_index", text.bounded_text(F.col("shown_text"), 60).alias("text"), text.bounded_text(F.col("shown_input"), 60).alias("input"),
+        text.is_cut(F.col("shown_text"), 60).alias("cut"),
+    )
+
+
+@query
+def token_scan(spark, sf_dir):
+    """Documents and pages that contain a word pair of the benchmark texts."""
+    names = tables.table(spark, sf_dir, "benchmark").select(
+        F.regexp_extract("text", r"^\W*(\w+ \w+ \w+)", 1).alias("name")
+    )
+    texts = tables.document_texts(spark, sf_dir).select(F.col("doc_id").alias("text_id"), "text")
+    return search.token_scan(texts, search.scan_tokens(names))
+
+
+# --- texts -------------------------------------------------------------------------------------
+
+
+@query
+def clean_text(spark, sf_dir):
+    """Documents wrapped in harness tags, cleaned."""
+    noisy = F.concat(
+        F.lit("<system-reminder>be kind\n</system-reminder>\n"), F.replace("text", F.lit(". "), F.lit(".  \n\n\n")),
+        F.when(F.col("doc_id") % 2 == 0, F.lit("\nwarmup\nx <permission-preamble> tail")).otherwise(F.lit("\n<local-command-caveat>c</local-command-caveat>")),
+    )
+    return tables.document_texts(spark, sf_dir).select("doc_id", F.md5(text.clean_timeline_text(noisy)).alias("digest"))
+
+
+@query
+def clean_title(spark, sf_dir):
+    marked = F.concat(F.lit("\n  ## <b>"), F.col("text"))
+    return tables.document_texts(spark, sf_dir).select("doc_id", text.clean_title(marked).alias("title"))
+
+
+@query
+def elide_encrypted(spark, sf_dir):
+    """Every document carries a token of its own length between its words."""
+    size = (F.col("doc_id") % 90).cast("int")
+    token = F.concat(F.lit("gAAAA"), F.repeat(F.lit("xY"), size), F.lit("=="))
+    laced = F.concat(F.replace("text", F.lit(" the "), F.concat(F.lit(" "), token, F.lit(" "))), F.lit(" x"), token, F.lit(" "), token)
+    return tables.document_texts(spark, sf_dir).select("doc_id", F.md5(text.elide_encrypted(laced)).alias("digest"))
+
+
+@query
+def bounded_text(spark, sf_dir):
+    return tables.document_texts(spark, sf_dir).select(
+        "doc_id", text.bounded_text(F.col("text"), 101).alias("bounded"), text.is_cut(F.col("text"), 101).alias("cut")
+    )
+
+
+@query
+def terminal_safe(spark, sf_dir):
+    return tables.table(spark, sf_dir, "pages").select("page_id", F.md5(text.terminal_safe(F.col("html"))).alias("digest"))
+
+
+@query
+def basename(spark, sf_dir):
+    return tables.table(spark, sf_dir, "pages").select("page_id", text.basename(F.col("url")).alias("name"))
+
+
+@query
+def short_model(spark, sf_dir):
+    name = F.concat(F.lit("claude-"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")), F.when(F.col("p_size") % 2 == 0, "-4-8").otherwise("-sol"))
+    return tables.table(spark, sf_dir, "part").select("p_partkey", text.short_model(name).alias("model"))
+
+
+@query
+def prompt_texts(spark, sf_dir):
+    """Documents behind preambles: the remaining task and its title."""
+    doc = F.col("doc_id") % 4
+    wrapped = (
+        F.when(doc == 0, F.concat(F.lit("<instructions>be brief</instructions>\n# AGENTS.md instructions for /work\n"), "text"))
+        .when(doc == 1, F.concat(F.lit("You are an autonomous implementation agent.\nrules\n---\n# Task\n## Brief - "), "text"))
+        .when(doc == 2, F.concat(F.lit("<environment_context>\n"), "text"))
+        .otherwise(F.concat(F.lit("Requirements\n\n"), "text"))
+    )
+    return tables.document_texts(spark, sf_dir).select(
+        "doc_id", F.md5(text.prompt_task_text(wrapped)).alias("task_digest"), text.task_title(wrapped).alias("title")
+    )
+
+
+@query
+def patch_counts(spark, sf_dir):
+    """Parts as patches: files touched and lines added and removed."""
+    patch = F.concat(
+        F.lit("*** Begin Patch\n*** Update File: src/"), F.col("p_brand"), F.lit(".py\n+++ b\n"), F.repeat(F.lit("+x\n"), F.col("p_size")),
+        F.lit("--- a\n"), F.repeat(F.lit("-y\n"), (F.col("p_partkey") % 9).cast("int")), F.lit("*** Add File: lib/"), F.col("p_type"), F.lit("\n*** Delete File: "), F.col("p_brand"), F.lit(".py\n"),
+    )
+    added, removed = text.patch_line_counts(patch)
+    return tables.table(spark, sf_dir, "part").select(
+        "p_partkey", added.alias("added"), removed.alias("removed"), F.array_join(text.patch_files(patch), ",").alias("files")
+    )
+
+
+@query
+def nested_tool(spark, sf_dir):
+    """Parts as wrapper scripts: calls outside strings and comments."""
+    script = F.concat(
+        F.lit("const a = 'tools.hidden(1)'; // tools.note(2)\nawait tools."), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("({x: 1});"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("/* tools.c(3) */ await tools.second(`tools.q(`)")).otherwise(F.lit("")),
+    )
+    calls = text.nested_tools(script)
+    return tables.table(spark, sf_dir, "part").select("p_partkey", F.size(calls).alias("calls"), F.when(F.size(calls) == 1, calls[0]).alias("tool"))
+
+
+@query
+def result_summary(spark, sf_dir):
+    """Order remarks as shell results: header split, exit code and summary."""
+    output = F.when(
+        F.col("o_orderkey") % 3 == 0,
+        F.concat(F.lit("Process exited with code "), (F.col("o_orderkey") % 5).cast("string"), F.lit("\nWall time 1.5 seconds\nOutput:\n"), F.col("o_orderpriority")),
+    ).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Script completed\nWall time 2 seconds\nFinal output:\n\n "), F.col("o_orderstatus"))).otherwise(F.col("o_orderpriority"))
+    body, code = text.split_exec_preamble(output)
+    return tables.table(spark, sf_dir, "orders").select(
+        "o_orderkey", body.alias("body"), code.alias("code"), text.exit_summary(output, "Process exited with code ").alias("summary")
+    )

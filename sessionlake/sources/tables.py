@@ -64,3 +64,195 @@ def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, F.lit("fast")).otherwise(F.lit("")).alias("speed"),
         F.lit(None).cast("double").alias("cost_usd"),
     )
+
+
+def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as addressable root nodes."""
+    ids = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"))
+    node = F.col("conv_id").cast("string")
+    stamp = F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("conv_id") % 13) * 3600)
+    return ids.select(
+        F.lit(CLAUDE).alias("agent"), node.alias("node_id"), node.alias("root_id"), node.alias("session_id"),
+        F.concat(F.lit(f"{CLAUDE}:"), node).alias("ref"), node.alias("path"),
+        F.concat(F.lit("project-"), (F.col("conv_id") % 5).cast("string")).alias("project"),
+        F.concat(F.lit("/work/project-"), (F.col("conv_id") % 5).cast("string")).alias("cwd"),
+        F.concat(F.lit("Conversation "), node).alias("title"),
+        stamp.alias("updated_at"), F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_raw"), "messages",
+    )
+
+
+def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as timeline events: users and assistants speak, system turns are tool calls."""
+    role = F.col("role")
+    kind = F.when(role == "user", "user").when(role == "assistant", "assistant-text").otherwise("tool-call")
+    is_tool = role == "system"
+    none = F.lit("")
+    return table(spark, sf_dir, "conversations").select(
+        F.lit(CLAUDE).alias("agent"), F.col("conv_id").cast("string").alias("node_id"), F.col("turn").alias("seq"),
+        F.col("turn").alias("event_index"), none.alias("ts_raw"), kind.alias("kind"),
+        F.when(is_tool, none).otherwise(F.col("text")).alias("text"),
+        F.when(is_tool, "Note").otherwise(none).alias("tool_name"),
+        F.when(is_tool, F.substring("text", 1, 40)).otherwise(none).alias("tool_input"),
+        F.when(is_tool, F.col("text")).otherwise(none).alias("detail_input"),
+        none.alias("detail_diff"), none.alias("detail_output"), none.alias("summary"),
+    )
+
+
+# Byte offsets of derived lines leave room for their blocks.
+LINE_STRIDE = 1 << 16
+_STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+
+
+def event_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table written as transcript lines of the first format, one file per user.
+
+    view: a prompt; click: a tool call; purchase: a tool result; signup: a reply; error: a failed reply.
+    """
+    k = event_number()
+    kind = F.col("event_type")
+    key = k.cast("string")
+    label = lambda word: F.concat(F.lit(word), key)
+    block = F.struct(
+        F.when(kind == "click", "tool_use").when(kind == "purchase", "tool_result").otherwise("text").alias("type"),
+        F.when(kind == "signup", label("Reply ")).when(kind == "error", label("Failed ")).alias("text"),
+        F.when(kind == "click", key).alias("id"),
+        F.when(kind == "click", F.when(k % 2 == 0, "Bash").otherwise("Probe")).alias("name"),
+        F.when(kind == "click", F.struct(label("run ").alias("command"))).alias("input"),
+        F.when(kind == "purchase", key).alias("tool_use_id"),
+        F.when(kind == "purchase", F.when(k % 3 == 0, label("Exit code ")).otherwise(label("fine  "))).alias("content"),
+    )
+    speaks = kind.isin("click", "signup", "error")
+    usage = F.struct(
+        F.round(F.col("value") * 1000).cast("bigint").alias("input_tokens"), (k * 10).alias("output_tokens"),
+        (k * 1000).alias("cache_read_input_tokens"),
+        F.struct((k * 100).alias("ephemeral_5m_input_tokens"), (k % 5).alias("ephemeral_1h_input_tokens")).alias("cache_creation"),
+    )
+    spoken = F.struct(key.alias("id"), kind.alias("model"), F.array(block).alias("content"), usage.alias("usage"))
+    common = [
+        F.date_format("ts", _STAMP).alias("timestamp"), F.col("user_id").cast("string").alias("sessionId"),
+        F.concat(F.lit("/work/u"), F.col("user_id").cast("string")).alias("cwd"), kind.alias("requestId"),
+    ]
+    said = F.to_json(F.struct(
+        F.lit("assistant").alias("type"), *common, (k % 7 == 0).alias("isSidechain"), F.when(k % 3 == 0, "fast").alias("speed"),
+        F.when(kind == "error", "overloaded").alias("error"), spoken.alias("message"),
+    ))
+    asked = F.to_json(F.struct(F.lit("user").alias("type"), *common, F.struct(label("Prompt ").alias("content")).alias("message")))
+    answered = F.to_json(F.struct(F.lit("user").alias("type"), *common, F.struct(F.array(block).alias("content")).alias("message")))
+    line = F.when(speaks, said).when(kind == "view", asked).otherwise(answered)
+    return table(spark, sf_dir, "events").select(
+        F.lit(CLAUDE).alias("agent"),
+        F.concat(F.lit("/lake/"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("path"),
+        (F.col("event_id") * LINE_STRIDE).alias("byte_offset"),
+        F.octet_length(line).alias("byte_length"),
+        line.alias("line"),
+    )
+
+
+def event_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table written as transcript lines of the second format, one file per user.
+
+    view: a turn context; purchase: a prompt; signup: a reply; error: a tool call; click: a token record.
+    Cumulative totals agree with the deltas for a third of the users, are larger for a third, and
+    are missing for the rest.
+    """
+    from sessionlake.plans.running import Running, running
+    from sessionlake.sources.scan import CODEX
+
+    k = event_number()
+    tokens = F.round(F.col("value") * 1000).cast("bigint")
+    base = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "ts", "event_type", k.alias("k"), tokens.alias("inp"), F.least(k, tokens).alias("cached"),
+    )
+    counted = (F.col("event_type") == "click") & (F.col("k") % 5 != 0)
+    sums = {
+        f"sum_{name}": Running("sum", F.when(counted, F.col(value)).otherwise(0))
+        for name, value in {"inp": "inp", "cached": "cached", "out": "k"}.items()
+    }
+    rows = running(base, ["user_id"], [F.col("event_id")], F.floor(F.col("event_id") / (1 << 16)), sums)
+    extra = F.when(F.col("user_id") % 3 == 1, 1000).otherwise(0)
+    counters = lambda inp, cached, out: F.struct(
+        inp.alias("input_tokens"), cached.alias("cached_input_tokens"), out.alias("output_tokens"),
+        F.lit(0).alias("reasoning_output_tokens"), (inp + out).alias("total_tokens"),
+    )
+    total = F.when(F.col("user_id") % 3 != 2, counters(F.col("sum_inp") + extra, F.col("sum_cached"), F.col("sum_out")))
+    info = F.struct(total.alias("total_token_usage"), counters(F.col("inp"), F.col("cached"), F.col("k")).alias("last_token_usage"))
+    kind = F.col("event_type")
+    number = F.col("event_id").cast("string")
+    words = lambda word: F.concat(F.lit(word), number)
+    payload = F.struct(
+        F.when(kind == "purchase", "user_message").when(kind == "click", "token_count").when(kind == "signup", "message").when(kind == "error", "function_call").alias("type"),
+        F.when(kind == "view", F.when(F.col("k") % 10 == 0, "").otherwise(F.concat(F.lit("model-"), (F.col("k") % 3).cast("string")))).alias("model"),
+        F.when(kind == "purchase", words("ask ")).alias("message"),
+        F.when(kind == "signup", "assistant").alias("role"),
+        F.when(kind == "signup", F.array(F.struct(words("answer ").alias("text")))).alias("content"),
+        F.when(kind == "error", number).alias("call_id"),
+        F.when(kind == "error", "probe").alias("name"),
+        F.when(kind == "error", words("arg ")).alias("arguments"),
+        F.when(kind == "click", info).alias("info"),
+    )
+    line_type = F.when(kind == "view", "turn_context").when(kind.isin("purchase", "click"), "event_msg").otherwise("response_item")
+    record = F.struct(F.date_format("ts", _STAMP).alias("timestamp"), line_type.alias("type"), payload.alias("payload"))
+    body = rows.select("user_id", ((F.col("event_id") + 1) * LINE_STRIDE).alias("byte_offset"), F.to_json(record).alias("line"))
+    metas = base.groupBy("user_id").agg(F.min("ts").alias("ts")).select(
+        "user_id",
+        F.lit(0).cast("bigint").alias("byte_offset"),
+        F.to_json(F.struct(
+            F.date_format("ts", _STAMP).alias("timestamp"), F.lit("session_meta").alias("type"),
+            F.struct(F.col("user_id").cast("string").alias("id"), F.lit("/work/pond").alias("cwd")).alias("payload"),
+        )).alias("line"),
+    )
+    return body.unionByName(metas).select(
+        F.lit(CODEX).alias("agent"),
+        F.concat(F.lit("/lake/"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("path"),
+        "byte_offset",
+        F.octet_length("line").alias("byte_length"),
+        "line",
+    )
+
+
+def place_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Region, nation and customer or supplier rows as a three-level tree; nations are containers."""
+    region = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("r"), F.col("r_regionkey")).alias("node_id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("title"), F.lit(False).alias("is_group"),
+    )
+    nation = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey")), F.concat(F.lit("r"), F.col("n_regionkey")), "n_name", F.lit(True),
+    )
+    customer = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey")), F.concat(F.lit("n"), F.col("c_nationkey")), "c_name", F.lit(False),
+    )
+    supplier = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), F.col("s_suppkey")), F.concat(F.lit("n"), F.col("s_nationkey")), "s_name", F.lit(False),
+    )
+    rows = region.union(nation).union(customer).union(supplier)
+    starts = order_starts(spark, sf_dir)
+    nodes = rows.join(starts, "node_id", "left").select(
+        F.lit(CLAUDE).alias("agent"), "node_id", F.concat(F.lit("/lake/"), F.col("node_id"), F.lit(".jsonl")).alias("path"),
+        F.col("node_id").alias("session_id"), "title", "is_group", F.lit("").alias("agent_path"), F.lit("").alias("title_prompt"),
+        F.lit("lake").alias("project"), "started_at", "updated_at", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_raw"),
+    )
+    edges = rows.where("parent IS NOT NULL").select(F.lit(CLAUDE).alias("agent"), "parent", F.col("node_id").alias("child"))
+    return nodes, edges
+
+
+def order_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey")).alias("node_id")).agg(
+        F.min("o_orderdate").alias("started_at"), F.max("o_orderdate").alias("updated_at")
+    )
+
+
+def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own totals of the customer nodes: order counts as tokens, order values as cost."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    return table(spark, sf_dir, "orders").groupBy(F.lit(CLAUDE).alias("agent"), F.concat(F.lit("c"), F.col("o_custkey")).alias("node_id")).agg(
+        F.sum(cents).alias("uncached_input"), F.count("*").alias("output"), F.lit(0).cast("bigint").alias("cache_write"),
+        F.count_if(F.col("o_orderstatus") == "F").alias("cache_read"), (F.sum(cents) + F.count("*")).alias("total"),
+        (F.sum(cents) / 100).alias("usd"), (F.sum(cents) / 100).alias("gross_usd"),
+        F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("estimated"),
+        F.array_sort(F.collect_set(F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")))).alias("missing_pricing"),
+        F.array().cast("array<struct<model:string,pricing_model:string>>").alias("estimated_rates"),
+    )
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
