@@ -17,14 +17,20 @@ _UNSUPPORTED = re.compile(
 
 
 _LINE_MODE = re.compile(r"\(\?[a-z]*m")
-_DOLLAR = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\$", re.S)
+_TOKEN = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\$", re.S)
+_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+_NO_BOUNDARY = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
 
 
-def _text_end(pattern: str) -> str:
-    """Outside line mode ``$`` means the end of the text, also before a final newline."""
-    if _LINE_MODE.search(pattern):
-        return pattern
-    return _DOLLAR.sub(lambda token: r"\z" if token[0] == "$" else token[0], pattern)
+def _jvm_spelling(pattern: str) -> str:
+    """The same expression for the JVM: ASCII word boundaries, and ``$`` as the end of the text.
+
+    In line mode ``$`` keeps its meaning.
+    """
+    swaps = {r"\b": _BOUNDARY, r"\B": _NO_BOUNDARY}
+    if not _LINE_MODE.search(pattern):
+        swaps["$"] = r"\z"
+    return _TOKEN.sub(lambda token: swaps.get(token[0], token[0]), pattern)
 
 
 @dataclass(frozen=True)
@@ -63,7 +69,7 @@ def compile_matcher(pattern: str, regex: bool = False, case_sensitive: bool = Fa
         if _UNSUPPORTED.search(pattern):
             raise ValueError(f"unsupported construct in regular expression {pattern!r}")
         flags = "d" if case_sensitive else "diu"
-        return Matcher(f"(?{flags}:{_text_end(pattern)})", may_be_empty=True)
+        return Matcher(f"(?{flags}:{_jvm_spelling(pattern)})", may_be_empty=True)
     quoted = r"\Q" + pattern.replace(r"\E", r"\E\\E\Q") + r"\E"
     if case_sensitive:
         return Matcher(f"(?:{quoted})")

@@ -37,6 +37,11 @@ def _sub(column: Column, pattern: str, replacement: str = "") -> Column:
     return F.regexp_replace(column, F.lit(pattern), F.lit(replacement))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(column: Column) -> Column:
     """Trim Unicode white space at both ends."""
     return _sub(column, rf"\A[{_SPACE}]++|(?<![{_SPACE}])[{_SPACE}]++\z")
@@ -56,7 +61,7 @@ def clean_timeline_text(column: Column) -> Column:
     tags = "|".join(TIMELINE_NOISE_TAGS)
     owned = rf"(?:\A|(?<=\n))(?>(?:[ \t]*+<({tags})(?>.*?</\1>))++)\n"
     other = rf"<({tags})(?:(?>.*?</\2>)|.*\z)"
-    text = F.when(F.contains(column, F.lit("<")), _sub(column, f"(?is){owned}|{other}")).otherwise(column)
+    text = _sub(column, f"(?is){owned}|{other}")
     text = _sub(text, rf"(?dm)(?<![{_BLANK}])[{_BLANK}]++$")
     text = _sub(text, rf"(?dim)^[{_BLANK}]*+warmup(?:\n|\z)")
     text = _sub(text, r"\n{3,}", "\n\n")
@@ -67,8 +72,12 @@ def _clean_title_line(line: Column) -> Column:
     text = _sub(strip(line), rf"\A(?:<[^>]*+>[{_SPACE}]*+)++")
     text = _sub(text, r"</[^>]*+>")
     text = _sub(text, rf"\A[{_SPACE}#>*-]++")
-    cut = F.concat(F.substring(text, 1, TITLE_CODE_POINTS - 1), F.lit("…"))
-    return F.when(F.char_length(text) > TITLE_CODE_POINTS, cut).otherwise(strip(text))
+
+    def capped(title: Column) -> Column:
+        cut = F.concat(F.substring(title, 1, TITLE_CODE_POINTS - 1), F.lit("…"))
+        return F.when(F.char_length(title) > TITLE_CODE_POINTS, cut).otherwise(strip(title))
+
+    return bind(text, capped)
 
 
 def title_lines(column: Column) -> Column:
@@ -84,16 +93,19 @@ def clean_title(column: Column) -> Column:
 
 def elide_encrypted(column: Column) -> Column:
     """Replace long encrypted tokens by a note of their length."""
-    parts = F.split(column, _CIPHER, -1)
-    tokens = F.regexp_extract_all(column, F.lit(_CIPHER), F.lit(0))
 
     def shown(token: Column) -> Column:
         size = F.char_length(token)
         note = F.concat(F.lit("<encrypted "), size.cast("string"), F.lit(" chars>"))
         return F.when(size >= ENCRYPTED_MIN_CHARS, note).otherwise(token)
 
-    woven = F.zip_with(parts, tokens, lambda part, token: F.concat(part, F.coalesce(shown(token), F.lit(""))))
-    return F.when(F.contains(column, F.lit("gAAAA")), F.array_join(woven, "")).otherwise(column)
+    def elided(text: Column) -> Column:
+        parts = F.split(text, _CIPHER, -1)
+        tokens = F.regexp_extract_all(text, F.lit(_CIPHER), F.lit(0))
+        woven = F.zip_with(parts, tokens, lambda part, token: F.concat(part, F.coalesce(shown(token), F.lit(""))))
+        return F.when(F.contains(text, F.lit("gAAAA")), F.array_join(woven, "")).otherwise(text)
+
+    return bind(column, elided)
 
 
 def bounded_text(column: Column, limit: int = DETAIL_CODE_POINTS) -> Column:
@@ -165,34 +177,33 @@ def prompt_task_text(column: Column) -> Column:
     heading = rf"{lead}{INSTRUCTIONS_PREAMBLE}[^\n]*+(?:\n|\z)"
     rest = strip(_sub(column, rf"(?is)\A(?:[{_SPACE}]*+(?:{block}|{role}|{heading}))++"))
     dangling = rf"(?is)\A(?:<(?:{tags})|{lead}{roles})"
-    return F.when(F.rlike(rest, F.lit(dangling)), F.lit("")).otherwise(rest)
+    return bind(rest, lambda task: F.when(F.rlike(task, F.lit(dangling)), F.lit("")).otherwise(task))
 
 
-def _is_boilerplate(line: Column) -> Column:
-    title = F.lower(clean_title(line))
-    hit = (title == "") | title.isin(BOILERPLATE_TITLES)
-    for prefix in BOILERPLATE_PREFIXES:
-        hit = hit | F.startswith(title, F.lit(prefix))
-    return hit
+def _is_boilerplate(title: Column) -> Column:
+    low = F.lower(title)
+    return (title == "") | low.isin(BOILERPLATE_TITLES) | F.rlike(low, F.lit(rf"\A(?:{'|'.join(BOILERPLATE_PREFIXES)})"))
 
 
 def task_title(column: Column) -> Column:
     """Title of a task prompt: a ``Brief`` heading, else the first line that is not boilerplate."""
-    task = prompt_task_text(column)
-    text = F.when(task == "", column).otherwise(task)
+    text = bind(prompt_task_text(column), lambda task: F.when(task == "", column).otherwise(task))
     tags = "|".join(PREAMBLE_TAGS)
     text = _sub(text, rf"(?is)(?:\A|(?<=\n))[{_BLANK}]*+<({tags})(?>.*?(?:</\1>|\z))[^\n]*+")
-    lines = F.transform(F.split(text, "\n"), strip)
 
-    def heading(line: Column) -> Column:
-        return F.when(F.startswith(line, F.lit("#")), strip(_sub(line, r"\A#++"))).otherwise(F.lit(""))
+    # A heading stands for its words; a line of hashes only stays as it is.
+    def worded(line: Column) -> Column:
+        is_heading = F.startswith(line, F.lit("#"))
+        bare = strip(_sub(line, r"\A#++"))
+        words = bind(bare, lambda heading: F.when(is_heading & (heading != ""), heading).otherwise(line))
+        return F.struct(is_heading.alias("is_heading"), words.alias("words"))
 
-    briefs = F.filter(lines, lambda line: F.startswith(F.lower(heading(line)), F.lit("brief")))
-    briefs = F.transform(briefs, lambda line: clean_title(_sub(F.substr(heading(line), F.lit(6)), r"\A[ —:-]++")))
+    lines = F.transform(F.transform(F.split(text, "\n"), strip), worded)
+    briefs = F.filter(lines, lambda line: line["is_heading"] & F.startswith(F.lower(line["words"]), F.lit("brief")))
+    briefs = F.transform(briefs, lambda line: _clean_title_line(_sub(F.substr(line["words"], F.lit(6)), r"\A[ —:-]++")))
     briefs = F.filter(briefs, lambda title: title != "")
-    plain = F.transform(lines, lambda line: F.when(heading(line) != "", heading(line)).otherwise(line))
-    plain = F.filter(plain, lambda line: ~_is_boilerplate(line))
-    return F.coalesce(F.get(briefs, F.lit(0)), clean_title(F.get(plain, F.lit(0))), F.lit(""))
+    plain = F.filter(F.transform(lines, lambda line: _clean_title_line(line["words"])), lambda title: ~_is_boilerplate(title))
+    return F.coalesce(F.get(briefs, F.lit(0)), F.get(plain, F.lit(0)), F.lit(""))
 
 
 # Quoted strings and comments of a wrapper script.

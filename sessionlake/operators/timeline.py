@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
-from sessionlake.plans.blockfold import fold_blocks
+from sessionlake.plans.blockfold import ROWS_PER_BLOCK, fold_blocks
 from sessionlake.plans.running import Running, following, running
 from sessionlake.plans.staging import stage
 from sessionlake.sources import claude
@@ -326,7 +326,7 @@ def claude_events(records: DataFrame) -> DataFrame:
             result_summary(F.col("call.tool_name"), F.col("text"), F.col("result_error"))
         )),
     )
-    elapsed = F.unix_millis("ts") - F.unix_millis("call.ts")
+    elapsed = F.floor((F.unix_micros("ts") - F.unix_micros("call.ts")) / 1000)
     answered = (
         paired.where("call IS NOT NULL")
         .groupBy(*by, F.col("call.seq").alias("seq"))
@@ -452,14 +452,14 @@ def _fold_mirrors(rows: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame,
     return pd.DataFrame({"slot": slots}), json.dumps({"recent": recent, "candidate": candidate})
 
 
-def mirror_dedup(rows: DataFrame, by: list[str], block: Column) -> DataFrame:
+def mirror_dedup(rows: DataFrame, by: list[str], block: Column, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Add ``slot`` to every row; a row whose slot is another row's ``seq`` is a mirrored copy.
 
     ``rows`` needs ``seq``, ``role`` (token, target or other), ``key`` (kind and text digest of a message,
     empty otherwise) and ``billed``. Only these narrow columns reach Python.
     """
     narrow = rows.select(*by, "seq", "role", "key", "billed")
-    return fold_blocks(narrow, by, "seq", block, _fold_mirrors, "slot bigint")
+    return fold_blocks(narrow, by, "seq", block, _fold_mirrors, "slot bigint", rows_per_block)
 
 
 def bridge_cut(records: DataFrame, meta: DataFrame) -> DataFrame:
@@ -615,7 +615,7 @@ def codex_events(records: DataFrame, state: DataFrame, meta: DataFrame, requests
     )
     files = F.when(F.col("call.tool_name") == "apply_patch", T.patch_files(F.col("call.detail_diff")))
     paired = paired.withColumn("shown", T.elide_encrypted(F.when(F.size(files) > 0, F.array_join(files, ", ")).otherwise(plain)))
-    elapsed = F.unix_millis("ts") - F.unix_millis("call.ts")
+    elapsed = F.floor((F.unix_micros("ts") - F.unix_micros("call.ts")) / 1000)
     answered = (
         paired.where("call IS NOT NULL")
         .groupBy(*node, F.col("call.seq").alias("seq"))

@@ -1,10 +1,11 @@
 """Exact sequential folds, run in parallel over blocks of a group.
 
-Some rules depend on their own earlier output, so no window can express them. The group is cut
-into ordered blocks and every block is folded by itself. The first pass starts each block from the
-empty state; a block whose real incoming state turns out to differ is folded again with that state
-until no incoming state changes any more. The result equals one sequential pass, no task ever holds
-more than one block, and only the small per-block states are exchanged between passes.
+Some rules depend on their own earlier output, so no window can express them. Groups of ordinary
+size are folded whole. A larger group is cut into blocks of equal row count and every block is folded
+by itself: the first pass starts each block from the empty state, and a block whose real incoming
+state turns out to differ is folded again with that state until no incoming state changes any more.
+The result equals one sequential pass, no task ever holds more than one block, and only the small
+per-block states are exchanged between passes.
 """
 
 from __future__ import annotations
@@ -12,67 +13,67 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sessionlake.plans.running import Running, running
 from sessionlake.plans.staging import stage
 
-BLOCK = "__block"
+BLOCK = "__fold"
+ROWS_PER_BLOCK = 8192
 
 # (rows of one block in order, incoming state or None) -> (one decision per row, outgoing state)
 Step = Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str]]
 
 
-def fold_blocks(df: DataFrame, by: list[str], order: str, block, step: Step, decision_schema: str) -> DataFrame:
+def fold_blocks(
+    df: DataFrame, by: list[str], order: str, block: Column, step: Step, decision_schema: str, rows_per_block: int = ROWS_PER_BLOCK
+) -> DataFrame:
     """Fold every ``by`` group of ``df`` in ``order``; return one decision row per input row.
 
     ``step`` must depend on nothing but its arguments. ``decision_schema`` names the columns of
-    the decisions, which are returned next to ``by`` and ``order``.
+    the decisions, which are returned next to ``by`` and ``order``. ``block`` is any coarse cut along
+    ``order``; it only serves to number the rows of large groups.
     """
-    key = [*by, BLOCK]
-    blocked = df.withColumn(BLOCK, block)
-    key_schema = ", ".join(f"`{name}` {dict(blocked.dtypes)[name]}" for name in key)
-    order_type = dict(df.dtypes)[order]
-
-    def states(keys, pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        used = pdf["__carry"].iloc[0]
-        used = None if pd.isna(used) else used
-        _, state = step(pdf, used)
-        return pd.DataFrame([[*keys, used, state]], columns=[*key, "used", "state"])
+    types = dict(df.dtypes)
+    decided_schema = ", ".join([*(f"`{name}` {types[name]}" for name in [*by, order]), decision_schema])
 
     def decide(keys, pdf):
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         used = pdf["__carry"].iloc[0]
         decisions, _ = step(pdf, None if pd.isna(used) else used)
-        decisions = decisions.reset_index(drop=True)
         head = pd.DataFrame({name: value for name, value in zip(by, keys)}, index=range(len(pdf)))
-        return pd.concat([head, pdf[[order]], decisions], axis=1)
+        return pd.concat([head, pdf[[order]], decisions.reset_index(drop=True)], axis=1)
+
+    df = stage(df, "fold-rows")
+    no_carry = F.lit(None).cast("string")
+    large = df.groupBy(*by).count().where(F.col("count") > rows_per_block).select(*by)
+    if large.isEmpty():
+        return df.withColumn("__carry", no_carry).groupBy(*by).applyInPandas(decide, decided_schema)
 
-    decided_schema = ", ".join(f"`{name}` {dict(blocked.dtypes)[name]}" for name in by)
-    decided_schema = f"{decided_schema}, `{order}` {order_type}, {decision_schema}"
-    span = blocked.groupBy(*by).agg(F.min(BLOCK).alias("lo"), F.max(BLOCK).alias("hi"))
-    multi = span.where("lo < hi").select(*by)
-    if multi.isEmpty():
-        whole = blocked.withColumn("__carry", F.lit(None).cast("string"))
-        return whole.groupBy(*key).applyInPandas(decide, decided_schema)
+    small = df.join(large, by, "left_anti").withColumn("__carry", no_carry)
+    whole = small.groupBy(*by).applyInPandas(decide, decided_schema)
+    numbered = running(df.join(large, by, "left_semi"), by, [F.col(order)], block, {"__nth": Running("sum", F.lit(1))})
+    cut = stage(numbered.withColumn(BLOCK, F.floor((F.col("__nth") - 1) / rows_per_block)).drop("__nth"), "fold-blocks")
+    key = [*by, BLOCK]
+    state_schema = ", ".join([*(f"`{name}` {types[name]}" for name in by), f"`{BLOCK}` bigint, used string, state string"])
+
+    def states(keys, pdf):
+        pdf = pdf.sort_values(order, kind="stable")
+        used = pdf["__carry"].iloc[0]
+        used = None if pd.isna(used) else used
+        return pd.DataFrame([[*keys, used, step(pdf, used)[1]]], columns=[*key, "used", "state"])
 
-    # Only groups that span several blocks need carried states.
-    spread = blocked.join(multi, by, "left_semi")
-    state_schema = f"{key_schema}, used string, state string"
-    first = spread.withColumn("__carry", F.lit(None).cast("string"))
-    table = stage(first.groupBy(*key).applyInPandas(states, state_schema), "fold")
+    table = stage(cut.withColumn("__carry", no_carry).groupBy(*key).applyInPandas(states, state_schema), "fold-states")
     previous = W.partitionBy(*by).orderBy(BLOCK)
     while True:
         incoming = table.withColumn("want", F.lag("state").over(previous))
-        stale = incoming.where(~F.col("want").eqNullSafe(F.col("used")))
+        stale = incoming.where(~F.col("want").eqNullSafe(F.col("used"))).select(*key, F.col("want").alias("__carry"))
         if stale.isEmpty():
             break
-        again = spread.join(stale.select(*key, F.col("want").alias("__carry")), key)
-        redone = again.groupBy(*key).applyInPandas(states, state_schema)
+        redone = cut.join(stale, key).groupBy(*key).applyInPandas(states, state_schema)
         kept = table.join(stale.select(*key), key, "left_anti")
-        table = stage(kept.unionByName(redone), "fold")
-    carries = table.select(*key, F.col("used").alias("__carry"))
-    ready = blocked.join(carries, key, "left")
-    return ready.groupBy(*key).applyInPandas(decide, decided_schema)
+        table = stage(kept.unionByName(redone), "fold-states")
+    ready = cut.join(table.select(*key, F.col("used").alias("__carry")), key)
+    return whole.unionByName(ready.groupBy(*key).applyInPandas(lambda keys, pdf: decide(keys[:-1], pdf), decided_schema))

@@ -494,7 +494,7 @@ def removed_sessions(spark, sf_dir):
     """Users seen in the first half of the events who are missing among the purchases."""
     events = tables.table(spark, sf_dir, "events")
     old = events.select(F.col("user_id").alias("node_id")).distinct()
-    new = events.where("event_type = 'purchase' AND value > 30").select(F.col("user_id").alias("node_id")).distinct()
+    new = events.where("event_type = 'purchase' AND value > 150").select(F.col("user_id").alias("node_id")).distinct()
     return manifest.removed_sessions(old, new, ["node_id"])
 
 
