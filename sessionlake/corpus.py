@@ -63,19 +63,35 @@ class Corpus:
         return stage(codex.codex_summaries(self.codex_records, self.codex_state, self.codex_meta), "codex-summaries")
 
     @cached_property
-    def requests(self) -> DataFrame:
-        """Deduplicated, priced ledger of every file of both formats."""
+    def ledger(self) -> DataFrame:
+        """Deduplicated, unpriced request ledger of every file of both formats."""
         first = ledger.dedup_requests(claude.claude_requests(self.claude_lines))
         second = codex.codex_ledger(self.codex_state)
         columns = [*REQUEST_COLUMNS, "ledger_at"]
-        both = first.select(*columns).unionByName(second.select(*columns))
-        priced = pricing.price_requests(both, self.prices, self.default_model).drop("price")
+        return stage(first.select(*columns).unionByName(second.select(*columns)), "ledger")
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return claude.workflow_names(self.claude_lines)
+
+    @cached_property
+    def codex_activities(self) -> DataFrame:
+        return self.codex_state.where("type = 'event_msg' AND item = 'sub_agent_activity'")
+
+    @cached_property
+    def codex_models(self) -> DataFrame:
+        return codex.codex_models(self.codex_records)
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        """Priced ledger: prices apply per request, below every aggregation."""
+        priced = pricing.price_requests(self.ledger, self.prices, self.default_model).drop("price")
         return stage(priced, "requests")
 
     @cached_property
     def _graph(self) -> tuple[DataFrame, DataFrame]:
-        first = graph.claude_graph(self.claude_summaries, self.roles, claude.workflow_names(self.claude_lines))
-        second = graph.codex_graph(self.codex_summaries, self.codex_state)
+        first = graph.claude_graph(self.claude_summaries, self.roles, self.runs)
+        second = graph.codex_graph(self.codex_summaries, self.codex_activities)
         nodes = stage(first[0].unionByName(second[0]), "nodes")
         edges = stage(first[1].unionByName(second[1]), "edges")
         return stage(tree.sibling_titles(nodes, edges), "titled"), edges
@@ -102,7 +118,7 @@ class Corpus:
     def models(self) -> DataFrame:
         billed = self.requests.where(F.col("agent") == scan.CLAUDE)
         first = distinct_models(billed, ["agent", "node_id"], F.col("ledger_at"))
-        both = first.unionByName(codex.codex_models(self.codex_records))
+        both = first.unionByName(self.codex_models)
         return graph.group_models(both, self._graph[0], self.edges)
 
     @cached_property
@@ -122,19 +138,25 @@ class Corpus:
         return bad.unionByName(self._addressed[1])
 
     @cached_property
-    def events(self) -> DataFrame:
-        """Priced timelines of every node with their stable event index."""
-        requests = self.requests.select(
+    def file_events(self) -> DataFrame:
+        """Timelines of every file without index and prices."""
+        requests = self.ledger.select(
             "agent", "node_id", "byte_offset", "is_aggregate", F.struct(*USAGE_FIELDS).alias("usage_struct")
         )
-        first = timeline.claude_events(self.claude_records)
+        first = timeline.claude_events(self.claude_records, self.claude_lines)
         second = timeline.codex_events(self.codex_records, self.codex_state, self.codex_meta, requests, self.codex_summaries)
-        placed = first.unionByName(second).join(self._graph[0].select("agent", "node_id"), ["agent", "node_id"], "left_semi")
-        indexed = timeline.event_index(stage(self._linked(placed), "events-unindexed"))
-        return stage(price_events(indexed, self.prices, self.default_model), "events")
+        return stage(first.unionByName(second), "file-events")
 
-    def _linked(self, events: DataFrame) -> DataFrame:
-        return events
+    @cached_property
+    def events(self) -> DataFrame:
+        """Priced timelines of every node with their stable event index and linked sub-agents."""
+        nodes = self.nodes.select("agent", "node_id", "ref")
+        placed = self.file_events.join(nodes.select("agent", "node_id"), ["agent", "node_id"], "left_semi")
+        indexed = timeline.event_index(placed)
+        linked = graph.spawn_links(self.file_events, self.nodes, self.edges)
+        targets = linked.join(nodes.select("agent", F.col("node_id").alias("child"), F.col("ref").alias("subagent_ref")), ["agent", "child"])
+        indexed = indexed.join(targets.select("agent", "node_id", "seq", "subagent_ref"), ["agent", "node_id", "seq"], "left")
+        return stage(price_events(indexed, self.prices, self.default_model), "events")
 
 
 def price_events(events: DataFrame, prices: DataFrame, default_model: str | None = None) -> DataFrame:

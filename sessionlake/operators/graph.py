@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sessionlake.sources.codex import AGENT_COMPONENT, agent_path_parts
 from sessionlake.sources.scan import directory
 
+# Characters of a child's path that cut its family into blocks.
+FAMILY_STEM = 120
+
 NODE_COLUMNS = [
     "agent", "node_id", "path", "session_id", "cwd", "project", "title", "title_prompt", "git_branch", "started_at",
     "started_raw", "updated_at", "updated_raw", "messages", "has_error", "agent_path", "parent_id", "is_group",
@@ -249,6 +252,36 @@ def link_spawn(calls: DataFrame, children: DataFrame) -> DataFrame:
     return sure.select(*columns).unionByName(matched.select(*columns)).unionByName(ordered.select(*columns))
 
 
+def spawn_links(events: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Child node of every spawn event: ``(agent, node_id, seq, child)``.
+
+    A workflow call links to the group of the run its result names, the other calls of the first
+    format as in ``link_spawn``, and an activity of the second format by agent path or id.
+    """
+    spawns = events.where("kind = 'subagent'")
+    kids = edges.select("agent", F.col("parent").alias("node_id"), F.col("child")).join(
+        nodes.select("agent", F.col("node_id").alias("child"), "session_id", "title", "is_group", "agent_path"), ["agent", "child"]
+    )
+    runs = (
+        spawns.where("tool_name = 'Workflow' AND spawn_run <> ''")
+        .select("agent", "node_id", "seq", F.col("spawn_run").alias("session_id"))
+        .join(kids.where("is_group"), ["agent", "node_id", "session_id"])
+        .select("agent", "node_id", "seq", "child")
+    )
+    calls = spawns.where("spawn_names IS NOT NULL AND tool_name <> 'Workflow'").select(
+        "agent", "node_id", "seq", F.col("spawn_names").alias("names"), F.col("spawn_result").alias("result_id")
+    )
+    matched = link_spawn(calls, kids.withColumn("at", F.col("child")))
+    starts = (
+        spawns.where("spawn_names IS NULL AND agent_id <> ''")
+        .select("agent", "node_id", "seq", F.col("agent_id").alias("session_id"))
+        .join(kids, ["agent", "node_id", "session_id"])
+        .groupBy("agent", "node_id", "seq")
+        .agg(F.min("child").alias("child"))
+    )
+    return runs.unionByName(matched).unionByName(starts)
+
+
 def _pair_in_order(calls: DataFrame, children: DataFrame, by: list[str]) -> DataFrame:
     """Pair the nth call with the nth child of each group."""
     from sessionlake.plans.running import Running, running
@@ -256,5 +289,7 @@ def _pair_in_order(calls: DataFrame, children: DataFrame, by: list[str]) -> Data
 
     one: Column = F.lit(1)
     left = running(calls, by, [F.col("seq")], offset_block("seq"), {"nth": Running("sum", one)})
-    right = running(children, by, [F.col("at"), F.col("child")], F.lit(0), {"nth": Running("sum", one)})
+    # Children come in path order; a prefix of the path cuts a large family without breaking it.
+    stem = F.substring("at", 1, FAMILY_STEM)
+    right = running(children, by, [F.col("at"), F.col("child")], stem, {"nth": Running("sum", one)})
     return left.join(right, [*by, "nth"])

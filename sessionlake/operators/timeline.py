@@ -27,7 +27,7 @@ MINUS = "−"
 EVENT_COLUMNS = [
     "agent", "node_id", "seq", "ts", "ts_raw", "kind", "text", "model", "call_id", "tool_name", "tool_input", "summary",
     "detail_input", "detail_diff", "detail_output", "has_detail", "duration_ms", "agent_id", "usage", "usage_aggregate", "harness",
-    "compact_trigger", "compact_post_tokens", "path", "byte_offset", "byte_length", "digest",
+    "compact_trigger", "compact_post_tokens", "spawn_names", "spawn_result", "spawn_run", "path", "byte_offset", "byte_length", "digest",
 ]
 
 
@@ -39,6 +39,7 @@ def _defaults(frame: DataFrame) -> DataFrame:
         "has_detail": F.lit(False), "duration_ms": F.lit(0).cast("bigint"), "agent_id": F.lit(""),
         "usage": F.lit(None).cast(USAGE_TYPE), "usage_aggregate": F.lit(False), "harness": F.lit(False),
         "compact_trigger": F.lit(""), "compact_post_tokens": F.lit(0).cast("bigint"),
+        "spawn_names": F.lit(None).cast("array<string>"), "spawn_result": F.lit(""), "spawn_run": F.lit(""),
     }
     missing = {name: value for name, value in empty.items() if name not in frame.columns}
     return frame.withColumns(missing).select(*EVENT_COLUMNS) if missing else frame.select(*EVENT_COLUMNS)
@@ -249,12 +250,12 @@ def spawn_names(raw: Column) -> Column:
     return F.array_compact(F.array(*[fields.getField(key) for key in ("name", "description", "subagent_type")]))
 
 
-def _usage_lines(records: DataFrame) -> DataFrame:
+def _usage_lines(lines: DataFrame) -> DataFrame:
     """Assistant lines that report billable usage, for the timeline."""
     blank = F.lit("")
     usage = claude.claude_usage(F.col("model"), F.col("tokens"), blank, F.lit(None))
     return (
-        records.where((F.col("type") == "assistant") & ~F.col("model").isin("", claude.SYNTHETIC_MODEL) & F.col("tokens").isNotNull())
+        lines.where((F.col("type") == "assistant") & ~F.col("model").isin("", claude.SYNTHETIC_MODEL) & F.col("tokens").isNotNull())
         .withColumn("usage", usage)
         .where(claude.is_valid_usage(F.col("usage")))
         .withColumn("total", usage_total(F.col("usage")))
@@ -286,7 +287,7 @@ def head_event_usage(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     return largest.select(*by, "seq", "usage").unionByName(loose)
 
 
-def advisor_usage(blocks: DataFrame, records: DataFrame) -> DataFrame:
+def advisor_usage(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """Usage of the nth advisor row of a message: the nth advisor step of its fullest report."""
     by = ["agent", "node_id"]
     calls = blocks.where("kind IN ('advisor', 'tool-call', 'subagent')").groupBy(*by, "call_id").agg(F.min("seq").alias("first_seq"))
@@ -299,7 +300,7 @@ def advisor_usage(blocks: DataFrame, records: DataFrame) -> DataFrame:
     )
     nth = running(rows, [*by, "message_id"], [F.col("seq")], offset_block("seq"), {"nth": Running("sum", F.lit(1))})
     steps = (
-        records.where("type = 'assistant'")
+        lines.where("type = 'assistant'")
         .select("agent", F.col("path").alias("node_id"), "message_id", "byte_offset", claude.advisor_usages(F.col("tokens")).alias("steps"))
         .where("size(steps) > 0")
         .groupBy(*by, "message_id")
@@ -310,15 +311,20 @@ def advisor_usage(blocks: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def claude_events(records: DataFrame) -> DataFrame:
-    """Timeline of the first format, one row per event, without its index."""
+def claude_events(records: DataFrame, lines: DataFrame) -> DataFrame:
+    """Timeline of the first format, one row per event, without its index.
+
+    ``records`` carries the contents, ``lines`` is the narrow staged table of the same records.
+    """
     by = ["agent", "node_id"]
     blocks = stage(claude_blocks(records), "blocks")
-    advisors = advisor_usage(blocks, records)
+    advisors = advisor_usage(blocks, lines)
     calls = blocks.where("kind IN ('tool-call', 'subagent', 'advisor')").select(
         *by, "call_id", "seq", "tool_name", "ts", "has_detail"
     )
-    results = blocks.where("kind = 'tool-result'").select(*by, "call_id", "seq", "ts", "text", "result_text", "result_error")
+    results = blocks.where("kind = 'tool-result'").select(
+        *by, "call_id", "seq", "ts", "text", "result_text", "result_error", "result_agent", "result_run"
+    )
     paired = pair_tool_result(calls, results, [*by, "call_id"], ["tool_name", "ts", "has_detail"], offset_block("seq"))
     paired = paired.withColumn(
         "shown",
@@ -334,9 +340,11 @@ def claude_events(records: DataFrame) -> DataFrame:
             F.max_by("shown", "seq").alias("answer"),
             F.max_by("result_text", F.when(F.col("call.has_detail") & (F.col("call_id") != ""), F.col("seq"))).alias("answer_output"),
             F.max_by(elapsed, F.when(elapsed >= 0, F.col("seq"))).alias("answer_ms"),
+            F.max_by("result_agent", F.when(F.col("result_agent") != "", F.col("seq"))).alias("spawn_result"),
+            F.max_by("result_run", F.when(F.col("result_run") != "", F.col("seq"))).alias("spawn_run"),
         )
     )
-    heads = head_event_usage(blocks, _usage_lines(records))
+    heads = head_event_usage(blocks, _usage_lines(lines))
     joined = (
         blocks.join(heads, [*by, "seq"], "left")
         .join(advisors, [*by, "seq"], "left")
@@ -353,6 +361,8 @@ def claude_events(records: DataFrame) -> DataFrame:
             "summary": text_or_empty(F.col("answer")),
             "detail_output": text_or_empty(F.col("answer_output")),
             "duration_ms": F.coalesce("answer_ms", F.lit(0)),
+            "spawn_result": text_or_empty(F.col("spawn_result")),
+            "spawn_run": text_or_empty(F.col("spawn_run")),
             "agent_id": F.lit(""),
             "usage_aggregate": F.lit(False),
             "harness": F.coalesce("harness", F.lit(False)),

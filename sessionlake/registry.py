@@ -420,7 +420,8 @@ def transcript_models(spark, sf_dir):
 def transcript_events(spark, sf_dir):
     """Timelines of the first format: blocks, paired results, head usage and index."""
     records = claude.claude_records(tables.event_transcripts(spark, sf_dir))
-    events = timeline.event_index(timeline.claude_events(records))
+    lines = stage(claude.claude_lines(records), "claude-lines")
+    events = timeline.event_index(timeline.claude_events(records, lines))
     return events.select(
         F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).alias("user_id"), "event_index", "kind", "text", "tool_input", "summary", "duration_ms",
         F.col("usage.input").alias("usage_input"), F.col("usage.output").alias("usage_output"),
