@@ -27,9 +27,10 @@ TITLE_CODE_POINTS = 96
 DETAIL_CODE_POINTS = 4096
 ENCRYPTED_MIN_CHARS = 64
 
-# Unicode white space without and with the line feed.
-_BLANK = r"\t\x0B\f\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_SPACE = r"\n" + _BLANK
+# White space, without and with the line feed, as character classes and spelled out.
+_BLANK = r"\p{IsWhite_Space}&&[^\n]"
+_SPACE = r"\p{IsWhite_Space}"
+_SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _CIPHER = r"(?<![A-Za-z0-9_-])gAAAA[A-Za-z0-9_-]*+=*+"
 
 
@@ -44,7 +45,7 @@ def bind(value: Column, body) -> Column:
 
 def strip(column: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return _sub(column, rf"\A[{_SPACE}]++|(?<![{_SPACE}])[{_SPACE}]++\z")
+    return F.btrim(column, F.lit(_SPACES))
 
 
 def collapse(column: Column) -> Column:
@@ -88,7 +89,10 @@ def title_lines(column: Column) -> Column:
 
 def clean_title(column: Column) -> Column:
     """First line with content, without leading markup, at most 96 code points."""
-    return F.coalesce(F.get(title_lines(column), F.lit(0)), F.lit(""))
+    rest = F.coalesce(F.get(title_lines(column), F.lit(0)), F.lit(""))
+    # The first line nearly always decides; the others are looked at only where it is empty.
+    first = _clean_title_line(F.substring_index(column, "\n", 1))
+    return bind(first, lambda title: F.when(title != "", title).otherwise(rest))
 
 
 def elide_encrypted(column: Column) -> Column:
@@ -170,7 +174,7 @@ def prompt_task_text(column: Column) -> Column:
     ends at a ``---`` line.
     """
     tags = "|".join(PREAMBLE_TAGS)
-    lead = rf"(?:<[^>\n]*+>[{_BLANK}]*+)*+[{_BLANK}#>*-]*+"
+    lead = rf"(?:<[^>\n]*+>[{_BLANK}]*+)*+[{_SPACE}#>*\-&&[^\n]]*+"
     roles = f"(?:{AUTONOMOUS_PREAMBLE}|{REVIEWER_PREAMBLE})"
     block = rf"<({tags})(?>.*?</\1>)"
     role = rf"{lead}{roles}(?>.*?\n[{_BLANK}]*+---[{_BLANK}]*+(?:\n|\z))"
@@ -198,12 +202,18 @@ def task_title(column: Column) -> Column:
         words = bind(bare, lambda heading: F.when(is_heading & (heading != ""), heading).otherwise(line))
         return F.struct(is_heading.alias("is_heading"), words.alias("words"))
 
-    lines = F.transform(F.transform(F.split(text, "\n"), strip), worded)
-    briefs = F.filter(lines, lambda line: line["is_heading"] & F.startswith(F.lower(line["words"]), F.lit("brief")))
-    briefs = F.transform(briefs, lambda line: _clean_title_line(_sub(F.substr(line["words"], F.lit(6)), r"\A[ —:-]++")))
-    briefs = F.filter(briefs, lambda title: title != "")
-    plain = F.filter(F.transform(lines, lambda line: _clean_title_line(line["words"])), lambda title: ~_is_boilerplate(title))
-    return F.coalesce(F.get(briefs, F.lit(0)), F.get(plain, F.lit(0)), F.lit(""))
+    def titled(body: Column) -> Column:
+        lines = F.transform(F.transform(F.split(body, "\n"), strip), worded)
+        briefs = F.filter(lines, lambda line: line["is_heading"] & F.startswith(F.lower(line["words"]), F.lit("brief")))
+        briefs = F.transform(briefs, lambda line: _clean_title_line(_sub(F.substr(line["words"], F.lit(6)), r"\A[ —:-]++")))
+        brief = F.get(F.filter(briefs, lambda title: title != ""), F.lit(0))
+        has_brief = F.rlike(body, F.lit(rf"(?dim)^[{_BLANK}]*+#++[{_BLANK}]*+brief"))
+        plain = F.filter(F.transform(lines, lambda line: _clean_title_line(line["words"])), lambda title: ~_is_boilerplate(title))
+        head = _clean_title_line(worded(strip(F.substring_index(body, "\n", 1)))["words"])
+        first = bind(head, lambda title: F.when(_is_boilerplate(title), F.get(plain, F.lit(0))).otherwise(title))
+        return F.coalesce(F.when(has_brief, brief), first, F.lit(""))
+
+    return bind(text, titled)
 
 
 # Quoted strings and comments of a wrapper script.

@@ -332,6 +332,7 @@ def claude_events(records: DataFrame, lines: DataFrame) -> DataFrame:
             result_summary(F.col("call.tool_name"), F.col("text"), F.col("result_error"))
         )),
     )
+    paired = stage(paired, "paired")
     elapsed = F.floor((F.unix_micros("ts") - F.unix_micros("call.ts")) / 1000)
     answered = (
         paired.where("call IS NOT NULL")
@@ -580,7 +581,7 @@ def codex_events(records: DataFrame, state: DataFrame, meta: DataFrame, requests
         .select(*node, "seq", "shown.*", "harness")
     )
     others = placed.where("kind NOT IN ('user', 'assistant-text', 'token')").select(*merged.columns)
-    events = merged.unionByName(others)
+    events = stage(merged.unionByName(others), "merged")
 
     # Usage goes to the first eligible row of its segment, else to a row of its own.
     segments = events.select(*node, "seq", F.lit(False).alias("is_token"), F.col("kind").isin(USAGE_TARGETS).alias("is_eligible")).unionByName(
@@ -625,6 +626,7 @@ def codex_events(records: DataFrame, state: DataFrame, meta: DataFrame, requests
     )
     files = F.when(F.col("call.tool_name") == "apply_patch", T.patch_files(F.col("call.detail_diff")))
     paired = paired.withColumn("shown", T.elide_encrypted(F.when(F.size(files) > 0, F.array_join(files, ", ")).otherwise(plain)))
+    paired = stage(paired, "paired")
     elapsed = F.floor((F.unix_micros("ts") - F.unix_micros("call.ts")) / 1000)
     answered = (
         paired.where("call IS NOT NULL")

@@ -387,11 +387,19 @@ def replay_prefix(spark, sf_dir):
 # --- whole transcripts derived from the tables ---------------------------------------------------
 
 
+def _transcripts(spark, sf_dir):
+    """Records over lines that are written out once, as transcripts are."""
+    return claude.claude_records(stage(tables.event_transcripts(spark, sf_dir), "transcripts"))
+
+
+def _transcript_lines(spark, sf_dir):
+    return stage(claude.claude_lines(_transcripts(spark, sf_dir)), "claude-lines")
+
+
 @query
 def transcript_ledger(spark, sf_dir):
     """Lines of the first format parsed, deduplicated and priced."""
-    records = claude.claude_records(tables.event_transcripts(spark, sf_dir))
-    requests = ledger.dedup_requests(claude.claude_requests(records))
+    requests = ledger.dedup_requests(claude.claude_requests(_transcript_lines(spark, sf_dir)))
     priced = pricing.price_requests(requests, tables.event_pricing(spark))
     return priced.select(
         F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).alias("user_id"), "message_id", "request_id",
@@ -401,8 +409,7 @@ def transcript_ledger(spark, sf_dir):
 
 @query
 def transcript_summary(spark, sf_dir):
-    lines = claude.claude_lines(claude.claude_records(tables.event_transcripts(spark, sf_dir)))
-    return claude.claude_summaries(lines).select(
+    return claude.claude_summaries(_transcript_lines(spark, sf_dir)).select(
         "session_id", "title", "project", "messages", "has_error", "started_raw", "updated_raw"
     )
 
@@ -410,8 +417,7 @@ def transcript_summary(spark, sf_dir):
 @query
 def transcript_models(spark, sf_dir):
     """Billed models of every file in first-seen order."""
-    records = claude.claude_records(tables.event_transcripts(spark, sf_dir))
-    requests = ledger.dedup_requests(claude.claude_requests(records))
+    requests = ledger.dedup_requests(claude.claude_requests(_transcript_lines(spark, sf_dir)))
     models = distinct_models(requests, ["agent", "node_id"], F.col("ledger_at"))
     return models.select(F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).alias("user_id"), F.array_join("models", ",").alias("models"))
 
@@ -419,9 +425,9 @@ def transcript_models(spark, sf_dir):
 @query
 def transcript_events(spark, sf_dir):
     """Timelines of the first format: blocks, paired results, head usage and index."""
-    records = claude.claude_records(tables.event_transcripts(spark, sf_dir))
+    records = _transcripts(spark, sf_dir)
     lines = stage(claude.claude_lines(records), "claude-lines")
-    events = timeline.event_index(timeline.claude_events(records, lines))
+    events = timeline.event_index(stage(timeline.claude_events(records, lines), "events"))
     return events.select(
         F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).alias("user_id"), "event_index", "kind", "text", "tool_input", "summary", "duration_ms",
         F.col("usage.input").alias("usage_input"), F.col("usage.output").alias("usage_output"),
@@ -460,7 +466,7 @@ def rollout_events(spark, sf_dir):
     requests = codex.codex_ledger(state).select(
         "agent", "node_id", "byte_offset", "is_aggregate", F.struct(*USAGE_FIELDS).alias("usage_struct")
     )
-    events = timeline.event_index(timeline.codex_events(records, state, meta, requests, summaries))
+    events = timeline.event_index(stage(timeline.codex_events(records, state, meta, requests, summaries), "events"))
     return events.select(
         F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).alias("user_id"), "event_index", "kind", "text", "usage_aggregate", F.col("usage.input").alias("usage_input"),
     )

@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for row-by-row text work when a small table is a single split.
+
+    Large tables have more splits than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_number() -> Column:
     """The small integer inside ``events.props``."""
     return F.get_json_object("props", "$.k").cast("bigint")
@@ -139,7 +148,7 @@ def event_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.to_json(F.struct(F.lit("user").alias("type"), *common, F.struct(label("Prompt ").alias("content")).alias("message")))
     answered = F.to_json(F.struct(F.lit("user").alias("type"), *common, F.struct(F.array(block).alias("content")).alias("message")))
     line = F.when(speaks, said).when(kind == "view", asked).otherwise(answered)
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.lit(CLAUDE).alias("agent"),
         F.concat(F.lit("/lake/"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("path"),
         (F.col("event_id") * LINE_STRIDE).alias("byte_offset"),
@@ -255,4 +264,4 @@ def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
