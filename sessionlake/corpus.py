@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.operators import graph, ledger, pricing, timeline, tree
+from sessionlake.plans.joins import tune_for_skew
 from sessionlake.plans.staging import stage
 from sessionlake.sources import claude, codex, scan
 from sessionlake.sources.records import REQUEST_COLUMNS, USAGE_FIELDS, distinct_models
@@ -181,5 +182,6 @@ def open_corpus(
     spark: SparkSession, roots: dict[str, str | list[str]], prices: DataFrame, default_model: str | None = None
 ) -> Corpus:
     """Canonical tables of all transcripts below the roots of each agent."""
+    tune_for_skew(spark)
     files = stage(scan.list_files(spark, roots), "files")
     return Corpus(spark, files, scan.scan_files(files), prices, default_model)

@@ -29,3 +29,22 @@ def diff_manifest(new: DataFrame, old: DataFrame) -> DataFrame:
 def removed_sessions(old: DataFrame, new: DataFrame, identity: list[str]) -> DataFrame:
     """Identities of the previous state that the current state lacks."""
     return old.select(*identity).join(new.select(*identity), identity, "left_anti")
+
+
+def affected_roots(changed: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Top-level transcript that each changed file belongs to.
+
+    A file below a companion directory belongs to the outermost transcript; a legacy file to the
+    transcript of its directory with the same session id, for which ``summaries`` (agent, path,
+    file_session_id) is needed; any other file is its own root.
+    """
+    outer = F.when(F.contains("path", F.lit("/subagents/")), F.concat(F.substring_index("path", "/subagents/", 1), F.lit(".jsonl")))
+    mapped = changed.select("agent", "path", F.coalesce(outer, "path").alias("root_path"))
+    if summaries is None:
+        return mapped
+    named = F.startswith(F.substring_index("path", "/", -1), F.lit("agent-")) & ~F.contains("path", F.lit("/subagents/"))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    known = summaries.select("agent", "path", "file_session_id", folder.alias("folder"), named.alias("legacy")).where("file_session_id <> ''")
+    owners = known.where("NOT legacy").groupBy("agent", "folder", "file_session_id").agg(F.min("path").alias("owner"))
+    legacy = known.where("legacy").join(owners, ["agent", "folder", "file_session_id"]).select("agent", "path", "owner")
+    return mapped.join(legacy, ["agent", "path"], "left").select("agent", "path", F.coalesce("owner", "root_path").alias("root_path"))

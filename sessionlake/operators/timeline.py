@@ -458,7 +458,7 @@ def _fold_mirrors(rows: pd.DataFrame, state: str | None) -> tuple[pd.DataFrame,
             if keeps and role == "target":
                 candidate = True
         if keeps:
-            recent = [*recent, [key or "", int(seq)]][-MIRROR_WINDOW:]
+            recent = [*recent, [key if key and role != "token" else "", int(seq)]][-MIRROR_WINDOW:]
         slots.append(slot)
     return pd.DataFrame({"slot": slots}), json.dumps({"recent": recent, "candidate": candidate})
 

@@ -620,3 +620,39 @@ ORACLES["result_summary"] = """
 SELECT o_orderkey, CASE o_orderkey % 3 WHEN 1 THEN o_orderstatus ELSE o_orderpriority END AS body,
   CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 5 AS VARCHAR) END AS code, CASE WHEN o_orderkey % 3 = 0 THEN 'exit ' || (o_orderkey % 5) END AS summary
 FROM orders"""
+
+ORACLES["filter_scope"] = f"""WITH {_PLACES} SELECT descendant AS node_id, 'claude:r1#n1' AS root_ref FROM walk WHERE ancestor = 'n1' AND EXISTS (SELECT 1 FROM place WHERE node_id = 'n1' AND parent = 'r1')"""
+
+ORACLES["link_spawn"] = """
+WITH sure AS (
+  SELECT s_nationkey AS nation, s_suppkey, c_custkey FROM supplier JOIN customer ON c_custkey = s_suppkey AND c_nationkey = s_nationkey
+  WHERE s_suppkey % 5 = 1 OR s_suppkey % 2 = 0
+),
+calls AS (
+  SELECT s_nationkey AS nation, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier
+  WHERE s_suppkey NOT IN (SELECT s_suppkey FROM sure) AND s_suppkey % 5 <> 1
+),
+kids AS (
+  SELECT c_nationkey AS nation, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS n FROM customer
+  WHERE c_custkey NOT IN (SELECT c_custkey FROM sure)
+)
+SELECT 'n' || nation AS node_id, s_suppkey, 'c' || c_custkey AS child FROM sure
+UNION ALL SELECT 'n' || nation, s_suppkey, 'c' || c_custkey FROM calls JOIN kids USING (nation, n)"""
+
+_PART_FILES = """
+WITH parts AS (SELECT p_partkey % 5 AS kind, '/lake/p' || (p_partkey - p_partkey % 5) AS owner, p_partkey FROM part),
+files AS (
+  SELECT *, CASE kind WHEN 0 THEN owner || '.jsonl' WHEN 1 THEN owner || '/subagents/x' || p_partkey || '.jsonl'
+    WHEN 2 THEN owner || '/subagents/flow/w1/agent-' || p_partkey || '.jsonl' WHEN 3 THEN owner || '/subagents/flow/w1/journal-' || p_partkey || '.jsonl'
+    ELSE '/lake/agent-' || p_partkey || '.jsonl' END AS path FROM parts
+)"""
+
+ORACLES["classify_path"] = f"""{_PART_FILES}
+SELECT path, CASE kind WHEN 0 THEN 'root' WHEN 1 THEN 'child' WHEN 2 THEN 'member' WHEN 3 THEN 'ignored' ELSE 'legacy' END AS role,
+  CASE WHEN kind IN (1, 2) THEN owner || '.jsonl' END AS parent_path, CASE WHEN kind = 2 THEN owner || '/subagents/flow/w1' END AS group_dir FROM files"""
+
+ORACLES["affected_roots"] = f"""{_PART_FILES} SELECT path, CASE WHEN kind < 4 THEN owner || '.jsonl' ELSE path END AS root_path FROM files"""
+
+ORACLES["token_totals"] = f"""WITH {_REQUESTS}
+SELECT event_id, u AS uncached_input, input + output + write_5m + write_1h + c AS total, u + output + write_5m + write_1h AS flow, input + c + write_5m + write_1h AS context
+FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN greatest(0, input - cache_read) ELSE input END AS u, CASE WHEN event_id % 2 = 0 THEN 0 ELSE cache_read END AS c FROM requests)"""

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.functions import text
+from sessionlake.functions import text, tokens
 from sessionlake.functions.matching import compile_matcher
-from sessionlake.operators import ledger, manifest, pricing, search, sessions, timeline, tree
+from sessionlake.operators import graph, ledger, manifest, pricing, search, sessions, timeline, tree
 from sessionlake.plans.staging import stage
 from sessionlake.sources import claude, codex, scan, tables
 from sessionlake.sources.pricing import overlay_pricing
@@ -303,6 +303,67 @@ def sibling_titles(spark, sf_dir):
     return tree.sibling_titles(worded, edges).select("node_id", "title")
 
 
+@query
+def filter_scope(spark, sf_dir):
+    """Search scope of one nation: the node and its descendants only."""
+    nodes, _, pairs = _places(spark, sf_dir)
+    named = tree.with_refs(nodes, pairs)
+    start = "claude:r1#n1"
+    scoped = search.filter_scope(search.scope_nodes(named, start), pairs)
+    return scoped.select("node_id", "root_ref")
+
+
+@query
+def link_spawn(spark, sf_dir):
+    """Suppliers as spawn calls, customers of the same nation as child nodes."""
+    nation = lambda key: F.concat(F.lit("n"), F.col(key))
+    calls = tables.table(spark, sf_dir, "supplier").select(
+        F.lit("claude").alias("agent"), nation("s_nationkey").alias("node_id"), F.col("s_suppkey").alias("seq"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lower(F.format_string("Customer#%09d", F.col("s_suppkey"))))).otherwise(F.array().cast("array<string>")).alias("names"),
+        F.when(F.col("s_suppkey") % 5 == 1, F.concat(F.lit("c"), F.col("s_suppkey"))).otherwise(F.lit("")).alias("result_id"),
+    )
+    children = tables.table(spark, sf_dir, "customer").select(
+        F.lit("claude").alias("agent"), nation("c_nationkey").alias("node_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("child"),
+        F.concat(F.lit("c"), F.col("c_custkey")).alias("session_id"), F.col("c_name").alias("title"), F.lit(False).alias("is_group"), F.col("c_name").alias("at"),
+    )
+    return graph.link_spawn(calls, children).select("node_id", F.col("seq").alias("s_suppkey"), "child")
+
+
+@query
+def classify_path(spark, sf_dir):
+    """Parts as transcript files of every role."""
+    return scan.classify_path(_part_files(spark, sf_dir)).select("path", "role", "parent_path", "group_dir")
+
+
+@query
+def affected_roots(spark, sf_dir):
+    return manifest.affected_roots(_part_files(spark, sf_dir)).select("path", "root_path")
+
+
+def _part_files(spark, sf_dir):
+    key = F.col("p_partkey")
+    owner = F.concat(F.lit("/lake/p"), (key - key % 5).cast("string"))
+    number = key.cast("string")
+    path = (
+        F.when(key % 5 == 0, F.concat(owner, F.lit(".jsonl")))
+        .when(key % 5 == 1, F.concat(owner, F.lit("/subagents/x"), number, F.lit(".jsonl")))
+        .when(key % 5 == 2, F.concat(owner, F.lit("/subagents/flow/w1/agent-"), number, F.lit(".jsonl")))
+        .when(key % 5 == 3, F.concat(owner, F.lit("/subagents/flow/w1/journal-"), number, F.lit(".jsonl")))
+        .otherwise(F.concat(F.lit("/lake/agent-"), number, F.lit(".jsonl")))
+    )
+    return tables.table(spark, sf_dir, "part").select(F.lit("claude").alias("agent"), path.alias("path"))
+
+
+@query
+def token_totals(spark, sf_dir):
+    """Token columns of both counting rules."""
+    requests = tables.event_requests(spark, sf_dir).withColumn("includes_cache_read", F.col("byte_offset") % 2 == 0)
+    return requests.select(
+        F.col("byte_offset").alias("event_id"), tokens.uncached_input(F.col).alias("uncached_input"), tokens.total_tokens(F.col).alias("total"),
+        tokens.flow_tokens(F.col).alias("flow"), tokens.context_tokens(F.col).alias("context"),
+    )
+
+
 # --- ordered operators -------------------------------------------------------------------------
 
 
