@@ -140,24 +140,28 @@ class Corpus:
 
     @cached_property
     def file_events(self) -> DataFrame:
-        """Timelines of every file without index and prices."""
+        """Indexed timelines of every file, without prices; a node's events all come from one file."""
         requests = self.ledger.select(
             "agent", "node_id", "byte_offset", "is_aggregate", F.struct(*USAGE_FIELDS).alias("usage_struct")
         )
         first = timeline.claude_events(self.claude_records, self.claude_lines)
         second = timeline.codex_events(self.codex_records, self.codex_state, self.codex_meta, requests, self.codex_summaries)
-        return stage(first.unionByName(second), "file-events")
+        return stage(timeline.event_index(stage(first.unionByName(second), "unindexed")), "file-events")
 
-    @cached_property
-    def events(self) -> DataFrame:
-        """Priced timelines of every node with their stable event index and linked sub-agents."""
+    def linked_events(self) -> DataFrame:
+        """Timelines of the addressable nodes, priced, spawn events linked to their child's reference."""
         nodes = self.nodes.select("agent", "node_id", "ref")
         placed = self.file_events.join(nodes.select("agent", "node_id"), ["agent", "node_id"], "left_semi")
-        indexed = timeline.event_index(placed)
-        linked = graph.spawn_links(self.file_events, self.nodes, self.edges)
-        targets = linked.join(nodes.select("agent", F.col("node_id").alias("child"), F.col("ref").alias("subagent_ref")), ["agent", "child"])
-        indexed = indexed.join(targets.select("agent", "node_id", "seq", "subagent_ref"), ["agent", "node_id", "seq"], "left")
-        return stage(price_events(indexed, self.prices, self.default_model), "events")
+        links = graph.spawn_links(self.file_events, self.nodes, self.edges)
+        child = nodes.select("agent", F.col("node_id").alias("child"), F.col("ref").alias("subagent_ref"))
+        targets = links.join(child, ["agent", "child"]).select("agent", "node_id", "seq", "subagent_ref")
+        linked = placed.join(targets, ["agent", "node_id", "seq"], "left")
+        return price_events(linked, self.prices, self.default_model)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """Linked and priced timelines, kept sorted by node so that one node's rows sit together."""
+        return stage(self.linked_events().sortWithinPartitions("node_id", "event_index"), "events")
 
 
 def price_events(events: DataFrame, prices: DataFrame, default_model: str | None = None) -> DataFrame:

@@ -269,8 +269,11 @@ def show_session(
     """Timeline rows of one node from the full-timeline index ``offset`` on, within the byte budget."""
     _page_bounds(limit, offset)
     kinds = parse_kinds(kinds)
-    chosen = nodes.where(F.col("ref") == ref).select("agent", "node_id")
-    rows = events.join(chosen, ["agent", "node_id"], "left_semi").where(F.col("event_index") >= offset)
+    # A reference names one node; its key goes to the scan as a literal and prunes the files.
+    chosen = nodes.where(F.col("ref") == ref).select("agent", "node_id").first()
+    if chosen is None:
+        raise UsageError(f"no session has the reference {ref!r}")
+    rows = events.where((F.col("agent") == chosen.agent) & (F.col("node_id") == chosen.node_id) & (F.col("event_index") >= offset))
     if kinds:
         rows = rows.where(F.col("kind").isin(kinds))
     wire = event_rows(rows, max_text)

@@ -123,6 +123,7 @@ def rollup(nodes: DataFrame, totals: DataFrame, pairs: DataFrame) -> DataFrame:
         sums |= {f"self_{name}": own, f"desc_{name}": desc, f"total_{name}": own + desc}
     out = out.withColumns(sums).drop(*numeric)
     none = F.array().cast("array<string>")
+    no_rates = F.array().cast("array<struct<model:string,pricing_model:string>>")
     own_missing = F.coalesce(F.col("missing_pricing"), none)
     own_estimated = F.coalesce(F.col("estimated"), F.lit(False))
     latest = F.greatest(
@@ -136,6 +137,9 @@ def rollup(nodes: DataFrame, totals: DataFrame, pairs: DataFrame) -> DataFrame:
                 "self_missing": own_missing,
                 "desc_missing": F.array_sort(F.coalesce("desc_missing", none)),
                 "total_missing": F.array_sort(F.array_union(own_missing, F.coalesce("desc_missing", none))),
+                "total_rates": F.array_sort(
+                    F.array_union(F.coalesce("estimated_rates", no_rates), F.coalesce("desc_rates", no_rates))
+                ),
                 "self_estimated": own_estimated,
                 "desc_estimated": F.coalesce("desc_estimated", F.lit(False)),
                 "total_estimated": own_estimated | F.coalesce("desc_estimated", F.lit(False)),
@@ -143,7 +147,7 @@ def rollup(nodes: DataFrame, totals: DataFrame, pairs: DataFrame) -> DataFrame:
                 "updated_raw": F.col("latest.updated_raw"),
             }
         )
-        .drop("latest", "desc_updated", "missing_pricing", "estimated")
+        .drop("latest", "desc_updated", "missing_pricing", "estimated", "estimated_rates", "desc_rates")
     )
 
 

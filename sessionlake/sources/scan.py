@@ -121,7 +121,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             path = row["path"]
             system, inner = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
-            with system.open_input_file(inner) as stream:
+            try:
+                stream = system.open_input_file(inner)
+            except (FileNotFoundError, PermissionError):
+                # Reported once per file and skipped; other failures fail the task and are retried.
+                if row["start"] == 0:
+                    yield _batches([(0, 0, None, False)], row["agent"], path)
+                continue
+            with stream:
                 yield from _read_range(stream, row["agent"], path, row["start"], row["end"])
 
 
@@ -157,14 +164,17 @@ def offset_block(column: str = "byte_offset", block_bytes: int = BLOCK_BYTES) ->
 
 
 def skip_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split ``raw_records`` into readable lines and diagnostics about the others."""
+    """Split ``raw_records`` into readable lines and diagnostics about the others.
+
+    Codes: oversized_line, malformed_line, and unreadable_session for a file that could not be opened.
+    """
     oversized = F.coalesce(F.col("oversized"), F.lit(False)) if "oversized" in raw.columns else F.lit(False)
     too_long = oversized | (F.octet_length("line") > MAX_LINE_BYTES)
     checked = raw.withColumn(
         "__code",
-        F.when(too_long, F.lit("oversized_line")).when(
-            F.try_parse_json("line").isNull(), F.lit("malformed_line")
-        ),
+        F.when(too_long, F.lit("oversized_line"))
+        .when(F.col("line").isNull(), F.lit("unreadable_session"))
+        .when(F.try_parse_json("line").isNull(), F.lit("malformed_line")),
     )
     good = checked.where("__code IS NULL").drop("__code", "oversized")
     bad = checked.where("__code IS NOT NULL").select(
@@ -172,7 +182,7 @@ def skip_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         "path",
         "byte_offset",
         F.col("__code").alias("code"),
-        F.lit("line skipped").alias("message"),
+        F.when(F.col("__code") == "unreadable_session", F.lit("could not open the file")).otherwise(F.lit("line skipped")).alias("message"),
     )
     return good, bad
 

@@ -121,6 +121,11 @@ class StoredCorpus(Corpus):
     def diagnostics(self) -> DataFrame:
         return self._addressed[1]
 
+    @cached_property
+    def events(self) -> DataFrame:
+        """Read through to the stored timelines, so a query touches only the rows it needs."""
+        return self.linked_events()
+
 
 def _stored(name: str):
     prop = cached_property(lambda self: self.store.table(name).drop("file_bucket"))

@@ -123,3 +123,23 @@ def test_timeline(corpus):
     row = shown.first()
     assert row["text"] == "Bash(ls\npwd)" and row["tool"]["output"] == "Exit code 2\nno such file"
     assert sessions.show_session(corpus.nodes, corpus.events, "claude:s-main", offset=8, limit=1).first()["kind"] == "subagent"
+
+
+def test_spawn_links_and_search(corpus):
+    from sessionlake.operators import search
+
+    linked = rows(corpus.events.where("subagent_ref IS NOT NULL"), "event_index", "subagent_ref")
+    assert linked == [(8, "claude:s-main#scout")]
+    hits = search.search_events(corpus.nodes, corpus.events, corpus.pairs, "WORKING", around=3)
+    found = rows(hits, "ref", "event_index", "field", "range_start", "range_end", "snippet", "matches")
+    assert found == [
+        ("claude:s-fork", 1, "text", 0, 7, "Working on…", 1),
+        ("claude:s-main", 1, "text", 0, 7, "Working on…", 1),
+        ("claude:s-main", 2, "text", 0, 7, "Working on…", 1),
+    ]
+    scoped = search.search_events(corpus.nodes, corpus.events, corpus.pairs, "o[kn]", regex=True, session="claude:s-main#wf-7")
+    assert rows(scoped, "ref", "event_index", "field") == [
+        ("claude:s-main#wf-7/one", 0, "text"), ("claude:s-main#wf-7/one", 1, "text"),
+        ("claude:s-main#wf-7/two", 0, "text"), ("claude:s-main#wf-7/two", 1, "text"),
+    ]
+    assert sorted(rows(corpus.diagnostics, "code")) == [("malformed_line",)]

@@ -42,6 +42,17 @@ def test_oversized_and_malformed(spark, tmp_path):
     assert rows(bad, "code", order="byte_offset") == [("oversized_line",), ("malformed_line",)]
 
 
+def test_unreadable_file_is_reported(spark):
+    files = spark.createDataFrame([("claude", "/nowhere/x.jsonl", 10)], "agent string, path string, size_bytes long")
+    good, bad = scan.skip_malformed(scan.scan_files(files))
+    assert good.count() == 0
+    assert rows(bad, "path", "code") == [("/nowhere/x.jsonl", "unreadable_session")]
+    nodes = spark.createDataFrame([("claude", "n", "n", "/nowhere.jsonl")], "agent string, node_id string, start_id string, path string")
+    with pytest.raises(search.UnreadableScope):
+        search.require_readable(nodes, bad.withColumn("path", F.lit("/nowhere/subagents/x.jsonl")))
+    search.require_readable(nodes, bad.withColumn("path", F.lit("/elsewhere/x.jsonl")))
+
+
 def test_path_roles(spark):
     paths = [
         "/r/p/s.jsonl", "/r/p/s/subagents/c.jsonl", "/r/p/s/subagents/w/g/agent-a.jsonl", "/r/p/s/subagents/w/g/journal.jsonl",
