@@ -421,6 +421,7 @@ def codex_tool_input(name: Column, raw: Column) -> Column:
     )
     return (
         F.when(name == "apply_patch", patch)
+        .when((name == "exec") & F.exists(T.nested_tools(raw), lambda tool: tool != "exec_command"), F.lit(""))
         .when((name == "exec") & (F.size(T.nested_tools(raw)) > 1), F.lit(""))
         .otherwise(F.coalesce(picked, T.collapse(raw)))
     )

@@ -38,7 +38,8 @@ _ENVELOPE = (
 
 def codex_records(raw: DataFrame) -> DataFrame:
     """Typed columns of every readable line; unknown fields are ignored."""
-    parsed = raw.withColumn("r", F.from_json("line", _ENVELOPE)).where("r._corrupt_record IS NULL")
+    # With an option the parse keeps its whole schema, so a field of a wrong type drops the record.
+    parsed = raw.withColumn("r", F.from_json("line", _ENVELOPE, {"mode": "PERMISSIVE"})).where("r._corrupt_record IS NULL")
     p = "r.payload"
 
     def tokens(name: str) -> Column:

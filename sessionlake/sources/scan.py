@@ -22,11 +22,24 @@ BLOCK_BYTES = 8 * 1024 * 1024
 RAW_SCHEMA = "agent string, path string, byte_offset bigint, byte_length int, line string, oversized boolean"
 
 
+FILE_SCHEMA = "agent string, path string, size_bytes bigint, modified_at timestamp"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def list_files(spark: SparkSession, roots: dict[str, str | list[str]]) -> DataFrame:
-    """Every ``*.jsonl`` below the roots: agent, path, size_bytes, modified_at. Reads no content."""
-    listed = None
+    """Every ``*.jsonl`` below the roots: agent, path, size_bytes, modified_at. Reads no content.
+
+    A root that does not exist lists nothing.
+    """
+    listed = spark.createDataFrame([], FILE_SCHEMA)
     for agent, paths in roots.items():
-        paths = sorted({paths} if isinstance(paths, str) else set(paths))
+        paths = sorted(path for path in ({paths} if isinstance(paths, str) else set(paths)) if _exists(spark, path))
+        if not paths:
+            continue
         files = (
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", True)
@@ -39,7 +52,7 @@ def list_files(spark: SparkSession, roots: dict[str, str | list[str]]) -> DataFr
                 F.col("modificationTime").alias("modified_at"),
             )
         )
-        listed = files if listed is None else listed.unionByName(files)
+        listed = listed.unionByName(files)
     return listed.dropDuplicates(["agent", "path"])
 
 
