@@ -12,6 +12,7 @@ from sessionlake.sources.records import (
     first_known,
     non_empty,
     number_or_zero,
+    parse_lines,
     text_or_empty,
     timestamp_of,
     usage_total,
@@ -55,8 +56,7 @@ _RESULT = "agentId STRING, runId STRING, workflowName STRING"
 
 def claude_records(raw: DataFrame) -> DataFrame:
     """Typed columns of every readable line; unknown fields are ignored."""
-    # With an option the parse keeps its whole schema, so a field of a wrong type drops the record.
-    parsed = raw.withColumn("r", F.from_json("line", _ENVELOPE, {"mode": "PERMISSIVE"})).where("r._corrupt_record IS NULL")
+    parsed = parse_lines(raw, _ENVELOPE)
     blocks = F.when(
         F.col("r.type").isin("user", "assistant"), F.from_json("line", _BLOCKS).getField("message").getField("content")
     )

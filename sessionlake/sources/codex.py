@@ -14,6 +14,7 @@ from sessionlake.sources.records import (
     first_known,
     non_empty,
     number_or_zero,
+    parse_lines,
     text_or_empty,
     timestamp_of,
 )
@@ -38,8 +39,7 @@ _ENVELOPE = (
 
 def codex_records(raw: DataFrame) -> DataFrame:
     """Typed columns of every readable line; unknown fields are ignored."""
-    # With an option the parse keeps its whole schema, so a field of a wrong type drops the record.
-    parsed = raw.withColumn("r", F.from_json("line", _ENVELOPE, {"mode": "PERMISSIVE"})).where("r._corrupt_record IS NULL")
+    parsed = parse_lines(raw, _ENVELOPE)
     p = "r.payload"
 
     def tokens(name: str) -> Column:

@@ -22,6 +22,16 @@ REQUEST_COLUMNS = [
 ]
 
 
+def parse_lines(raw: DataFrame, schema: str) -> DataFrame:
+    """Add the parsed record ``r`` of every line; unreadable lines and wrongly typed fields drop the line.
+
+    With an option given, the parse keeps its whole schema, so that a wrong type in any field shows.
+    Generated rather than projected, the parse is not copied into every filter above it.
+    """
+    record = F.from_json("line", schema, {"mode": "PERMISSIVE"})
+    return raw.select("*", F.explode(F.array(record)).alias("r")).where("r._corrupt_record IS NULL")
+
+
 def timestamp_of(raw: Column) -> Column:
     """RFC 3339 text as TIMESTAMP; null for anything else."""
     return F.when(F.rlike(raw, F.lit(RFC3339)), F.try_to_timestamp(raw))
