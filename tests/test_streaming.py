@@ -57,3 +57,19 @@ def test_tail_reads_complete_lines_once(spark, tmp_path):
     query.awaitTermination(120)
     found = rows(spark.read.parquet(str(out)), "byte_offset", "line", order="byte_offset")
     assert found == [(0, '{"n": 1}'), (9, '{"n": 2}'), (18, '{"n": 3}'), (27, '{"n": 4}')]
+
+
+def test_follow_refreshes_the_store(spark, prices, tmp_path):
+    from sessionlake.streaming.store import follow
+
+    root = tmp_path / "in"
+    write(root / "p" / "b.jsonl", *session("b", 20, "m1", "m2"))
+    store = Store(spark, str(tmp_path / "tables"), {"claude": str(root)}, buckets=2)
+    seen = []
+    query = follow(spark, store, prices, "1 second", after=lambda fresh: seen.append(fresh.table("manifest").count()))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert seen == [1]
+    assert owned(store, prices) == {"b": 20}
