@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from sessionlake.llm.byte_bpe import op3_byte_bpe
 from sessionlake.llm.decontaminate import OP1_SQL, op1_decontaminate
+from sessionlake.llm.token_count import op10_token_count
+from sessionlake.llm.token_file import op5_token_file
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op5_token_file": op5_token_file,
+    "op10_token_count": op10_token_count,
 }
 
 ORACLES = {
