@@ -19,6 +19,7 @@ import math
 import re
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -41,32 +42,46 @@ _ASCII_WORD = re.compile(r"([A-Za-z]+)([.,]*)")
 
 
 class Tokens:
-    """Ids of texts under one tokenizer file; keeps the ids of recent words."""
+    """Ids of texts under one tokenizer file; keeps the ids of recent words.
+
+    A tokenizer that lower-cases, drops spaces and splits letters from stops (probed once) gives ASCII words
+    straight to its merge model; every other word runs through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_type(self.tokenizer.get_vocab_size())
+        self.code = {"<u2": "H", "<u4": "I"}[self.kind]
         self.units: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        probes = ["The", "a\n b  c", "Winter, Snow.", "qzXv..,", "antidisestablishment"]
+        self.plain = all(self._whole([probe])[0] == b"".join(self._words(probe.split())) for probe in probes)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(item.ids, self.kind).tobytes() for item in coded]
+        return [array(self.code, item.ids).tobytes() for item in coded]
+
+    def _model(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            ids = [token.id for token in self.tokenizer.model.tokenize(word)]
+            found = self.words[word] = array(self.code, ids).tobytes()
+        return found
+
+    def _words(self, units: list[str]) -> list[bytes]:
+        """Ids of ASCII words with stops behind them."""
+        return [self._model(word.lower()) + (self._model(stops) if stops else b"")
+                for word, stops in (_ASCII_WORD.fullmatch(unit).groups() for unit in units)]
 
     def _add(self, units: list[str]) -> None:
-        """Fill the cache. Letters and the stops after them are tokens apart, and case does not matter."""
-        parts: dict[str, list[str]] = {}
-        for unit in units:
-            found = _ASCII_WORD.fullmatch(unit)
-            parts[unit] = [p for p in (found[1].lower(), found[2]) if p] if found else [unit]
-        new = list({part for each in parts.values() for part in each}.difference(self.words))
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            self.words.update(zip(some, self._encode(some)))
-        for unit, each in parts.items():
-            self.units[unit] = b"".join([self.words[part] for part in each])
+        ascii_words = [unit for unit in units if self.plain and _ASCII_WORD.fullmatch(unit)]
+        self.units.update(zip(ascii_words, self._words(ascii_words)))
+        rest = list(set(units).difference(ascii_words))
+        for at in range(0, len(rest), 10_000):
+            some = rest[at:at + 10_000]
+            self.units.update(zip(some, self._whole(some)))
 
     def encode(self, text: str) -> bytes:
         units = text.replace("\n", " ").split(" ")
