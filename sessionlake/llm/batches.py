@@ -20,6 +20,34 @@ def free_name(taken, base: str) -> str:
     return base
 
 
+def byte_characters() -> list[str]:
+    """A printable character for each byte: itself where it is visible in Latin-1, else one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, spare = [], 256
+    for byte in range(256):
+        out.append(chr(byte if byte in visible else spare))
+        spare += byte not in visible
+    return out
+
+
+class Recent(dict):
+    """Values of recent keys, computed when first asked for; holds ``limit`` keys and those of the round before."""
+
+    def __init__(self, compute, limit: int):
+        super().__init__()
+        self.compute, self.limit, self.before = compute, limit, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offset of every row; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

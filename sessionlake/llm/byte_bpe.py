@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import text_bytes
+from sessionlake.llm.batches import Recent, byte_characters
 
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -31,16 +31,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(entry): int(rank) for entry, rank in (line.split() for line in lines if line.strip())}
 
 
-def byte_characters() -> list[str]:
-    """A printable character for each byte: itself where it is visible in Latin-1, else one from 256 on."""
-    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    out, spare = [], 256
-    for byte in range(256):
-        out.append(chr(byte if byte in visible else spare))
-        spare += byte not in visible
-    return out
-
-
 def _varint(value: int) -> bytes:
     out = bytearray()
     while value > 127:
@@ -92,22 +82,18 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.characters = {byte: character for byte, character in enumerate(byte_characters())}
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = dict(self.whole)
+        self.recent = Recent(self._pre_token, CACHE_ENTRIES)
+
+    def _pre_token(self, token: str) -> bytes:
+        whole = self.whole.get(token)
+        if whole is not None:
+            return whole
+        mapped = token.encode().decode("latin-1").translate(self.characters)
+        return self.ids[self.model.encode(mapped, out_type=int)].tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        tokens = self.split(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, tokens))
-        except KeyError:
-            pass
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache = dict(self.whole)
-        new = list(set(tokens).difference(self.cache))
-        mapped = [token.encode().decode("latin-1").translate(self.characters) for token in new]
-        for token, ids in zip(new, self.model.encode(mapped, out_type=int, num_threads=1)):
-            self.cache[token] = self.ids[ids].tobytes()
-        return b"".join(map(self.cache.__getitem__, tokens))
+        return b"".join(map(self.recent.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

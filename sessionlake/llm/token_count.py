@@ -20,11 +20,12 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 1_000_000
+from sessionlake.llm.batches import Recent
+
+CACHE_ENTRIES = 300_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 NORMAL = 1
@@ -58,7 +59,7 @@ class Counter:
         # A run of unknown characters may pass a line feed, so without byte pieces only spaces part words.
         split = r" *[^ \n]+| +|\n" if byte_fallback else r" *[^ ]+| +"
         self.words = re.compile(split if words else r"(?s).+").findall
-        self.cache: dict[str, int] = {}
+        self.recent = Recent(lambda word: self.search(word.replace(" ", SPACE)), CACHE_ENTRIES)
 
     def search(self, text: str) -> int:
         """Pieces of the best path of ``text``, whose spaces are mapped."""
@@ -89,18 +90,7 @@ class Counter:
         return counts[-1]
 
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        words = self.words(" " + text)
-        try:
-            return sum(map(self.cache.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache = {}
-        for word in set(words).difference(self.cache):
-            self.cache[word] = self.search(word.replace(" ", SPACE))
-        return sum(map(self.cache.__getitem__, words))
+        return sum(map(self.recent.__getitem__, self.words(" " + text))) if text else 0
 
 
 @lru_cache(maxsize=2)

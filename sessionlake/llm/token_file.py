@@ -16,6 +16,7 @@ empty file that reads back as no rows; a damaged block raises.
 from __future__ import annotations
 
 import math
+import os
 import re
 import uuid
 import zlib
@@ -29,70 +30,57 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionlake.llm.batches import Recent, byte_characters
 from sessionlake.plans.joins import broadcast_if_small
 from sessionlake.plans.staging import shared_folder, stage
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 150_000
 LANES = 1024
 BLOCK_IDS = 1 << 18
 CHECKPOINT_STEPS = 128
 SEGMENT_BYTES = 32_000_000
 LOW = np.uint64(1 << 31)
-_ASCII_WORD = re.compile(r"([A-Za-z]+)([.,]*)")
+_LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 class Tokens:
     """Ids of texts under one tokenizer file; keeps the ids of recent words.
 
-    A tokenizer that lower-cases, drops spaces and splits letters from stops (probed once) gives ASCII words
-    straight to its merge model; every other word runs through the whole tokenizer.
+    A byte-level tokenizer that lower-cases, drops spaces and splits letters from stops (probed once) gives Latin
+    words straight to its merge model; every other word runs through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_type(self.tokenizer.get_vocab_size())
         self.code = {"<u2": "H", "<u4": "I"}[self.kind]
-        self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        probes = ["The", "a\n b  c", "Winter, Snow.", "qzXv..,", "antidisestablishment"]
-        self.plain = all(self._whole([probe])[0] == b"".join(self._words(probe.split())) for probe in probes)
+        self.characters = dict(enumerate(byte_characters()))
+        self.parts = Recent(self._model, CACHE_ENTRIES)
+        probes = ["The", "a\n b  c", "Winter, Snow.", "qzXv..,", "ÉtÀgères?! Straße", "antidisestablishment"]
+        self.plain = all(self._whole(probe) == b"".join(map(self._word, probe.split())) for probe in probes)
+        self.units = Recent(self._unit, CACHE_ENTRIES)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.code, item.ids).tobytes() for item in coded]
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _model(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            ids = [token.id for token in self.tokenizer.model.tokenize(word)]
-            found = self.words[word] = array(self.code, ids).tobytes()
-        return found
-
-    def _words(self, units: list[str]) -> list[bytes]:
-        """Ids of ASCII words with stops behind them."""
-        return [self._model(word.lower()) + (self._model(stops) if stops else b"")
-                for word, stops in (_ASCII_WORD.fullmatch(unit).groups() for unit in units)]
-
-    def _add(self, units: list[str]) -> None:
-        ascii_words = [unit for unit in units if self.plain and _ASCII_WORD.fullmatch(unit)]
-        self.units.update(zip(ascii_words, self._words(ascii_words)))
-        rest = list(set(units).difference(ascii_words))
-        for at in range(0, len(rest), 10_000):
-            some = rest[at:at + 10_000]
-            self.units.update(zip(some, self._whole(some)))
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.characters)
+        return array(self.code, [token.id for token in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _word(self, unit: str) -> bytes:
+        """Ids of a Latin word with stops behind it."""
+        word, stops = _LATIN_WORD.fullmatch(unit).groups()
+        return self.parts[word.lower()] + self.parts[stops] if stops else self.parts[word.lower()]
+
+    def _unit(self, unit: str) -> bytes:
+        return self._word(unit) if self.plain and _LATIN_WORD.fullmatch(unit) else self._whole(unit)
 
     def encode(self, text: str) -> bytes:
-        units = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.units.__getitem__, units))
-        except KeyError:
-            pass
-        if len(self.units) > CACHE_ENTRIES or len(self.words) > CACHE_ENTRIES:
-            self.units, self.words = {}, {}
-        self._add(list(set(units).difference(self.units)))
-        return b"".join(map(self.units.__getitem__, units))
+        return b"".join(map(self.units.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def id_type(vocabulary: int) -> str:
