@@ -48,6 +48,13 @@ class Recent(dict):
         return value
 
 
+def slices(batches, rows: int = 1_000):
+    """The batches in slices of ``rows`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offset of every row; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

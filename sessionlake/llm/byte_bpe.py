@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import Recent, byte_characters
+from sessionlake.llm.batches import Recent, byte_characters, free_name, slices
 
 CACHE_ENTRIES = 150_000
 
@@ -108,7 +108,7 @@ def codec(path: str, pattern: str) -> Codec:
 def _encoder(path: str, pattern: str, text_at: int):
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [own.encode(text) if text else b"" for text in batch.column(text_at).to_pylist()]
             columns = [*batch.columns, pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(columns))])
@@ -117,19 +117,22 @@ def _encoder(path: str, pattern: str, text_at: int):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of every text as a binary of little-endian unsigned 32-bit integers, without a shuffle."""
-    if ids_col.lower() in {name.lower() for name in docs.columns}:
-        raise ValueError(f"docs has a column {ids_col} already; choose another ids_col")
+    """``docs`` with the ids of every text as a binary of little-endian unsigned 32-bit integers, without a shuffle.
+
+    The new column comes last; its name is lengthened where it clashes.
+    """
+    ids_col = free_name(docs.columns, ids_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.BinaryType())])
     return docs.mapInArrow(_encoder(path, pattern, docs.columns.index(text_col)), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes that the ids stand for."""
+    """``encoded`` with the bytes that the ids stand for, in a last column whose name is lengthened where it clashes."""
+    bytes_col = free_name(encoded.columns, bytes_col)
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             raw = [own.decode(ids) if ids else b"" for ids in batch.column(at).to_pylist()]
             columns = [*batch.columns, pa.array(raw, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(columns))])

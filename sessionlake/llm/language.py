@@ -13,7 +13,7 @@ The model is fitted on about ``rows_per_language`` rows of each language, drawn
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing can be
 learned; rows with a null id, text or language are not learned from; repeated rows count and are predicted
-alike; other columns pass through, and clashing names are refused.
+alike; other columns pass through; the two new columns come last, and their names are lengthened where they clash.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import CHUNK_BYTES, chunks, text_bytes
+from sessionlake.llm.batches import CHUNK_BYTES, chunks, free_name, text_bytes
 
 ORDER = 4
 ROWS_PER_LANGUAGE = 400
@@ -211,9 +211,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 keys, owner = _keys(padded, ORDER, len(padded)), owner[ORDER:]
                 keys, of = keys[owner >= 0], lang[first + owner[owner >= 0]]
                 for k in range(ORDER + 1):
-                    both, n = np.unique(np.stack([of.astype(np.uint64), keys & _below(k)]), axis=1, return_counts=True)
+                    # The language stands above the five bytes of a key.
+                    both, n = np.unique(of.astype(np.uint64) << np.uint64(40) | keys & _below(k), return_counts=True)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(both[0].astype(np.int64)), pa.array(np.full(len(n), k)), pa.array(both[1].astype(np.int64)), pa.array(n)],
+                        pa.array((both >> np.uint64(40)).astype(np.int64)), pa.array(np.full(len(n), k)), pa.array((both & _below(ORDER)).astype(np.int64)), pa.array(n)],
                         ["lang", "order", "key", "n"])
 
     counted = sample.mapInArrow(run, "lang long, order long, key long, n long").groupBy("lang", "order", "key").agg(F.sum("n").alias("n")).toArrow()
@@ -223,9 +224,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with the predicted language of every whole text and its score, without a shuffle."""
-    clash = {pred_col.lower(), score_col.lower()} & {name.lower() for name in docs.columns}
-    if clash:
-        raise ValueError(f"docs has the columns {sorted(clash)} already; choose other names")
+    pred_col, score_col = free_name(docs.columns, pred_col), free_name(docs.columns, score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     at = docs.columns.index(text_col)
 
@@ -257,7 +256,9 @@ def keep_known(docs: DataFrame, min_score: float = 0.5, **columns) -> DataFrame:
     learned = docs.where(~held_out(columns.get("id_col", "doc_id")))
     model = train(learned, **columns)
     text_col = columns.get("text_col", "text")
-    return predict(docs, model, text_col, "_language", "_share").where((F.col("_language") != UNDETERMINED) & (F.col("_share") >= min_score)).select(*docs.columns)
+    told = predict(docs, model, text_col)
+    language, share = (F.col(f"`{name}`") for name in told.columns[-2:])
+    return told.where((language != UNDETERMINED) & (share >= min_score)).select(*[F.col(f"`{name}`") for name in docs.columns])
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

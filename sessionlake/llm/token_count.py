@@ -23,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.batches import Recent
+from sessionlake.llm.batches import Recent, free_name
 
 CACHE_ENTRIES = 300_000
 SPACE = "▁"
@@ -100,16 +100,17 @@ def counter(path: str) -> Counter:
 
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", count_col: str = "n_tokens") -> DataFrame:
-    """``docs`` with the number of pieces of every whole text, without a shuffle."""
+    """``docs`` with the number of pieces of every whole text, without a shuffle.
+
+    The new column comes last; its name is lengthened where it clashes.
+    """
 
     @F.pandas_udf("long")
     def count(texts):
         own = counter(path)
         return texts.map(lambda text: own.count(text or "")).astype("int64")
 
-    if count_col.lower() in {name.lower() for name in docs.columns}:
-        raise ValueError(f"docs has a column {count_col} already; choose another count_col")
-    return docs.withColumn(count_col, count(F.col(f"`{text_col}`")))
+    return docs.withColumn(free_name(docs.columns, count_col), count(F.col(f"`{text_col}`")))
 
 
 def op10_token_count(spark, sf_dir: str) -> DataFrame:

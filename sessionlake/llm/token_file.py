@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import Recent, byte_characters
+from sessionlake.llm.batches import Recent, byte_characters, slices
 from sessionlake.plans.joins import broadcast_if_small
 from sessionlake.plans.staging import shared_folder, stage
 
@@ -40,7 +40,7 @@ BLOCK_IDS = 1 << 18
 CHECKPOINT_STEPS = 128
 SEGMENT_BYTES = 32_000_000
 LOW = np.uint64(1 << 31)
-_LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 
 
 class Tokens:
@@ -60,7 +60,8 @@ class Tokens:
         self.characters = dict(enumerate(byte_characters()))
         self.parts = Recent(self._model, CACHE_ENTRIES)
         probes = ["The", "a\n b  c", "Winter, Snow.", "qzXv..,", "ÉtÀgères?! Straße", "antidisestablishment"]
-        self.plain = all(self._whole(probe) == b"".join(map(self._word, probe.split())) for probe in probes)
+        self.plain = True
+        self.plain = all(self._whole(probe) == b"".join(map(self._unit, probe.split())) for probe in probes)
         self.units = Recent(self._unit, CACHE_ENTRIES)
 
     def _whole(self, text: str) -> bytes:
@@ -71,13 +72,12 @@ class Tokens:
             word = word.encode().decode("latin-1").translate(self.characters)
         return array(self.code, [token.id for token in self.tokenizer.model.tokenize(word)]).tobytes()
 
-    def _word(self, unit: str) -> bytes:
-        """Ids of a Latin word with stops behind it."""
-        word, stops = _LATIN_WORD.fullmatch(unit).groups()
-        return self.parts[word.lower()] + self.parts[stops] if stops else self.parts[word.lower()]
-
     def _unit(self, unit: str) -> bytes:
-        return self._word(unit) if self.plain and _LATIN_WORD.fullmatch(unit) else self._whole(unit)
+        found = _LATIN_WORD(unit) if self.plain else None
+        if not found:
+            return self._whole(unit)
+        word, stops = found.groups()
+        return self.parts[word.lower()] + self.parts[stops] if stops else self.parts[word.lower()]
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.units.__getitem__, text.replace("\n", " ").split(" ")))
@@ -100,7 +100,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
     def run(batches):
         own = tokens_of(path)
         end = np.array([end_id], own.kind).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [(own.encode(text) if text else b"") + end for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
@@ -244,7 +244,7 @@ def _block_writer(shared, kind: str):
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(id_kind), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([value], type_) for value, type_ in zip(row, types)], [str(k) for k in range(len(row))])
 
-        for batch in batches:
+        for batch in slices(batches):
             id_kind = batch.column(0).type
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs.append(doc)
