@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -48,6 +49,13 @@ class Recent(dict):
         return value
 
 
+def short_batches(spark, rows: int = BATCH_ROWS) -> None:
+    """Let no Arrow batch of this session hold more than ``rows`` rows, as texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(batches, rows: int = 1_000):
     """The batches in slices of ``rows`` rows, so that few texts are Python objects at a time."""
     for batch in batches:
@@ -77,8 +85,12 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES):
         first = last
 
 
-@lru_cache(maxsize=2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return _kept_powers(size) if size <= 4 * CHUNK_BYTES else _kept_powers.__wrapped__(size)
+
+
+@lru_cache(maxsize=2)
+def _kept_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(size, _BASE)
     down = np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)))
     up[0] = down[0] = 1

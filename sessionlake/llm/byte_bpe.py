@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import Recent, byte_characters, free_name, slices
+from sessionlake.llm.batches import Recent, byte_characters, free_name, short_batches, slices
 
 CACHE_ENTRIES = 150_000
 
@@ -121,6 +121,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
     The new column comes last; its name is lengthened where it clashes.
     """
+    short_batches(docs.sparkSession)
     ids_col = free_name(docs.columns, ids_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.BinaryType())])
     return docs.mapInArrow(_encoder(path, pattern, docs.columns.index(text_col)), schema)
@@ -141,13 +142,28 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", by
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with two more columns, the ids of every text and the bytes they decode to, in one pass."""
+
+    def run(batches):
+        own = codec(path, pattern)
+        for batch in slices(batches):
+            ids = [own.encode(text) if text else b"" for text in batch.column(at).to_pylist()]
+            columns = [*batch.columns, pa.array(ids, pa.binary()), pa.array(list(map(own.decode, ids)), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(columns))])
+
+    short_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    names = [free_name(docs.columns, name) for name in ("ids", "decoded")]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(name, T.BinaryType()) for name in names]]))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """Per row of ``doc_id, text``: number of ids, hash of the ids, hash of the decoded bytes."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = encode(docs.select("doc_id", "text"), path, pattern).drop("text")
-    return decode(coded, path, pattern).select(
+    return round_trip(docs.select("doc_id", "text"), path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

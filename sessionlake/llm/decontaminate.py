@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import Words, chunks, free_name, text_bytes
+from sessionlake.llm.batches import Words, chunks, free_name, short_batches, text_bytes
 from sessionlake.plans.staging import stage
 
 BLOCK_BYTES = 8_000_000
@@ -138,6 +138,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     The broadcast is one block of the benchmark, of ``block_bytes`` of text at most. A larger benchmark is
     scanned block after block over the staged result of the block before, so memory stays bounded.
     """
+    short_batches(docs.sparkSession)
     state = free_name(docs.columns, "leak")
     schema = T.StructType([*docs.schema.fields, T.StructField(state, STATE)])
     context, frame, at = docs.sparkSession.sparkContext, docs, docs.columns.index(text_col)

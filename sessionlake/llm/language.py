@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import CHUNK_BYTES, chunks, free_name, text_bytes
+from sessionlake.llm.batches import CHUNK_BYTES, chunks, free_name, short_batches, text_bytes
 
 ORDER = 4
 ROWS_PER_LANGUAGE = 400
@@ -191,6 +191,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           rows_per_language: int = ROWS_PER_LANGUAGE, max_row_bytes: int = MAX_ROW_BYTES) -> Model | None:
     """A model of the languages of ``docs``; None if no row can be learned from."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(F.octet_length("text") <= max_row_bytes)
     sizes = {lang: n for lang, n in rows.groupBy("lang").count().collect()}  # one row per language
@@ -224,6 +225,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with the predicted language of every whole text and its score, without a shuffle."""
+    short_batches(docs.sparkSession)
     pred_col, score_col = free_name(docs.columns, pred_col), free_name(docs.columns, score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     at = docs.columns.index(text_col)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import chunks, free_name, mix, slice_hashes, text_bytes
+from sessionlake.llm.batches import chunks, free_name, mix, short_batches, slice_hashes, text_bytes
 from sessionlake.plans.staging import stage
 
 WINDOW = 2
@@ -103,6 +103,7 @@ def _extract(batches):
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``k1, k2`` (a document) and ``start, size`` in bytes of every chunk that stands elsewhere before."""
+    short_batches(docs.sparkSession)
     keyed = docs.where(F.col(f"`{text_col}`").isNotNull()).select(*_key_columns(id_col, text_col), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     id_type = keyed.schema["id"]
     places = [T.StructField(name, T.LongType()) for name in ("start", "size", "hash")]

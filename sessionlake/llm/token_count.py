@@ -23,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlake.llm.batches import Recent, free_name
+from sessionlake.llm.batches import Recent, free_name, short_batches
 
 CACHE_ENTRIES = 300_000
 SPACE = "▁"
@@ -105,6 +105,8 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", count_col:
     The new column comes last; its name is lengthened where it clashes.
     """
 
+    short_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def count(texts):
         own = counter(path)

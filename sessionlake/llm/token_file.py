@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import Recent, byte_characters, slices
+from sessionlake.llm.batches import Recent, byte_characters, short_batches, slices
 from sessionlake.plans.joins import broadcast_if_small
 from sessionlake.plans.staging import shared_folder, stage
 
@@ -104,6 +104,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
             ids = [(own.encode(text) if text else b"") + end for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
+    short_batches(docs.sparkSession)
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return narrow.mapInArrow(run, T.StructType([narrow.schema["id"], T.StructField("ids", T.BinaryType())]))
 
