@@ -188,4 +188,6 @@ def open_corpus(
     """Canonical tables of all transcripts below the roots of each agent."""
     tune_for_skew(spark)
     files = stage(scan.list_files(spark, roots), "files")
-    return Corpus(spark, files, scan.scan_files(files), prices, default_model)
+    # Every line goes through Python once; all later passes read the staged table.
+    raw = stage(scan.scan_files(files).sortWithinPartitions("agent", "path", "byte_offset"), "raw")
+    return Corpus(spark, files, raw, prices, default_model)

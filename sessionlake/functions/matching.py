@@ -64,7 +64,7 @@ def compile_matcher(pattern: str, regex: bool = False, case_sensitive: bool = Fa
     A case-insensitive ASCII literal folds ASCII only; any other literal folds by Unicode rules.
     """
     if pattern == "":
-        raise ValueError("search pattern must not be empty")
+        raise ValueError("nothing to search for")
     if regex:
         if _UNSUPPORTED.search(pattern):
             raise ValueError(f"unsupported construct in regular expression {pattern!r}")
@@ -79,8 +79,9 @@ def compile_matcher(pattern: str, regex: bool = False, case_sensitive: bool = Fa
 def snippet(text: Column, start: Column, end: Column, around: int) -> Column:
     """The match with ``around`` code points either side, an ellipsis where text was cut."""
     size = F.char_length(text)
+    around = min(around, 1 << 30)
     first = F.greatest(F.lit(0), start - around)
-    last = F.least(size, end + around)
+    last = F.least(size, F.when(end > size - around, size).otherwise(end + around))
     return F.concat(
         F.when(first > 0, F.lit("…")).otherwise(F.lit("")),
         F.substring(text, first + 1, last - first),
@@ -89,5 +90,10 @@ def snippet(text: Column, start: Column, end: Column, around: int) -> Column:
 
 
 def fuzzy_pattern(query: str) -> str:
-    """Lower-cased in-order subsequence pattern of a query."""
-    return "(?s)" + ".*?".join(re.escape(char) if char.isascii() else char for char in query.strip().lower())
+    """Lower-cased in-order subsequence pattern of a query.
+
+    Every step runs possessively to the next wanted character, so a text is read once and never again.
+    """
+    wanted = query.strip().lower()
+    spelled = [re.escape(char) if char.isascii() and not char.isalnum() else char for char in wanted]
+    return r"\A" + "".join(f"[^{char}]*+{char}" for char in spelled)

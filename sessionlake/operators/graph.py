@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from sessionlake.sources.codex import AGENT_COMPONENT, agent_path_parts
 from sessionlake.sources.scan import directory
 
-# Characters of a child's path that cut its family into blocks.
-FAMILY_STEM = 120
-
 NODE_COLUMNS = [
     "agent", "node_id", "path", "session_id", "cwd", "project", "title", "title_prompt", "git_branch", "started_at",
     "started_raw", "updated_at", "updated_raw", "messages", "has_error", "agent_path", "parent_id", "is_group",
@@ -203,24 +200,13 @@ def group_models(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     groups = nodes.where("is_group").select("agent", F.col("node_id").alias("parent"))
     pooled = (
         edges.join(groups, ["agent", "parent"], "left_semi")
-        .join(models.withColumnRenamed("node_id", "child"), ["agent", "child"])
+        .join(models.select("agent", F.col("node_id").alias("child"), F.explode("models").alias("model")), ["agent", "child"])
         .groupBy("agent", F.col("parent").alias("node_id"))
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("models")))).alias("models"))
+        .agg(F.array_sort(F.collect_set("model")).alias("models"))
     )
     return models.select("agent", "node_id", "models").unionByName(pooled)
 
 
-def group_model_costs(by_model: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Cost per model of every group node, summed over its members."""
-    groups = nodes.where("is_group").select("agent", F.col("node_id").alias("parent"))
-    return (
-        edges.join(groups, ["agent", "parent"], "left_semi")
-        .join(by_model.withColumnRenamed("node_id", "child"), ["agent", "child"])
-        .groupBy("agent", F.col("parent").alias("node_id"), "model")
-        .agg(F.sum("usd").alias("usd"))
-    )
-
-
 def link_spawn(calls: DataFrame, children: DataFrame) -> DataFrame:
     """Match spawn calls to child nodes, each child used once.
 
@@ -284,12 +270,12 @@ def spawn_links(events: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
 
 def _pair_in_order(calls: DataFrame, children: DataFrame, by: list[str]) -> DataFrame:
     """Pair the nth call with the nth child of each group."""
-    from sessionlake.plans.running import Running, running
+    from sessionlake.plans.running import Running, range_blocks, running
     from sessionlake.sources.scan import offset_block
 
     one: Column = F.lit(1)
     left = running(calls, by, [F.col("seq")], offset_block("seq"), {"nth": Running("sum", one)})
-    # Children come in path order; a prefix of the path cuts a large family without breaking it.
-    stem = F.substring("at", 1, FAMILY_STEM)
-    right = running(children, by, [F.col("at"), F.col("child")], stem, {"nth": Running("sum", one)})
+    # Children come in path order; ranges of equal size cut a large family wherever its paths begin to differ.
+    cut = range_blocks(children, [*map(F.col, by), F.col("at"), F.col("child")], "__range")
+    right = running(cut, by, [F.col("at"), F.col("child")], F.col("__range"), {"nth": Running("sum", one)}).drop("__range")
     return left.join(right, [*by, "nth"])

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.matching import Matcher, compile_matcher, snippet
-from sessionlake.operators.sessions import byte_budget_page, event_text, filter_sessions, page, parse_kinds
+from sessionlake.operators.sessions import byte_budget_page, event_text, filter_sessions, page, paging_state, parse_kinds, resolve
 
 # Fixed values.
 FIELDS = ["text", "tool.input", "tool.diff", "tool.output", "tool.summary"]
@@ -18,7 +15,6 @@ SCAN_ALLOWED = [
     "kubernetes", "kubernetes-admin", "aws_profile", "local", "in-cluster",
 ]
 SCAN_MIN_CHARS = 5
-SCAN_CHUNK_CHARS = 8_000_000
 ACCOUNT_ID = r"\b\d{12}\b"
 ARN_TAIL = r"/([^/:\s]+)\z"
 
@@ -53,12 +49,12 @@ def search_order() -> list[Column]:
 
 
 def scope_nodes(nodes: DataFrame, session: str | None = None, **filters) -> DataFrame:
-    """Nodes to search: subtrees of the matching roots, or of the node with reference ``session``."""
+    """Nodes to search: subtrees of the matching roots, or of the node that ``session`` selects."""
     if session is None:
         starts = filter_sessions(nodes.where("node_id = root_id"), **filters)
         starts = starts.select("agent", "root_id", F.col("ref").alias("root_ref"), F.col("updated_at").alias("root_updated_at"))
         return nodes.join(starts, ["agent", "root_id"])
-    start = filter_sessions(nodes.where(F.col("ref") == session), **filters)
+    start = filter_sessions(nodes.where(F.col("ref") == resolve(nodes, session)), **filters)
     start = start.select("agent", "root_id", F.col("ref").alias("root_ref"), F.col("updated_at").alias("root_updated_at"), F.col("node_id").alias("start_id"))
     return nodes.join(start, ["agent", "root_id"])
 
@@ -78,7 +74,7 @@ def require_readable(scoped: DataFrame, diagnostics: DataFrame) -> None:
     starts = scoped.where("node_id = start_id AND instr(path, '#') = 0").select("agent", companion.alias("below"))
     failed = diagnostics.where("code = 'unreadable_session'").select("agent", F.col("path").alias("failed"))
     if not starts.join(failed, "agent").where("startswith(failed, below)").isEmpty():
-        raise UnreadableScope("the selected session graph contains an unreadable descendant")
+        raise UnreadableScope("a file below the chosen session cannot be read")
 
 
 def search_hits(
@@ -118,7 +114,13 @@ def search_events(nodes, events, pairs, pattern: str, limit: int | None = 30, of
     """Ordered, paged hits within the response budget."""
     hits = search_hits(nodes, events, pairs, pattern, **options)
     paged = page(hits, search_order(), limit, offset)
-    return byte_budget_page(paged, search_order(), max_rows=limit or 10_000)
+    return byte_budget_page(paged, search_order(), limit=limit)
+
+
+def search_state(hits: DataFrame, returned: DataFrame, offset: int = 0, diagnostics: DataFrame | None = None) -> DataFrame:
+    """Paging state of an answer; complete only if all input was readable and all hits went out."""
+    clean = diagnostics is None or diagnostics.isEmpty()
+    return paging_state(hits, returned, offset, clean)
 
 
 def search_counts(scoped_nodes: DataFrame, hits: DataFrame, diagnostics: DataFrame | None = None) -> DataFrame:
@@ -142,51 +144,24 @@ def scan_tokens(names: DataFrame) -> DataFrame:
     return tokens.where(kept).select("token").distinct()
 
 
-def _scan_with(tokens: list[tuple[str, str]]):
-    """Batch function that reports every token contained in a text, in one pass over the text."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        spelled: dict[str, list[str]] = {}
-        for token, needle in tokens:
-            spelled.setdefault(needle, []).append(token)
-        for needle in spelled:
-            machine.add_word(needle, needle)
-        machine.make_automaton()
-        for batch in batches:
-            found = [
-                (text_id, token)
-                for text_id, body in zip(batch["text_id"], batch["body"])
-                for needle in sorted({needle for _, needle in machine.iter(body or "")})
-                for token in spelled[needle]
-            ]
-            yield pd.DataFrame(found, columns=["text_id", "token"])
-
-    return scan
-
-
-def token_scan(texts: DataFrame, tokens: DataFrame, max_chars: int = SCAN_CHUNK_CHARS) -> DataFrame:
+def token_scan(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     """``(text_id, token)`` for every text that contains a token, ignoring case.
 
-    The tokens are measured and cut into chunks of at most about ``max_chars`` characters; each
-    chunk becomes one multi-pattern matcher that every task applies to its own texts, so texts
-    are never shuffled and no text-token pair is formed unless it matches.
+    A token's longest piece between white space lies inside one piece of every text that contains it. The
+    distinct pieces of the texts are cut to the lengths those longest pieces have (a handful) and joined with
+    them; only texts with such a piece are tested for the whole token. Tokens of white space alone match nothing.
     """
-    low = tokens.select("token", F.lower("token").alias("needle")).where("needle <> ''").distinct()
-    size = low.agg(F.coalesce(F.sum(F.char_length("needle")), F.lit(0))).first()[0]
-    chunks = int(size // max_chars) + 1
+    low = tokens.select("token", F.lower("token").alias("needle")).distinct()
+    pieces = F.filter(F.split("needle", r"\s+"), lambda piece: piece != "")
+    longest = F.array_max(F.transform(pieces, lambda piece: F.struct(F.char_length(piece).alias("size"), piece.alias("piece"))))
+    anchored = low.withColumn("longest", longest).where("longest IS NOT NULL").select("token", "needle", F.col("longest.piece").alias("anchor"))
     bodies = texts.select("text_id", F.lower("text").alias("body"))
-    schema = f"text_id {dict(texts.dtypes)['text_id']}, token string"
-    found = None
-    for chunk in range(chunks):
-        part = low.where(F.pmod(F.xxhash64("needle"), F.lit(chunks)) == chunk)
-        held = [(row.token, row.needle) for row in part.collect()]
-        if not held:
-            continue
-        hits = bodies.mapInPandas(_scan_with(held), schema)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    words = bodies.select("text_id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("word")).where("word <> ''")
+    lengths = sorted(row[0] for row in anchored.select(F.char_length("anchor")).distinct().collect())
+    if not lengths:
         return texts.select("text_id", F.lit(None).cast("string").alias("token")).where("false")
-    return found
+    size = F.char_length("word")
+    cuts = [F.when(size >= n, F.expr(f"transform(sequence(1, char_length(word) - {n} + 1), i -> substring(word, i, {n}))")) for n in lengths]
+    spelled = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*cuts))))).alias("anchor"))
+    suspects = words.join(spelled.join(anchored, "anchor"), "word").select("text_id", "token", "needle").distinct()
+    return bodies.join(suspects, "text_id").where(F.contains("body", F.col("needle"))).select("text_id", "token").distinct()

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
 from sessionlake.functions.matching import fuzzy_pattern
-from sessionlake.functions.tokens import context_tokens, cost_valid, flow_tokens, uncached_input
+from sessionlake.functions.tokens import context_tokens, cost_valid, flow_tokens, sat_add, uncached_input
 from sessionlake.operators.timeline import KINDS
+from sessionlake.operators.tree import resolve_selector
+from sessionlake.plans.running import Running, range_blocks, running
 
 # Fixed values.
 SCHEMA_VERSION = 1
 RESPONSE_BUDGET_BYTES = 256 * 1024
+PAGE_ROWS = 10_000
 NO_TIME = "0001-01-01T00:00:00Z"
 SORT_KEYS = ["updated", "started", "tokens", "cost", "messages"]
 DISPLAY_KEYS = ["agent", "project", "title", "model", "age", "messages", "subagents", "tokens", "cost"]
@@ -151,14 +154,27 @@ def cost_row(scope: str) -> Column:
 
 def _page_bounds(limit: int | None, offset: int) -> None:
     if limit is not None and limit <= 0:
-        raise UsageError("limit must be greater than zero")
+        raise UsageError(f"a page holds at least one row, not {limit}")
     if offset < 0:
-        raise UsageError("offset must not be negative")
+        raise UsageError(f"a page starts at row 0 or later, not {offset}")
+
+
+def ranked(rows: DataFrame, order: list[Column], size: Column | None = None) -> DataFrame:
+    """Add ``__nth`` (from 1) and ``__sum`` (running ``size``) along ``order``, however many rows there are.
+
+    The rows are sorted by range into parts; only one row per part is combined in a single task.
+    """
+    sized = rows.withColumn("__size", F.lit(0) if size is None else size)
+    parts = range_blocks(sized, order, "__part")
+    specs = {"__nth": Running("sum", F.lit(1)), "__sum": Running("sum", F.col("__size"))}
+    return running(parts, [], order, F.col("__part"), specs).drop("__size", "__part")
 
 
 def page(rows: DataFrame, order: list[Column], limit: int | None, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in order; Spark keeps only the top rows per task."""
+    """Rows ``offset`` to ``offset + limit`` in order; with a limit Spark keeps only the top rows per task."""
     _page_bounds(limit, offset)
+    if limit is None and offset:
+        return ranked(rows, order).where(F.col("__nth") > offset).drop("__nth", "__sum").orderBy(*order)
     ordered = rows.orderBy(*order)
     if offset:
         ordered = ordered.offset(offset)
@@ -190,18 +206,50 @@ def list_sessions(
 
 
 def byte_budget_page(
-    rows: DataFrame, order: list[Column], budget: int = RESPONSE_BUDGET_BYTES, size: Column | None = None, max_rows: int = 10_000
+    rows: DataFrame, order: list[Column], budget: int = RESPONSE_BUDGET_BYTES, size: Column | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Leading rows whose serialised size fits the budget; the first row always stays.
+    """Leading rows whose serialised size fits the budget, ``limit`` at most if given; the first row always stays."""
+    size = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})) if size is None else size
+    head = rows if limit is None else rows.orderBy(*order).limit(limit)
+    if limit is not None and limit <= PAGE_ROWS:  # as many rows as one task sorts anyway
+        so_far = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        counted = head.withColumns({"__sum": F.sum(size).over(so_far), "__nth": F.row_number().over(W.orderBy(*order))})
+    else:
+        counted = ranked(head, order, size)
+    return counted.where((F.col("__sum") <= budget) | (F.col("__nth") == 1)).drop("__sum", "__nth")
 
-    Every row is at least ``budget / max_rows`` bytes in practice, so the running size only ever
-    looks at the ``max_rows`` leading rows that a bounded top-k keeps, never at the whole result.
+
+def paging_state(rows: DataFrame, returned: DataFrame, offset: int = 0, complete: bool = True, index: str | None = None) -> DataFrame:
+    """One row about an answer: total, returned, has_more, next_offset, complete.
+
+    ``rows`` are all that match, ``returned`` those that went out. The next offset counts rows, or goes behind
+    the largest ``index`` that went out; ``complete`` also needs that nothing is left to fetch.
     """
-    size = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})) if size is None else size
-    head = rows.withColumn("__size", size).orderBy(*order).limit(max_rows)
-    so_far = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    measured = head.withColumns({"__sum": F.sum("__size").over(so_far), "__nth": F.row_number().over(W.orderBy(*order))})
-    return measured.where((F.col("__sum") <= budget) | (F.col("__nth") == 1)).drop("__size", "__sum", "__nth")
+    position = F.lit(offset).cast("bigint") + F.count("*") if index is None else F.coalesce(F.max(index).cast("bigint") + 1, F.lit(offset).cast("bigint"))
+    sent = returned.agg(F.count("*").alias("returned"), position.alias("next_offset"))
+    skipped = offset if index is None else 0
+    return rows.agg(F.count("*").alias("total")).join(sent).select(
+        "total", "returned", (F.col("returned") + skipped < F.col("total")).alias("has_more"), "next_offset",
+        (F.lit(complete) & (F.col("returned") + skipped >= F.col("total"))).alias("complete"),
+    )
+
+
+def fit_single_event(wire: DataFrame, budget: int = RESPONSE_BUDGET_BYTES) -> DataFrame:
+    """Halve the texts of an event too large for the budget until it fits; smaller events stay as they are."""
+    named = ["text", "tool.summary", "tool.input", "tool.diff", "tool.output"]
+    size = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    room = 2000
+    while room >= 1:
+        over = size > budget
+        cut = {"text": F.when(over, T.bounded_text(F.col("text"), room)).otherwise(F.col("text"))}
+        tool = F.col("tool")
+        for field in ("summary", "input", "diff", "output"):
+            tool = tool.withField(field, F.when(over, T.bounded_text(F.col(f"tool.{field}"), room)).otherwise(F.col(f"tool.{field}")))
+        longer = [F.when(over & T.is_cut(F.col(name), room), F.lit(name)) for name in named]
+        cut |= {"tool": F.when(F.col("tool").isNotNull(), tool), "truncated": F.array_union("truncated", F.array_compact(F.array(*longer)))}
+        wire = wire.withColumns(cut)
+        room //= 8
+    return wire
 
 
 def parse_kinds(kinds: list[str] | None) -> list[str] | None:
@@ -233,7 +281,7 @@ def event_rows(events: DataFrame, max_text: int = 2000) -> DataFrame:
     has_tool = (F.col("tool_name") != "") | (F.col("call_id") != "") | F.col("has_detail") | (F.col("summary") != "")
     use = lambda name: F.col(f"usage.{name}")
     usage = F.struct(
-        uncached_input(use).alias("uncached_input"), use("output").alias("output"), (use("write_5m") + use("write_1h")).alias("cache_write"),
+        uncached_input(use).alias("uncached_input"), use("output").alias("output"), sat_add(use("write_5m"), use("write_1h")).alias("cache_write"),
         use("cache_read").alias("cache_read"), flow_tokens(use).alias("flow"), context_tokens(use).alias("context"),
     )
     cost = F.struct(F.col("event_usd").alias("usd"), F.col("event_priced").alias("complete"), F.col("event_estimated").alias("estimated"))
@@ -263,21 +311,41 @@ def event_rows(events: DataFrame, max_text: int = 2000) -> DataFrame:
     return shown.select(*columns)
 
 
+def resolve(nodes: DataFrame, selector: str) -> str:
+    """The reference that a reference, path, id or id prefix names; an unclear or unknown one is an error."""
+    if nodes.where(F.col("ref") == selector).limit(1).count():
+        return selector
+    asked = nodes.sparkSession.createDataFrame([(selector,)], "selector string")
+    found = resolve_selector(asked, nodes).orderBy("ref").limit(11).collect()
+    if found[0].status == "ok":
+        return found[0].ref
+    if found[0].status == "ambiguous_ref":
+        raise UsageError(f"{selector!r} fits {found[0].candidates} sessions, among them {', '.join(row.ref for row in found)}")
+    raise UsageError(f"{selector!r} names no session" if found[0].status == "not_found" else f"{selector!r} is too short for the start of an id")
+
+
+def timeline_of(nodes: DataFrame, events: DataFrame, selector: str, kinds: list[str] | None = None) -> DataFrame:
+    """All events of the node that ``selector`` names, of the given kinds."""
+    kinds = parse_kinds(kinds)
+    # The node's key goes to the scan as a literal and prunes the files.
+    chosen = nodes.where(F.col("ref") == resolve(nodes, selector)).select("agent", "node_id").first()
+    rows = events.where((F.col("agent") == chosen.agent) & (F.col("node_id") == chosen.node_id))
+    return rows.where(F.col("kind").isin(kinds)) if kinds else rows
+
+
 def show_session(
     nodes: DataFrame, events: DataFrame, ref: str, kinds: list[str] | None = None, offset: int = 0, limit: int | None = 200, max_text: int = 2000
 ) -> DataFrame:
     """Timeline rows of one node from the full-timeline index ``offset`` on, within the byte budget."""
     _page_bounds(limit, offset)
-    kinds = parse_kinds(kinds)
-    # A reference names one node; its key goes to the scan as a literal and prunes the files.
-    chosen = nodes.where(F.col("ref") == ref).select("agent", "node_id").first()
-    if chosen is None:
-        raise UsageError(f"no session has the reference {ref!r}")
-    rows = events.where((F.col("agent") == chosen.agent) & (F.col("node_id") == chosen.node_id) & (F.col("event_index") >= offset))
-    if kinds:
-        rows = rows.where(F.col("kind").isin(kinds))
-    wire = event_rows(rows, max_text)
-    return byte_budget_page(wire, [F.col("index")], max_rows=limit or 10_000)
+    wire = event_rows(timeline_of(nodes, events, ref, kinds).where(F.col("event_index") >= offset), max_text)
+    return fit_single_event(byte_budget_page(wire, [F.col("index")], limit=limit))
+
+
+def show_state(nodes: DataFrame, events: DataFrame, ref: str, shown: DataFrame, kinds: list[str] | None = None, offset: int = 0, complete: bool = True) -> DataFrame:
+    """Paging state of what ``show_session`` returned for the same arguments; ``total`` counts from ``offset`` on."""
+    left = timeline_of(nodes, events, ref, kinds).where(F.col("event_index") >= offset)
+    return paging_state(left, shown, offset, complete, index="index")
 
 
 def show_totals(rolled: DataFrame) -> DataFrame:

@@ -6,44 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions import refs
-from sessionlake.functions.tokens import sat_sum, total_tokens, uncached_input
+from sessionlake.functions.tokens import sat_add, sat_sum, total_tokens, uncached_input
 from sessionlake.plans.staging import stage
 
-# Fixed values.
-MAX_DEPTH = 64
+# Fixed value.
 SELECTOR_PREFIX = 6
 
 TOTALS = ["uncached_input", "output", "cache_write", "cache_read", "total"]
 
 
-def closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All ``(agent, ancestor, descendant, depth)`` pairs of the forest, depth at least 1.
+def closure(edges: DataFrame) -> DataFrame:
+    """All ``(agent, ancestor, descendant, depth)`` pairs of the forest, depth at least 1, however deep.
 
     Reach doubles per round: paths up to length n join with paths of length n. A tree of depth d
-    takes about log2(d) joins, and every round is a staged table.
+    takes about log2(d) joins, and every round is a staged table. A node that is its own ancestor marks a
+    cycle; from then on only pairs not known before count, with their shortest path, so the rounds end.
     """
     base = edges.select(
         "agent", F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth")
     ).where("ancestor <> descendant")
     known = stage(base, "closure")
-    reach = 1
-    while reach < max_depth:
+    reach, cyclic = 1, False
+    while True:
         # Every path longer than `reach` splits into a head of exactly `reach` and a shorter tail.
         head = known.where(F.col("depth") == reach).select("agent", "ancestor", F.col("descendant").alias("via"))
         tail = known.select("agent", F.col("ancestor").alias("via"), "descendant", F.col("depth").alias("rest"))
         longer = (
             head.join(tail, ["agent", "via"])
-            .where("ancestor <> descendant")
             .select("agent", "ancestor", "descendant", (F.col("rest") + reach).alias("depth"))
-            .where(F.col("depth") <= max_depth)
         )
         longer = stage(longer, "closure")
+        cyclic = cyclic or not longer.where("ancestor = descendant").isEmpty()
+        if cyclic:
+            new = longer.where("ancestor <> descendant").join(known, ["agent", "ancestor", "descendant"], "left_anti")
+            longer = stage(new.groupBy("agent", "ancestor", "descendant").agg(F.min("depth").alias("depth")), "closure")
         if longer.isEmpty():
             return known
         known = known.unionByName(longer)
         reach *= 2
-    # Only a cyclic graph gets here with repeated pairs.
-    return known.groupBy("agent", "ancestor", "descendant").agg(F.min("depth").alias("depth"))
 
 
 def with_self(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def node_totals(priced: DataFrame, attributed: DataFrame | None = None) -> DataF
     gross = priced.groupBy("agent", "node_id").agg(
         sat_sum(uncached_input(F.col)).alias("uncached_input"),
         sat_sum(F.col("output")).alias("output"),
-        sat_sum(F.col("write_5m") + F.col("write_1h")).alias("cache_write"),
+        sat_sum(sat_add(F.col("write_5m"), F.col("write_1h"))).alias("cache_write"),
         sat_sum(F.col("cache_read")).alias("cache_read"),
         sat_sum(total_tokens(F.col)).alias("total"),
         F.sum("usd").alias("gross_usd"),
@@ -78,7 +78,7 @@ def node_totals(priced: DataFrame, attributed: DataFrame | None = None) -> DataF
         *[sat_sum(value).alias(f"__{name}") for name, value in {
             "uncached_input": uncached_input(F.col),
             "output": F.col("output"),
-            "cache_write": F.col("write_5m") + F.col("write_1h"),
+            "cache_write": sat_add(F.col("write_5m"), F.col("write_1h")),
             "cache_read": F.col("cache_read"),
             "total": total_tokens(F.col),
         }.items()],
@@ -108,19 +108,25 @@ def rollup(nodes: DataFrame, totals: DataFrame, pairs: DataFrame) -> DataFrame:
             F.sum("usd").alias("desc_usd"),
             F.sum("gross_usd").alias("desc_gross_usd"),
             F.coalesce(F.bool_or("estimated"), F.lit(False)).alias("desc_estimated"),
-            F.array_distinct(F.flatten(F.collect_set("missing_pricing"))).alias("desc_missing"),
-            F.array_distinct(F.flatten(F.collect_set("estimated_rates"))).alias("desc_rates"),
             F.count_if(~F.col("is_group")).alias("subagents"),
             F.max(F.struct("updated_at", "updated_raw")).alias("desc_updated"),
         )
     )
+    for name, kept in (("missing_pricing", "desc_missing"), ("estimated_rates", "desc_rates")):
+        # One row per distinct element, so no reducer holds a set of sets.
+        elements = totals.select("agent", F.col("node_id").alias("descendant"), F.explode(name).alias("element"))
+        sets = (
+            pairs.join(elements, ["agent", "descendant"]).select("agent", F.col("ancestor").alias("node_id"), "element").distinct()
+            .groupBy("agent", "node_id").agg(F.collect_list("element").alias(kept))
+        )
+        below = below.join(sets, ["agent", "node_id"], "left")
     out = nodes.join(totals, ["agent", "node_id"], "left").join(below, ["agent", "node_id"], "left")
     zero = {name: F.lit(0).cast("bigint") for name in TOTALS} | {"usd": F.lit(0.0), "gross_usd": F.lit(0.0)}
     sums = {}
     for name in numeric:
         own = F.coalesce(F.col(name), zero[name])
         desc = F.coalesce(F.col(f"desc_{name}"), zero[name])
-        sums |= {f"self_{name}": own, f"desc_{name}": desc, f"total_{name}": own + desc}
+        sums |= {f"self_{name}": own, f"desc_{name}": desc, f"total_{name}": sat_add(own, desc) if name in TOTALS else own + desc}
     out = out.withColumns(sums).drop(*numeric)
     none = F.array().cast("array<string>")
     no_rates = F.array().cast("array<struct<model:string,pricing_model:string>>")
@@ -154,8 +160,7 @@ def rollup(nodes: DataFrame, totals: DataFrame, pairs: DataFrame) -> DataFrame:
 def preorder(nodes: DataFrame, pairs: DataFrame, key: Column | None = None) -> DataFrame:
     """Add ``depth``, ``root_id`` and ``sort_path``; ordering by them lists each tree in pre-order.
 
-    The path holds one sort key per ancestor, so it never exceeds the depth limit and needs no
-    window over siblings.
+    The path holds one sort key per ancestor and needs no window over siblings.
     """
     if key is None:
         key = F.struct(F.col("started_at").isNull().alias("late"), "started_at", "session_id", "node_id")
@@ -228,8 +233,8 @@ def addressable(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     nameless = nodes.where("node_id = root_id AND session_id = ''").select("agent", "root_id", F.lit(2).alias("rank"))
     rejected = clash.unionByName(nameless).groupBy("agent", "root_id").agg(F.min("rank").alias("rank"))
     good = nodes.join(rejected, ["agent", "root_id"], "left_anti")
-    message = F.when(F.col("rank") == 1, F.lit("session graph contains a duplicate canonical ref")).otherwise(
-        F.lit("session has no stable id")
+    message = F.when(F.col("rank") == 1, F.lit("two nodes of this tree share one reference")).otherwise(
+        F.lit("the root carries no id to refer to")
     )
     roots = nodes.where("node_id = root_id").select("agent", "root_id", "path")
     diagnostics = rejected.join(roots, ["agent", "root_id"]).select(
@@ -257,14 +262,14 @@ def resolve_selector(selectors: DataFrame, nodes: DataFrame) -> DataFrame:
     ).withColumn("priority", F.lit(2))
     named = known.where("eligible AND session_id <> ''")
     by_id = asked.join(named.withColumn("selector", F.col("session_id")), "selector").withColumn("priority", F.lit(3))
-    stem = F.substring("session_id", 1, SELECTOR_PREFIX)
+    # Ids are cut to the lengths that selectors have (a handful), so whole selectors are the join key.
     long_enough = asked.where(F.char_length("selector") >= SELECTOR_PREFIX)
-    by_prefix = (
-        long_enough.withColumn("stem", F.substring("selector", 1, SELECTOR_PREFIX))
-        .join(named.withColumn("stem", stem), "stem")
-        .where(F.expr("startswith(session_id, selector)"))
-        .withColumn("priority", F.lit(4))
-    )
+    lengths = sorted(row[0] for row in long_enough.select(F.char_length("selector")).distinct().collect())
+    size = F.char_length("session_id")
+    cut = F.array_compact(F.array(*[F.when(size >= length, F.substring("session_id", 1, length)) for length in lengths]))
+    by_prefix = long_enough.join(
+        named.withColumn("selector", F.explode(cut.cast("array<string>"))), "selector"
+    ).withColumn("priority", F.lit(4))
     found = by_ref.select(*shown)
     for part in (by_path, by_id, by_prefix):
         found = found.unionByName(part.select(*shown))
@@ -302,13 +307,14 @@ def corpus_summary(rolled: DataFrame) -> DataFrame:
     """One row over the listed roots: sessions, projects, owned cost, estimates, missing models."""
     from sessionlake.functions.tokens import cost_valid
 
+    missing = rolled.select(F.explode("total_missing").alias("model")).distinct()
+    named = missing.agg(F.array_sort(F.collect_list("model")).alias("missing_pricing"))
     return rolled.agg(
         F.count("*").alias("sessions"),
         F.count_distinct("project").alias("projects"),
         F.sum("total_usd").alias("usd"),
         F.coalesce(F.bool_or("total_estimated"), F.lit(False)).alias("estimated"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("total_missing")))).alias("missing_pricing"),
-    ).withColumn("usd", cost_valid(F.col("usd")))
+    ).join(named).withColumn("usd", cost_valid(F.col("usd")))
 
 
 def sibling_titles(nodes: DataFrame, edges: DataFrame) -> DataFrame:

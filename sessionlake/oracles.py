@@ -213,7 +213,7 @@ SELECT c_custkey, c_mktsegment AS project, c_name AS title FROM customer
 WHERE regexp_matches(lower('claude ' || c_mktsegment || ' ' || c_name), 'm.*a.*c.*h.* .*0.*1', 's')"""
 
 ORACLES["sort_display"] = f"""{_USERS}
-SELECT project, user_id AS path, messages FROM users ORDER BY project DESC, user_id LIMIT 25"""
+SELECT row_number() OVER (ORDER BY project DESC, user_id) AS rank, project, user_id AS path, messages FROM users"""
 
 ORACLES["corpus_summary"] = f"""{_USERS}
 SELECT count(*) AS sessions, count(DISTINCT project) AS projects, round(sum(usd), 8) AS usd, false AS estimated,
@@ -286,7 +286,7 @@ ORACLES["canonical_ref"] = f"""{_refs("replace(title, '#', ' ~*&/')", _ESCAPED)}
 SELECT node_id, root_id, depth, ref FROM line"""
 
 ORACLES["addressable"] = f"""{_refs("CASE WHEN node_id LIKE 'c%' THEN 'c' || (CAST(substr(node_id, 2) AS BIGINT) % 997) ELSE node_id END", _ESCAPED)}
-SELECT DISTINCT '/lake/' || root_id || '.jsonl' AS path, 'unaddressable_session' AS code, 'session graph contains a duplicate canonical ref' AS message
+SELECT DISTINCT '/lake/' || root_id || '.jsonl' AS path, 'unaddressable_session' AS code, 'two nodes of this tree share one reference' AS message
 FROM line WHERE ref IN (SELECT ref FROM line GROUP BY ref HAVING count(*) > 1)"""
 
 ORACLES["resolve_selector"] = f"""{_refs("title", _ESCAPED)},
@@ -487,7 +487,7 @@ FROM rows GROUP BY ALL"""
 _TURNS = """
 turns AS (
   SELECT conv_id, turn AS event_index, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant-text' ELSE 'tool-call' END AS kind, 'claude:' || conv_id AS ref,
-    role = 'system' AS is_tool, text AS body, substr(text, 1, 40) AS head FROM conversations
+    role = 'system' AS is_tool, text AS body, text AS head FROM conversations
 ),
 fields AS (
   SELECT *, 0 AS field_rank, 'text' AS field, CASE WHEN NOT is_tool THEN body WHEN head = '' THEN 'Note' ELSE 'Note(' || head || ')' END AS text FROM turns
@@ -550,9 +550,10 @@ shown AS (SELECT *, CASE WHEN NOT is_tool THEN body WHEN head = '' THEN 'Note' E
 SELECT CAST(conv_id AS VARCHAR) AS node_id, event_index, {_bounded('text', 60)} AS text, {_bounded('input', 60)} AS input, length(text) > 60 AS cut FROM shown"""
 
 ORACLES["token_scan"] = r"""
-WITH names AS (SELECT trim(regexp_extract(text, '^\W*(\w+ \w+ \w+)', 1)) AS token FROM benchmark),
-tokens AS (SELECT DISTINCT token FROM names WHERE token <> '' AND length(token) >= 5)
-SELECT doc_id AS text_id, token FROM documents JOIN tokens ON contains(lower(text), lower(token))"""
+WITH names AS (SELECT trim(unnest(regexp_extract_all(text, '[A-Za-z]+ [A-Za-z]+ [A-Za-z]+'))) AS token FROM benchmark),
+tokens AS (SELECT DISTINCT token FROM names WHERE token <> '' AND length(token) >= 5),
+texts AS (SELECT 'document ' || doc_id AS text_id, text FROM documents UNION ALL SELECT 'page ' || page_id, html FROM pages)
+SELECT text_id, token FROM texts JOIN tokens ON contains(lower(text), lower(token))"""
 
 _WS = r"\t\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -647,6 +648,20 @@ files AS (
     ELSE '/lake/agent-' || p_partkey || '.jsonl' END AS path FROM parts
 )"""
 
+ORACLES["session_graph"] = f"""{_PART_FILES}
+SELECT owner || '.jsonl' AS parent, path AS child FROM files WHERE kind IN (1, 4)
+UNION ALL SELECT owner || '/subagents/flow/w1', path FROM files WHERE kind = 2
+UNION ALL SELECT owner || '.jsonl', owner || '/subagents/flow/w1' FROM files WHERE kind = 2"""
+
+ORACLES["top_level_only"] = "SELECT 'r' || r_regionkey AS node_id, r_name AS title FROM region"
+
+ORACLES["group_models"] = """
+SELECT 'c' || c_custkey AS node_id, c_mktsegment AS models FROM customer
+UNION ALL SELECT 'n' || c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) FROM customer GROUP BY c_nationkey"""
+
+ORACLES["cost_valid"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 7 < 3 OR c_acctbal < 0 THEN 0 ELSE c_acctbal END AS usd FROM customer"""
+
 ORACLES["classify_path"] = f"""{_PART_FILES}
 SELECT path, CASE kind WHEN 0 THEN 'root' WHEN 1 THEN 'child' WHEN 2 THEN 'member' WHEN 3 THEN 'ignored' ELSE 'legacy' END AS role,
   CASE WHEN kind IN (1, 2) THEN owner || '.jsonl' END AS parent_path, CASE WHEN kind = 2 THEN owner || '/subagents/flow/w1' END AS group_dir FROM files"""

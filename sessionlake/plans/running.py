@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sessionlake.plans.staging import stage
+
 BLOCK = "__block"
 
 
@@ -54,6 +56,14 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
     return F.coalesce(carry, local) if kind == "first" else F.coalesce(local, carry)
 
 
+def range_blocks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with a block column that cuts the whole table along ``order`` into parts of about equal size.
+
+    Staged, because a range partitioning that is computed again may cut elsewhere.
+    """
+    return stage(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def running(
     df: DataFrame,
     by: list[str],

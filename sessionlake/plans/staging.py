@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) is a folder made up here.
+    Only where the session names none and runs on this machine alone (a test) is a folder made up here.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="sessionlake-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

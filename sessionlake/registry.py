@@ -198,8 +198,8 @@ def list_fuzzy(spark, sf_dir):
 def sort_display(spark, sf_dir):
     """Display order by project, descending, as an explicit rank."""
     roots = _user_roots(spark, sf_dir).withColumn("path", F.col("node_id"))
-    ordered = roots.orderBy(*sessions.sort_display("project", descending=True)).limit(25)
-    return ordered.select("project", "path", "messages")
+    order = sessions.sort_display("project", descending=True)
+    return sessions.ranked(roots, order).select(F.col("__nth").alias("rank"), "project", "path", "messages")
 
 
 @query
@@ -217,6 +217,48 @@ def tree_closure(spark, sf_dir):
     return tree.closure(edges).select("ancestor", "descendant", "depth")
 
 
+@query
+def top_level_only(spark, sf_dir):
+    """Places that are nobody's child."""
+    nodes, edges = tables.place_tree(spark, sf_dir)
+    return tree.roots_of(nodes, edges).select("node_id", "title")
+
+
+@query
+def group_models(spark, sf_dir):
+    """Market segments as models of customers; a nation takes the union of its customers'."""
+    nodes, edges = tables.place_tree(spark, sf_dir)
+    models = tables.table(spark, sf_dir, "customer").select(
+        F.lit("claude").alias("agent"), F.concat(F.lit("c"), F.col("c_custkey")).alias("node_id"), F.array("c_mktsegment").alias("models")
+    )
+    return graph.group_models(models, nodes, edges).select("node_id", F.array_join("models", ",").alias("models"))
+
+
+@query
+def cost_valid(spark, sf_dir):
+    """Account balances and values beyond numbers as amounts of cost."""
+    balance = F.col("c_acctbal")
+    odd = F.when(F.col("c_custkey") % 7 == 0, F.lit(float("nan"))).when(F.col("c_custkey") % 7 == 1, F.lit(float("inf"))).when(F.col("c_custkey") % 7 == 2, F.lit(None).cast("double")).otherwise(balance)
+    return tables.table(spark, sf_dir, "customer").select("c_custkey", tokens.cost_valid(odd).alias("usd"))
+
+
+@query
+def session_graph(spark, sf_dir):
+    """Parts as transcript files of every role: direct, grouped and legacy children of their sessions."""
+    roles = scan.classify_path(_part_files(spark, sf_dir))
+    part = F.regexp_extract("path", r"(\d+)\.jsonl$", 1).cast("long")
+    session = F.concat(F.lit("p"), (part - part % 5).cast("string"))
+    none = F.lit("")
+    summaries = roles.select(
+        "agent", "path", session.alias("session_id"), session.alias("file_session_id"), none.alias("cwd"), none.alias("project"), none.alias("title"),
+        none.alias("title_prompt"), none.alias("git_branch"), F.lit(None).cast("timestamp").alias("started_at"), none.alias("started_raw"),
+        F.lit(None).cast("timestamp").alias("updated_at"), none.alias("updated_raw"), F.lit(0).cast("bigint").alias("messages"),
+        F.lit(False).alias("has_error"), none.alias("agent_path"), none.alias("parent_id"),
+    )
+    runs = summaries.select("agent", "path", none.alias("run_id"), none.alias("run_title")).where("false")
+    return graph.claude_graph(summaries, roles, runs)[1].select("parent", "child")
+
+
 def _places(spark, sf_dir):
     nodes, edges = tables.place_tree(spark, sf_dir)
     return nodes, edges, tree.closure(edges)
@@ -559,7 +601,7 @@ def manifest_diff(spark, sf_dir):
 
 @query
 def removed_sessions(spark, sf_dir):
-    """Users seen in the first half of the events who are missing among the purchases."""
+    """Users of any event who have no purchase above 150."""
     events = tables.table(spark, sf_dir, "events")
     old = events.select(F.col("user_id").alias("node_id")).distinct()
     new = events.where("event_type = 'purchase' AND value > 150").select(F.col("user_id").alias("node_id")).distinct()
@@ -650,11 +692,13 @@ def event_rows(spark, sf_dir):
 
 @query
 def token_scan(spark, sf_dir):
-    """Documents and pages that contain a word pair of the benchmark texts."""
+    """Documents and pages that contain three words in a row of the benchmark texts."""
     names = tables.table(spark, sf_dir, "benchmark").select(
-        F.regexp_extract("text", r"^\W*(\w+ \w+ \w+)", 1).alias("name")
+        F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+ [A-Za-z]+ [A-Za-z]+"), F.lit(0))).alias("name")
     )
-    texts = tables.document_texts(spark, sf_dir).select(F.col("doc_id").alias("text_id"), "text")
+    texts = tables.document_texts(spark, sf_dir).select(F.concat(F.lit("document "), "doc_id").alias("text_id"), "text")
+    pages = tables.table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), "page_id").alias("text_id"), F.col("html").alias("text"))
+    texts = texts.unionByName(pages)
     return search.token_scan(texts, search.scan_tokens(names))
 
 

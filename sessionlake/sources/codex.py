@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions import text as T
+from sessionlake.functions.tokens import sat_sum
 from sessionlake.plans.running import Running, running
 from sessionlake.plans.staging import stage
 from sessionlake.sources.records import (
@@ -200,7 +201,7 @@ def codex_ledger(state: DataFrame) -> DataFrame:
     by = ["agent", "path"]
     deltas = accepted_deltas(state)
     sums = deltas.groupBy(*by).agg(
-        F.struct(*[F.sum(f"delta.{field}").alias(field) for field in TOKEN_FIELDS]).alias("summed")
+        F.struct(*[sat_sum(F.col(f"delta.{field}")).alias(field) for field in TOKEN_FIELDS]).alias("summed")
     )
     last = state.where("valid_total").groupBy(*by).agg(
         F.max_by(F.struct("total", "model"), "byte_offset").alias("last"),
@@ -234,7 +235,7 @@ def codex_ledger(state: DataFrame) -> DataFrame:
         .groupBy(*by, "model")
         .agg(
             F.min("byte_offset").alias("first_at"),
-            F.struct(*[F.sum(f"delta.{field}").alias(field) for field in TOKEN_FIELDS]).alias("t"),
+            F.struct(*[sat_sum(F.col(f"delta.{field}")).alias(field) for field in TOKEN_FIELDS]).alias("t"),
         )
         .select(
             *by, "model", (-1 - F.col("first_at")).alias("byte_offset"), F.lit(0).alias("ordinal"),

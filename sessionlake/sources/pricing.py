@@ -71,9 +71,9 @@ def load_pricing(spark: SparkSession, path: str, strict: bool = False) -> DataFr
     if strict:
         rejected = [row.model for row in table.where("NOT good").select("model").orderBy("model").take(5)]
         if rejected:
-            raise PricingError(f"invalid pricing rates for {', '.join(rejected)}")
+            raise PricingError(f"no usable rates for {', '.join(rejected)}")
         if table.where("good").isEmpty():
-            raise PricingError("pricing table has no token-priced models")
+            raise PricingError("no model in the table is priced per token")
     priced = table.where("good").select(
         "model",
         F.coalesce("input", F.lit(0.0)).alias("input"),

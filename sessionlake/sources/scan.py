@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlake.plans.staging import stage
+
 # Fixed values.
 CLAUDE = "claude"
 CODEX = "codex"
@@ -33,27 +36,44 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def list_files(spark: SparkSession, roots: dict[str, str | list[str]]) -> DataFrame:
     """Every ``*.jsonl`` below the roots: agent, path, size_bytes, modified_at. Reads no content.
 
-    A root that does not exist lists nothing.
+    Folders are listed in tasks, one level of the tree per job, hidden ones too. A root that does not exist
+    lists nothing.
     """
-    listed = spark.createDataFrame([], FILE_SCHEMA)
-    for agent, paths in roots.items():
-        paths = sorted(path for path in ({paths} if isinstance(paths, str) else set(paths)) if _exists(spark, path))
-        if not paths:
-            continue
-        files = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.jsonl")
-            .load(paths)
-            .select(
-                F.lit(agent).alias("agent"),
-                F.regexp_replace("path", "^file:/+", "/").alias("path"),
-                F.col("length").alias("size_bytes"),
-                F.col("modificationTime").alias("modified_at"),
-            )
+    asked = [
+        (agent, re.sub("^file:/+", "/", path).rstrip("/") or "/")
+        for agent, paths in roots.items()
+        for path in ({paths} if isinstance(paths, str) else set(paths))
+        if _exists(spark, path)
+    ]
+    level = spark.createDataFrame(asked, "agent string, path string")
+    found = spark.createDataFrame([], FILE_SCHEMA)
+    while not level.isEmpty():
+        seen = stage(level.repartition("agent", "path").mapInArrow(_entries, f"{FILE_SCHEMA}, folder boolean"), "listing")
+        found = found.unionByName(seen.where("NOT folder AND endswith(path, '.jsonl')").drop("folder"))
+        level = seen.where("folder").select("agent", "path")
+    return found.dropDuplicates(["agent", "path"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands in each folder, whatever its name begins with; a path that is a file stands for itself."""
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            path = row["path"]
+            system, inner = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+            own = system.get_file_info(inner)
+            if own.type == fs.FileType.File:
+                out.append((row["agent"], path, own.size, own.mtime, False))
+            elif own.type == fs.FileType.Directory:
+                for entry in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+                    out.append((row["agent"], f"{path.rstrip('/')}/{entry.base_name}", entry.size, entry.mtime, entry.type == fs.FileType.Directory))
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_()]
+        columns = list(zip(*out)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(column), kind) for column, kind in zip(columns, kinds)], ["agent", "path", "size_bytes", "modified_at", "folder"]
         )
-        listed = listed.unionByName(files)
-    return listed.dropDuplicates(["agent", "path"])
 
 
 def _batches(lines: list[tuple], agent: str, path: str) -> pa.RecordBatch:
@@ -137,9 +157,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 stream = system.open_input_file(inner)
             except (FileNotFoundError, PermissionError):
-                # Reported once per file and skipped; other failures fail the task and are retried.
-                if row["start"] == 0:
-                    yield _batches([(0, 0, None, False)], row["agent"], path)
+                # Every range that is lost is reported; other failures fail the task and are retried.
+                yield _batches([(row["start"], 0, None, False)], row["agent"], path)
                 continue
             with stream:
                 yield from _read_range(stream, row["agent"], path, row["start"], row["end"])

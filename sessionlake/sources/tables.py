@@ -101,7 +101,7 @@ def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("turn").alias("event_index"), none.alias("ts_raw"), kind.alias("kind"),
         F.when(is_tool, none).otherwise(F.col("text")).alias("text"),
         F.when(is_tool, "Note").otherwise(none).alias("tool_name"),
-        F.when(is_tool, F.substring("text", 1, 40)).otherwise(none).alias("tool_input"),
+        F.when(is_tool, F.col("text")).otherwise(none).alias("tool_input"),
         F.when(is_tool, F.col("text")).otherwise(none).alias("detail_input"),
         none.alias("detail_diff"), none.alias("detail_output"), none.alias("summary"),
     )

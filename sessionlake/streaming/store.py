@@ -96,10 +96,15 @@ class Store:
         if count == 0:
             return 0
         dirty = files.join(changes.where("change <> 'removed'"), ["agent", "path"], "left_semi")
-        corpus = Corpus(self.spark, dirty, scan.scan_files(dirty), prices)
+        raw = stage(scan.scan_files(dirty).sortWithinPartitions("agent", "path", "byte_offset"), "raw")
+        corpus = Corpus(self.spark, dirty, raw, prices)
         for name, key in FILE_TABLES.items():
             self._upsert(name, getattr(corpus, name), key, changes.select("path"))
-        manifest = stage(new, "manifest")
+        bad = stage(scan.skip_malformed(raw)[1], "bad")
+        self._upsert("diagnostics", bad, "path", changes.select("path"))
+        # A file that could not be read stays unknown, so that the next refresh tries it again.
+        lost = bad.where("code = 'unreadable_session'").select("agent", "path")
+        manifest = stage(new.join(lost, ["agent", "path"], "left_anti"), "manifest")
         manifest.limit(0).coalesce(1).write.mode("overwrite").parquet(self._path("schemas/manifest"))
         manifest.write.mode("overwrite").parquet(self._path("manifest"))
         return count
@@ -119,7 +124,9 @@ class StoredCorpus(Corpus):
 
     @cached_property
     def diagnostics(self) -> DataFrame:
-        return self._addressed[1]
+        """What the refreshes could not read or parse, and the trees without a clear address."""
+        stored = self.store.table("diagnostics")
+        return self._addressed[1] if stored is None else stored.select(*self._addressed[1].columns).unionByName(self._addressed[1])
 
     @cached_property
     def events(self) -> DataFrame:

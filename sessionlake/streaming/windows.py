@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.functions.tokens import sat_sum
+
 
 def usage_per_window(requests: DataFrame, width: str = "1 hour", late_by: str | None = None) -> DataFrame:
     """Requests and tokens per window and model, on a batch or a stream.
@@ -15,5 +17,5 @@ def usage_per_window(requests: DataFrame, width: str = "1 hour", late_by: str |
     if late_by is not None:
         requests = requests.withWatermark("ts", late_by)
     return requests.groupBy(F.window("ts", width), "model").agg(
-        F.count("*").alias("requests"), F.sum("input").alias("input"), F.sum("output").alias("output")
+        F.count("*").alias("requests"), sat_sum(F.col("input")).alias("input"), sat_sum(F.col("output")).alias("output")
     )

@@ -114,11 +114,11 @@ def test_ownership_does_not_depend_on_partitioning(spark):
 
 
 def test_closure_of_deep_and_cyclic_graphs(spark):
-    chain = [("x", f"n{at}", f"n{at + 1}") for at in range(9)]
+    chain = [("x", f"n{at}", f"n{at + 1}") for at in range(100)]
     edges = spark.createDataFrame(chain + [("x", "p", "q"), ("x", "q", "p")], "agent string, parent string, child string")
     pairs = tree.closure(edges)
-    assert pairs.where("ancestor = 'n0'").count() == 9
-    assert pairs.where("ancestor = 'n0' AND descendant = 'n9'").first().depth == 9
+    assert pairs.where("ancestor = 'n0'").count() == 100
+    assert pairs.where("ancestor = 'n0' AND descendant = 'n100'").first().depth == 100
     assert pairs.where("ancestor = 'p'").count() == 1
 
 
@@ -154,6 +154,11 @@ def test_budget_and_sink(spark, tmp_path):
     kept = sessions.byte_budget_page(frame, [F.col("id")], budget=35, size=F.octet_length("t"))
     assert rows(kept, "id", order="id") == [(0,), (1,), (2,)]
     assert sessions.byte_budget_page(frame, [F.col("id")], budget=1, size=F.octet_length("t")).count() == 1
+    tiny = spark.range(30_000)
+    assert sessions.byte_budget_page(tiny, [F.col("id")], budget=1, size=F.lit(0)).count() == 30_000
+    assert sessions.page(tiny, [F.col("id").desc()], None, 29_990).count() == 10
+    state = sessions.paging_state(tiny, tiny.limit(7), 5).first()
+    assert tuple(state) == (30_000, 7, True, 12, False)
     sessions.sink_json(frame.where("id = 1"), str(tmp_path / "out"), "list")
     line = json.loads(spark.read.text(str(tmp_path / "out")).first().value)
     assert line == {"schema_version": 1, "command": "list", "id": 1, "t": "x" * 10, "tags": []}
@@ -165,8 +170,8 @@ def test_token_scan(spark):
     assert sorted(rows(tokens, "token")) == [("123456789012",), ("Green-House",), ("secret-role",)]
     texts = spark.createDataFrame([(1, "the GREEN-HOUSE of 1234567890123"), (2, "none"), (3, "secret-roles")], "text_id int, text string")
     want = [(1, "123456789012"), (1, "Green-House"), (3, "secret-role")]
-    for chunk in (8_000_000, 5):
-        assert sorted(rows(search.token_scan(texts, tokens, chunk))) == want
+    assert sorted(rows(search.token_scan(texts, tokens))) == want
+    assert search.token_scan(texts, tokens.where("false")).count() == 0
 
 
 def test_manifest(spark):
@@ -174,3 +179,38 @@ def test_manifest(spark):
     old, new = file_manifest(files(("a", 1), ("b", 1)), "v1"), file_manifest(files(("b", 2), ("c", 1)), "v1")
     assert sorted(rows(diff_manifest(new, old), "path", "change")) == [("a", "removed"), ("b", "changed"), ("c", "created")]
     assert diff_manifest(file_manifest(files(("a", 1)), "v2"), file_manifest(files(("a", 1)), "v1")).first().change == "changed"
+
+
+def test_fuzzy_reads_a_title_once(spark):
+    import time
+
+    from sessionlake.functions.matching import fuzzy_pattern
+
+    frame = spark.createDataFrame([("a" * 100_000,), ("xaxxaxab.",), ("ab",)], "title string")
+    started = time.time()
+    assert [row.hit for row in frame.select(F.rlike("title", F.lit(fuzzy_pattern("aaAb"))).alias("hit")).collect()] == [False, True, False]
+    assert time.time() - started < 10
+    assert frame.where(F.rlike("title", F.lit(fuzzy_pattern("ab.")))).count() == 1
+
+
+def test_listing_names_hidden_folders(spark, tmp_path):
+    from sessionlake.sources.scan import list_files
+
+    for name in ("_x/s.jsonl", ".y/z/t.jsonl", "plain.jsonl", "other.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}\n")
+    found = rows(list_files(spark, {"x": [str(tmp_path), str(tmp_path / "none")]}), "path", "size_bytes", order="path")
+    assert found == sorted((str(tmp_path / name), 3) for name in ("_x/s.jsonl", ".y/z/t.jsonl", "plain.jsonl"))
+
+
+def test_counters_saturate(spark):
+    from sessionlake.functions.tokens import MAX_COUNTER
+
+    edges = spark.createDataFrame([("x", "p", "q")], "agent string, parent string, child string")
+    nodes = spark.createDataFrame([("x", "p"), ("x", "q")], "agent string, node_id string").withColumns(
+        {"is_group": F.lit(False), "updated_at": F.lit(None).cast("timestamp"), "updated_raw": F.lit("")})
+    usage = spark.createDataFrame([("x", n, 1, 1, MAX_COUNTER, MAX_COUNTER, 1, False, 0.0, False, False, "m", "m") for n in "pq"],
+                                  "agent string, node_id string, input long, output long, write_5m long, write_1h long, cache_read long, "
+                                  "includes_cache_read boolean, usd double, estimated boolean, missing boolean, model string, pricing_model string")
+    rolled = tree.rollup(nodes, tree.node_totals(usage), tree.closure(edges))
+    assert rows(rolled, "node_id", "total_cache_write", "total_total", order="node_id") == [("p", MAX_COUNTER, MAX_COUNTER), ("q", MAX_COUNTER, MAX_COUNTER)]
