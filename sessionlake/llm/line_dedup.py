@@ -1,16 +1,18 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over windows of whole lines.
 
-A chunk ends after a line where a rolling hash over the last ``WINDOW`` line hashes is divisible by ``DIVISOR``,
-at the earliest two lines after the end before; what stands before or after a passage does not move the ends
-inside it. A chunk with at least two lines that are not empty is a candidate. Of all chunks of the corpus with
-the same bytes the first stays (smallest id, then place) and the others are cut out with their line ends.
+A chunk is two neighbouring lines that are not empty, with the empty lines between them, and also any one line of
+``LONG_WORDS`` words or more (parted by white space). Every such window counts, so what stands before or after a
+passage does not matter: of a repeated passage of several lines all windows are repeated, and they overlap to the
+whole passage. Of all chunks of the corpus with the same bytes the first stays (smallest id, then place) and the
+others are cut out with their line ends. A line is cut only where it stood before, so no line is lost wholly.
 
 Chunks are found and hashed in tasks; only hashes are counted. Bytes of chunks with a repeated hash are then
 compared: a group whose smallest and largest bytes agree is equal throughout; one whose bytes differ (a hash
 collision) is grouped again by the bytes themselves. Counts and minima combine before every shuffle, so a chunk that a third of
 all documents hold costs one row per task; a document joins its own list of chunks by the hash of its id and text.
 
-Defined cases: a null or empty text has no chunks and stays; a text all of whose chunks go becomes empty; rows
+Defined cases: a null or empty text has no chunks and stays; of a run of equal lines in one text one stays; a
+repeated line of fewer words between lines that are not repeated with it stays; a text all of whose chunks go becomes empty; rows
 that agree in id and text count as one document and are cut alike; an empty table stays empty; other columns
 pass through under any name.
 """
@@ -23,33 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import chunks, free_name, mix, short_batches, slice_hashes, text_bytes
+from sessionlake.llm.batches import chunks, free_name, short_batches, slice_hashes, text_bytes
 from sessionlake.plans.staging import stage
 
-WINDOW = 2
-DIVISOR = 2
+LONG_WORDS = 50
 _FEED = 10
-_TURN = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _ends(line_hash: np.ndarray, row: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Which lines end a chunk. ``row``: of each line; ``last``: which lines are the last of their row."""
-    rolling = line_hash.copy()
-    for back in range(1, WINDOW):
-        rolling[back:] += line_hash[:-back] * np.uint64(pow(int(_TURN), back, 1 << 64))
-        rolling[:back] = 1
-    candidate = (mix(rolling) % np.uint64(DIVISOR) == 0) & ~last
-    first = np.concatenate([[True], row[1:] != row[:-1]])
-    candidate &= ~first  # a first line alone is no chunk
-    # Of neighbouring candidates every other one counts, from the first on.
-    run_start = candidate & ~np.concatenate([[False], candidate[:-1]])
-    at = np.arange(len(candidate))
-    since = at - np.maximum.accumulate(np.where(run_start, at, 0))
-    return (candidate & (since % 2 == 0)) | last
+_EXTRACT_BYTES = 4 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def line_chunks(data: np.ndarray, offsets: np.ndarray):
-    """(row, first byte, byte after the last, hash) of every chunk with two lines that are not empty."""
+    """(row, first byte, byte after the last, hash) of every two neighbouring filled lines and every long line."""
     feed = np.flatnonzero(data == _FEED)
     rows = len(offsets) - 1
     filled = np.flatnonzero(np.diff(offsets) > 0)
@@ -62,12 +49,16 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray):
     if not rows or not len(ends):
         return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
     starts = np.concatenate([[0], np.where(last[:-1], ends[:-1], ends[:-1] + 1)])
-    stop = np.flatnonzero(_ends(slice_hashes(data, starts, ends), row, last))
-    begin = np.concatenate([[0], stop[:-1] + 1])
-    full = np.concatenate([[0], np.cumsum(ends > starts)])
-    use = full[stop + 1] - full[begin] >= 2
-    begin, stop = begin[use], stop[use]
-    return row[stop], starts[begin], ends[stop], slice_hashes(data, starts[begin], ends[stop])
+    filled = np.flatnonzero(ends > starts)
+    starts, ends, row = starts[filled], ends[filled], row[filled]
+    open_ = np.concatenate([[True], _SPACE[data[:-1]]])  # a word can begin here
+    open_[offsets[:-1][offsets[:-1] < len(data)]] = True
+    words = np.concatenate([[0], np.cumsum(open_ & ~_SPACE[data])])
+    many = words[ends] - words[starts]
+    pair, long = np.flatnonzero(row[1:] == row[:-1]), np.flatnonzero(many >= LONG_WORDS)
+    row = np.concatenate([row[pair], row[long]])
+    start, end = np.concatenate([starts[pair], starts[long]]), np.concatenate([ends[pair + 1], ends[long]])
+    return row, start, end, slice_hashes(data, start, end)
 
 
 def _key_columns(id_col: str, text_col: str) -> list:
@@ -87,18 +78,25 @@ def _find(batches):
 
 
 def _extract(batches):
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
-        keys, texts, wanted = batch.columns[:3], batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        rows, out = [], []
-        for row, (text, places) in enumerate(zip(texts, wanted)):
-            raw = text.encode()
+        wanted, rows, out, held = batch.column(4), [], [], 0
+        for row in range(batch.num_rows):
+            raw, places = batch.column(3)[row].as_py().encode(), wanted[row].as_py()
             for place in places:
                 rows.append(row)
                 out.append((place["start"], place["size"], place["hash"], raw[place["start"]:place["start"] + place["size"]]))
-        at = pa.array(rows, pa.int64())
-        columns = list(zip(*out)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([*[key.take(at) for key in keys], *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]],
-                                         ["k1", "k2", "id", "start", "size", "hash", "bytes"])
+                held += place["size"]
+                if held >= _EXTRACT_BYTES:
+                    yield _extracted(batch, rows, out, types)
+                    rows, out, held = [], [], 0
+        yield _extracted(batch, rows, out, types)
+
+
+def _extracted(batch, rows: list, out: list, types: tuple):
+    at, columns = pa.array(rows, pa.int64()), list(zip(*out)) if out else [[], [], [], []]
+    return pa.RecordBatch.from_arrays([*[key.take(at) for key in batch.columns[:3]], *[pa.array(c, k) for c, k in zip(columns, types)]],
+                                      ["k1", "k2", "id", "start", "size", "hash", "bytes"])
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,9 +133,9 @@ def _cutter(text_at: int, cuts_at: int):
                 texts = column.to_pylist()
                 for row in changed:
                     raw, kept, at = texts[row].encode(), [], 0
-                    for place in sorted(cuts[row], key=lambda x: x["start"]):
+                    for place in sorted(cuts[row], key=lambda x: x["start"]):  # they can overlap
                         kept.append(raw[at:place["start"]])
-                        at = place["start"] + place["size"] + 1  # with the line feed behind it
+                        at = max(at, place["start"] + place["size"] + 1)  # with the line feed behind it
                     rest = raw[at:]
                     text = b"".join(kept) + rest
                     if at > len(raw) and text.endswith(b"\n"):

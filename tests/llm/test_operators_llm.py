@@ -226,6 +226,48 @@ def test_line_dedup_compares_bytes(spark, docs, monkeypatch):
     assert collected(line_dedup.dedup_lines(docs), "doc_id", "text") == want
 
 
+def planted():
+    """Passages of 1, 2, 3 and 5 lines with over 50 words, and texts with each of them at the start, inside and at the end."""
+    passages = [[prose(5000 + 10 * lines + k, 80 // lines).replace("\n", " ") for k in range(lines)] for lines in (1, 2, 3, 5)]
+    texts, bare = [], []
+    for n, passage in enumerate(passages):
+        for k in range(4):
+            own = [prose(6000 + 100 * n + 10 * k + part, 90).split("\n") for part in range(2)]
+            before, after = ([], own[0] + own[1]) if k == 1 else (own[0] + own[1], []) if k == 2 else own
+            texts.append("\n".join(before + passage + after))
+            bare.append("\n".join(before + after) if k else texts[-1])
+    return ["\n".join(p) for p in passages], texts, bare
+
+
+def test_line_dedup_of_planted_passages(spark):
+    from sessionlake.llm.line_dedup import dedup_lines
+
+    _, texts, bare = planted()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert collected(dedup_lines(frame), "doc_id", "text") == sorted(enumerate(bare), key=repr)
+
+
+def test_line_dedup_against_plain_lines(spark):
+    """Runs of two filled lines and lines of 50 words that stood before, found line by line."""
+    from sessionlake.llm.line_dedup import dedup_lines
+
+    draw = random.Random(4)
+    pool = [prose(4000 + k, n).replace("\n", " ") for k, n in enumerate([3, 4, 5, 6, 49, 50, 51, 70])] + [""]
+    docs = [(k, "\n".join(draw.choice(pool) if draw.random() < 0.5 else f"own {k} {at}" for at in range(draw.randint(1, 12)))) for k in range(60)]
+    docs += [(k, "\n".join(draw.choice(pool) for _ in range(6))) for k in range(60, 80)]
+    seen, want = set(), []
+    for doc, text in docs:
+        lines = text.split("\n")
+        full, gone = [at for at, line in enumerate(lines) if line], set()
+        for a, b in [*[(at, at) for at in full if len(lines[at].split()) >= 50], *zip(full, full[1:])]:
+            window = tuple(lines[a:b + 1])
+            gone |= set(range(a, b + 1)) if window in seen else set()
+            seen.add(window)
+        want.append((doc, "\n".join(line for at, line in enumerate(lines) if at not in gone)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert collected(dedup_lines(frame), "doc_id", "text") == sorted(want, key=repr)
+
+
 # 5
 
 
