@@ -466,6 +466,19 @@ def test_near_classes_of_a_hot_bucket(spark):
     assert {r.id: r.class_id for r in classes(docs).collect()} == brute.near_classes(rows)
 
 
+def test_near_classes_of_texts_that_differ_in_repeats(spark):
+    from sessionlake.llm.near_dedup import classes
+
+    rows = []
+    for k in range(8):
+        own = prose(8000 + k, 300).split()
+        rows += [(10 * k, " ".join(own)), (10 * k + 1, " ".join(own[:34] * 11 + own[34:])), (10 * k + 2, " ".join(own[:100] + own[100:101] * 200 + own[101:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute.near_classes(rows)
+    assert len(set(want.values())) == 8
+    assert {r.id: r.class_id for r in classes(docs).collect()} == want
+
+
 def test_signatures_estimate_probability_jaccard():
     from sessionlake.llm.near_dedup import signatures
 
