@@ -650,6 +650,25 @@ def test_pipeline_against_brute_force(spark):
     assert ran == {k: r.ids_sha256 for k, r in after.items()}
 
 
+def test_pipeline_leaves_one_copy_of_planted_passages(spark, tmp_path):
+    import corpus_pipeline
+
+    passages, texts, bare = planted()
+    source = spark.read.parquet(f"{SMALL}/documents.parquet")
+    first = source.agg(F.max("doc_id")).first()[0] + 1
+    made = spark.createDataFrame([(first + k, text) for k, text in enumerate(texts)], "doc_id long, text string").select(
+        F.col("doc_id").cast(source.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("web").alias("source"),
+        F.length("text").cast(source.schema["n_chars"].dataType).alias("n_chars"))
+    source.union(made.select(source.columns)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+    left = {r.doc_id: r.text for r in docs.where(F.col("doc_id") >= first).collect()}
+    assert left == {first + k: text for k, text in enumerate(bare)}
+    assert all(sum(passage in text for text in left.values()) == 1 for passage in passages)
+
+
 def test_rank_file_lines():
     import public_tokenizers
 
