@@ -10,6 +10,7 @@ shortest code for the whole text wins, the smaller name on ties. The score is th
 
 The model is fitted on about ``rows_per_language`` rows of each language, drawn by a hash of the id, of at most
 ``max_row_bytes`` bytes each, so it does not grow with the corpus; prediction reads every byte of every text.
+A language whose rows are all longer is fitted on its shortest ones, of as many bytes in all, one row at least.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing can be
 learned; rows with a null id, text or language are not learned from; repeated rows count and are predicted
@@ -193,10 +194,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model of the languages of ``docs``; None if no row can be learned from."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    rows = rows.where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(F.octet_length("text") <= max_row_bytes)
-    sizes = {lang: n for lang, n in rows.groupBy("lang").count().collect()}  # one row per language
-    if not sizes:
+    rows = rows.where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    size = F.octet_length("text")
+    found = rows.groupBy("lang").agg(F.count(F.when(size <= max_row_bytes, 1)), F.count(F.lit(1)), F.min(size)).collect()  # one row per language
+    if not found:
         return None
+    sizes = {lang: n for lang, n, _, _ in found if n}
+    wanted = {lang: min(n, rows_per_language, max(1, rows_per_language * max_row_bytes // shortest)) / n for lang, short, n, shortest in found if not short}
+    limit = size <= max_row_bytes
+    if wanted:
+        long = rows.where(F.col("lang").isin(*wanted))
+        at = long.agg(*[F.percentile_approx(F.when(F.col("lang") == lang, size), part, 1_000_000) for lang, part in wanted.items()]).first()
+        for lang, most in zip(wanted, at):
+            limit = limit | ((F.col("lang") == lang) & (size <= most))
+            sizes[lang] = 1  # all of them are learned from
+    rows = rows.where(limit)
     languages = sorted(sizes)
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, rows_per_language / sizes[lang]))])
     drawn = F.pmod(F.xxhash64(F.lit(6), F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
@@ -254,10 +266,15 @@ def held_out(id_col: str = "doc_id"):
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.5, **columns) -> DataFrame:
-    """The rows of ``docs`` whose language is known; rejected are texts without a letter and those below ``min_score``."""
+    """The rows of ``docs`` whose language is known; rejected are texts without a letter and those below ``min_score``.
+
+    If no language can be learned, every text with a letter stays.
+    """
     learned = docs.where(~held_out(columns.get("id_col", "doc_id")))
     model = train(learned, **columns)
     text_col = columns.get("text_col", "text")
+    if model is None:
+        return docs.where(F.col(f"`{text_col}`").rlike(r"\p{L}"))
     told = predict(docs, model, text_col)
     language, share = (F.col(f"`{name}`") for name in told.columns[-2:])
     return told.where((language != UNDETERMINED) & (share >= min_score)).select(*[F.col(f"`{name}`") for name in docs.columns])

@@ -345,6 +345,19 @@ def test_language_held_out_accuracy(spark):
     assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) for r in rows)
 
 
+def test_language_of_long_rows_only(spark):
+    from sessionlake.llm.language import keep_known, predict, train
+
+    rows = [(k, prose(3000 + k, 30), "aa") for k in range(20)] + [(100 + k, " ".join(["zwork", "mnuik", "prosk", "vlakt"][(k + at * at) % 4] for at in range(200 + 20 * k)), "zz") for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(frame, rows_per_language=5, max_row_bytes=1_000)
+    assert model.languages == ["aa", "zz"]
+    assert all(r.lang_pred == r.lang for r in predict(frame, model).collect())
+    assert train(frame.where("lang = 'zz'"), max_row_bytes=50).languages == ["zz"]
+    unlabelled = spark.createDataFrame([(1, "some text", None), (2, "123", None), (3, None, None)], frame.schema)
+    assert [r.doc_id for r in keep_known(unlabelled).collect()] == [1]
+
+
 def test_language_code_lengths_equal_a_plain_tree(docs):
     import math
     from collections import Counter
