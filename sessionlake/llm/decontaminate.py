@@ -76,7 +76,7 @@ class WindowTable:
 def window_tables(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int = BLOCK_BYTES):
     """The benchmark as blocks of items, each block's text about ``block_bytes`` at most, one at a time."""
     item, text = F.col(f"`{item_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
-    items = benchmark.select(item.alias("item"), text.alias("text")).where("text is not null")
+    items = benchmark.select(item.alias("item"), text.alias("text")).where("text is not null").distinct()  # else one block gets all repeats of a row
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, math.ceil(size / block_bytes))
     for block in range(count):

@@ -72,6 +72,14 @@ def test_decontamination_scan(docs, items):
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
+def test_repeated_benchmark_rows_are_collected_once(spark):
+    from sessionlake.llm.decontaminate import window_tables
+
+    rows = [(1, PASSAGE)] * 200 + [(2, PASSAGE), (3, prose(901, 30))]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    assert sorted(item for table in window_tables(items, "item_id", "text", 10, 1_000) for item in table.items) == ["1", "2", "3"]
+
+
 def test_decontamination_modes(spark, docs, items):
     from sessionlake.llm.decontaminate import decontaminate
 
