@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows
+from helpers import rows
 from fixtures import assistant, result, stamp, text, tokens, tool, user, write
 
 from sessionlake.corpus import open_corpus

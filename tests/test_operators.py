@@ -6,7 +6,7 @@ import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from conftest import rows
+from helpers import rows
 from fixtures import write
 from pyspark.sql import functions as F
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 from fixtures import assistant, item, result, text, tokens, tool, user
 from pyspark.sql import functions as F
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import rows
+from helpers import rows
 from fixtures import assistant, text, tokens, user, write
 
 from sessionlake.streaming.store import Store
