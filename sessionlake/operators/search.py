@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.matching import Matcher, compile_matcher, snippet
 from sessionlake.operators.sessions import byte_budget_page, event_text, filter_sessions, page, paging_state, parse_kinds, resolve
+from sessionlake.plans import grams
+from sessionlake.plans.staging import stage
 
 # Fixed values.
 FIELDS = ["text", "tool.input", "tool.diff", "tool.output", "tool.summary"]
@@ -145,23 +149,35 @@ def scan_tokens(names: DataFrame) -> DataFrame:
 
 
 def token_scan(texts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``(text_id, token)`` for every text that contains a token, ignoring case.
+    """``(text_id, token)`` for every text that contains a token, ignoring case; null texts and empty tokens match nothing.
 
-    A token's longest piece between white space lies inside one piece of every text that contains it. The
-    distinct pieces of the texts are cut to the lengths those longest pieces have (a handful) and joined with
-    them; only texts with such a piece are tested for the whole token. Tokens of white space alone match nothing.
+    Every token is anchored at its rarest gram of fixed length, by counts of hashed grams over all texts; a token with a
+    gram that stands in no text is out at once. A second linear pass finds the texts that hold an anchor, past a
+    filter of ``2 ** FILTER_BITS`` bits for each gram length, and only these are tested for the whole token.
+    What is sent to the tasks (counts and filters) is bounded whatever the number of tokens or texts.
     """
-    low = tokens.select("token", F.lower("token").alias("needle")).distinct()
-    pieces = F.filter(F.split("needle", r"\s+"), lambda piece: piece != "")
-    longest = F.array_max(F.transform(pieces, lambda piece: F.struct(F.char_length(piece).alias("size"), piece.alias("piece"))))
-    anchored = low.withColumn("longest", longest).where("longest IS NOT NULL").select("token", "needle", F.col("longest.piece").alias("anchor"))
-    bodies = texts.select("text_id", F.lower("text").alias("body"))
-    words = bodies.select("text_id", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("word")).where("word <> ''")
-    lengths = sorted(row[0] for row in anchored.select(F.char_length("anchor")).distinct().collect())
-    if not lengths:
+    spark = texts.sparkSession
+    bodies = texts.where("text IS NOT NULL").select("text_id", F.lower("text").alias("body"))
+    low = tokens.select("token", F.lower("token").alias("needle")).where("needle <> ''").distinct()
+    long = F.octet_length("needle")
+    size = F.when(long >= 8, 8).when(long >= 4, 4).when(long >= 2, 2).otherwise(1)
+    sizes = sorted(row[0] for row in low.select(size).distinct().collect())  # at most four
+    if not sizes:
         return texts.select("text_id", F.lit(None).cast("string").alias("token")).where("false")
-    size = F.char_length("word")
-    cuts = [F.when(size >= n, F.expr(f"transform(sequence(1, char_length(word) - {n} + 1), i -> substring(word, i, {n}))")) for n in lengths]
-    spelled = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*cuts))))).alias("anchor"))
-    suspects = words.join(spelled.join(anchored, "anchor"), "word").select("text_id", "token", "needle").distinct()
+    counts = {each: np.zeros(1 << grams.COUNT_BITS, np.int64) for each in sizes}
+    counted = bodies.select("body").mapInArrow(grams.count_grams(sizes), "size int, bucket long, n long").groupBy("size", "bucket").agg(F.sum("n").alias("n"))
+    for row in counted.collect():  # at most 2 ** COUNT_BITS rows a size
+        counts[row["size"]][row["bucket"]] = row["n"]
+    anchored = stage(low.mapInArrow(grams.anchor(spark.sparkContext.broadcast(counts)), "token string, needle string, size int, code long"), "anchors")
+    filters = {each: np.zeros(1 << grams.FILTER_BITS, bool) for each in sizes}
+    for row in anchored.mapInArrow(_filter_bits, "size int, bit long").distinct().collect():  # at most 2 ** FILTER_BITS rows a size
+        filters[row["size"]][row["bit"]] = True
+    found = bodies.mapInArrow(grams.find_grams(spark.sparkContext.broadcast(filters)), f"text_id {dict(bodies.dtypes)['text_id']}, size int, code long")
+    suspects = found.join(anchored, ["size", "code"]).select("text_id", "token", "needle").distinct()
     return bodies.join(suspects, "text_id").where(F.contains("body", F.col("needle"))).select("text_id", "token").distinct()
+
+
+def _filter_bits(batches):
+    for batch in batches:
+        code = batch.column(3).to_numpy().view(np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(grams.spread(code, grams.FILTER_BITS))], ["size", "bit"])

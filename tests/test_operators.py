@@ -174,6 +174,23 @@ def test_token_scan(spark):
     assert search.token_scan(texts, tokens.where("false")).count() == 0
 
 
+def test_token_scan_of_long_pieces_and_awkward_tokens(spark):
+    import time
+
+    body = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(10_000_000))
+    texts = [("long", body), ("long", body[:500]), ("null", None), ("empty", ""), ("edge", "ab"), ("next", "cdé\u0130X"), ("tie", "ab cd"), ("tie", "ab cd")]
+    names = [body[9_999_000:9_999_040].upper(), body[5_000_003:5_000_009], "abcd", "b", "É\u0130", "b c", "\u0130x", "", "ab cd", "qqqqqqqqq"]
+    frame = spark.createDataFrame(texts, "text_id string, text string").repartition(3)
+    tokens = spark.createDataFrame([(name,) for name in names], "token string")
+    lowered = {name: spark.range(1).select(F.lower(F.lit(name))).first()[0] for name in names}
+    started = time.time()
+    found = sorted(set(rows(search.token_scan(frame, tokens))))
+    assert time.time() - started < 10
+    lower = [(key, spark.range(1).select(F.lower(F.lit(text))).first()[0]) for key, text in texts if text]
+    assert found == sorted({(key, name) for key, text in lower for name in names if name and lowered[name] in text})
+    assert ("edge", "abcd") not in found  # grams do not cross rows
+
+
 def test_manifest(spark):
     files = lambda *items: spark.createDataFrame([("x", path, size, datetime(2026, 1, 1)) for path, size in items], "agent string, path string, size_bytes long, modified_at timestamp")
     old, new = file_manifest(files(("a", 1), ("b", 1)), "v1"), file_manifest(files(("b", 2), ("c", 1)), "v1")
