@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,57 +210,138 @@ def group_models(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     return models.select("agent", "node_id", "models").unionByName(pooled)
 
 
-def link_spawn(calls: DataFrame, children: DataFrame) -> DataFrame:
-    """Match spawn calls to child nodes, each child used once.
+def link_spawn(calls: DataFrame, results: DataFrame, children: DataFrame) -> DataFrame:
+    """Match spawn calls to child nodes in the order of the timeline, each free child used once.
+
+    ``calls``: agent, node_id, seq, names (array; null for a call that only its result links). ``results``: agent,
+    node_id, seq, call (seq of the call that it answers), name (what it names), of_group. ``children``: agent, node_id,
+    child, session_id, title, is_group, at.
+
+    A call takes, at its place, the first free child whose id or title equals one of its names, ignoring case, else the
+    first free child that is no group. A result that names a child takes it for its call, free or not, and sets free the
+    child that the call held, which the calls behind it can take. Returns agent, node_id, seq, child.
 
-    ``calls``: agent, node_id, seq, names (array), result_id. ``children``: agent, node_id, child,
-    session_id, title, is_group, at. A result that names its agent wins; then a name, description or
-    type equal to an id or title; the rest pair off in order. Returns agent, node_id, seq, child.
+    Every choice depends on the ones before, so one family is one sequence; it streams through its task in order and
+    leaves there only its children's keys and its calls' choices, never its rows.
     """
     by = ["agent", "node_id"]
-    named = calls.where("result_id <> ''").join(
-        children.withColumn("result_id", F.col("session_id")), [*by, "result_id"]
+    low = F.lower
+    kids = children.select(
+        *by, F.lit(0).alias("role"), F.col("at").cast("string").alias("at"), F.lit(0).cast("bigint").alias("seq"), "child",
+        F.col("session_id").alias("name"), "is_group", F.array(low("session_id"), low("title")).alias("names"), F.lit(None).cast("bigint").alias("call"),
     )
-    sure = named.groupBy(*by, "child").agg(F.min("seq").alias("seq"))
-    left_calls = calls.join(sure.select(*by, "seq"), [*by, "seq"], "left_anti")
-    left_children = children.join(sure.select(*by, "child"), [*by, "child"], "left_anti")
-    keys = F.array_distinct(F.array(F.lower("session_id"), F.lower("title")))
-    wanted = left_calls.select(*by, "seq", F.explode(F.array_distinct(F.transform("names", F.lower))).alias("key")).where("key <> ''")
-    offered = left_children.select(*by, "child", "at", F.explode(keys).alias("key")).where("key <> ''")
-    options = wanted.join(offered, [*by, "key"]).select(*by, "seq", "child", "at", "key").dropDuplicates([*by, "seq", "child"])
-    # Equal names pair in order: the nth call of a name takes the nth child of that name.
-    matched = _pair_in_order(
-        options.select(*by, "key", "seq").distinct(), options.select(*by, "key", "child", "at").distinct(), [*by, "key"]
+    asked = calls.select(
+        *by, F.lit(1).alias("role"), F.lit("").alias("at"), "seq", F.lit("").alias("child"), F.lit("").alias("name"), F.lit(False).alias("is_group"),
+        F.transform("names", low).alias("names"), F.col("seq").alias("call"),
     )
-    matched = matched.groupBy(*by, "seq").agg(F.min_by("child", "at").alias("child"), F.min("at").alias("at"))
-    matched = matched.groupBy(*by, "child").agg(F.min("seq").alias("seq"))
-    rest_calls = left_calls.join(matched.select(*by, "seq"), [*by, "seq"], "left_anti").where("result_id = ''")
-    rest_children = left_children.where(~F.col("is_group")).join(matched.select(*by, "child"), [*by, "child"], "left_anti")
-    ordered = _pair_in_order(rest_calls.select(*by, "seq"), rest_children.select(*by, "child", "at"), by)
-    columns = [*by, "seq", "child"]
-    return sure.select(*columns).unionByName(matched.select(*columns)).unionByName(ordered.select(*columns))
+    told = results.select(
+        *by, F.lit(2).alias("role"), F.lit("").alias("at"), "seq", F.lit("").alias("child"), "name", F.col("of_group").alias("is_group"),
+        F.lit(None).cast("array<string>").alias("names"), "call",
+    )
+    moves = asked.unionByName(told)
+    rows = kids.join(moves.select(*by).distinct(), by, "left_semi").unionByName(moves)
+    # Children come first: at their place in the family, then calls and results by theirs in the file.
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, F.least("role", F.lit(1)), "at", "seq", "role", "child")
+    return ordered.mapInArrow(_assign_children, "agent string, node_id string, seq bigint, child string")
+
+
+class _Family:
+    """Children of one node that are free, by key and over all, and what each call holds."""
+
+    def __init__(self):
+        self.children: list[tuple[str, bool, list]] = []
+        self.by_id: dict[tuple[str, bool], int] = {}
+        self.free: dict[str, list[int]] = {}
+        self.plain: list[int] = []
+        self.linked: set[int] = set()
+        self.held: dict[int, int] = {}
+
+    def add(self, child: str, session_id: str, is_group: bool, keys: list) -> None:
+        at = len(self.children)
+        self.children.append((child, is_group, keys))
+        self.by_id.setdefault((session_id, False), at)
+        if is_group:
+            self.by_id.setdefault((session_id, True), at)
+        self._offer(at)
+
+    def _offer(self, at: int) -> None:
+        _, is_group, keys = self.children[at]
+        for key in set(keys):
+            heapq.heappush(self.free.setdefault(key, []), at)
+        if not is_group:
+            heapq.heappush(self.plain, at)
+
+    def _first(self, heap: list[int] | None) -> int | None:
+        while heap and heap[0] in self.linked:
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    def call(self, seq: int, names: list) -> None:
+        firsts = [at for at in (self._first(self.free.get(name)) for name in names) if at is not None]
+        chosen = min(firsts) if firsts else self._first(self.plain)
+        if chosen is not None:
+            self.held[seq] = chosen
+            self.linked.add(chosen)
+
+    def result(self, call: int, name: str, of_group: bool) -> None:
+        named = self.by_id.get((name, of_group))
+        if named is None:
+            return
+        before = self.held.get(call)
+        if before in self.linked:
+            self.linked.discard(before)
+            self._offer(before)
+        self.held[call] = named
+        self.linked.add(named)
+
+
+def _assign_children(batches):
+    family, key = _Family(), None
+
+    def done():
+        picked = sorted(family.held.items())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([side] * len(picked), pa.string()) for side in key]
+            + [pa.array([seq for seq, _ in picked], pa.int64()), pa.array([family.children[at][0] for _, at in picked], pa.string())],
+            ["agent", "node_id", "seq", "child"],
+        )
+
+    for batch in batches:
+        for agent, node, role, _, seq, child, name, is_group, names, call in zip(*(column.to_pylist() for column in batch.columns)):
+            if (agent, node) != key:
+                if key is not None:
+                    yield done()
+                family, key = _Family(), (agent, node)
+            if role == 0:
+                family.add(child, name, is_group, [each for each in names if each is not None])
+            elif role == 2:
+                family.result(call, name, is_group)
+            elif names is not None:
+                family.call(seq, [each for each in names if each is not None])
+    if key is not None:
+        yield done()
 
 
 def spawn_links(events: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Child node of every spawn event: ``(agent, node_id, seq, child)``.
 
-    A workflow call links to the group of the run its result names, the other calls of the first
-    format as in ``link_spawn``, and an activity of the second format by agent path or id.
+    Calls of the first format link as in ``link_spawn``; a workflow call only to the group of the run that its result
+    names. An activity of the second format links by agent path or id.
     """
     spawns = events.where("kind = 'subagent'")
     kids = edges.select("agent", F.col("parent").alias("node_id"), F.col("child")).join(
         nodes.select("agent", F.col("node_id").alias("child"), "session_id", "title", "is_group", "agent_path"), ["agent", "child"]
     )
-    runs = (
-        spawns.where("tool_name = 'Workflow' AND spawn_run <> ''")
-        .select("agent", "node_id", "seq", F.col("spawn_run").alias("session_id"))
-        .join(kids.where("is_group"), ["agent", "node_id", "session_id"])
-        .select("agent", "node_id", "seq", "child")
-    )
-    calls = spawns.where("spawn_names IS NOT NULL AND tool_name <> 'Workflow'").select(
-        "agent", "node_id", "seq", F.col("spawn_names").alias("names"), F.col("spawn_result").alias("result_id")
+    calls = spawns.where("spawn_names IS NOT NULL").select(
+        "agent", "node_id", "seq", F.when(F.col("tool_name") != "Workflow", F.col("spawn_names")).alias("names")
     )
-    matched = link_spawn(calls, kids.withColumn("at", F.col("child")))
+    of_group = F.col("__tool") == "Workflow"
+    answers = events.where("spawn_call IS NOT NULL AND (spawn_result <> '' OR spawn_run <> '')")
+    tools = spawns.select("agent", "node_id", F.col("seq").alias("spawn_call"), F.col("tool_name").alias("__tool"))
+    results = answers.drop("tool_name").join(tools, ["agent", "node_id", "spawn_call"]).select(
+        "agent", "node_id", "seq", F.col("spawn_call").alias("call"), F.when(of_group, F.col("spawn_run")).otherwise(F.col("spawn_result")).alias("name"), of_group.alias("of_group")
+    ).where("name <> ''")
+    matched = link_spawn(calls, results, kids.withColumn("at", F.col("child")))
     starts = (
         spawns.where("spawn_names IS NULL AND agent_id <> ''")
         .select("agent", "node_id", "seq", F.col("agent_id").alias("session_id"))
@@ -265,17 +349,5 @@ def spawn_links(events: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
         .groupBy("agent", "node_id", "seq")
         .agg(F.min("child").alias("child"))
     )
-    return runs.unionByName(matched).unionByName(starts)
-
-
-def _pair_in_order(calls: DataFrame, children: DataFrame, by: list[str]) -> DataFrame:
-    """Pair the nth call with the nth child of each group."""
-    from sessionlake.plans.running import Running, range_blocks, running
-    from sessionlake.sources.scan import offset_block
+    return matched.unionByName(starts)
 
-    one: Column = F.lit(1)
-    left = running(calls, by, [F.col("seq")], offset_block("seq"), {"nth": Running("sum", one)})
-    # Children come in path order; ranges of equal size cut a large family wherever its paths begin to differ.
-    cut = range_blocks(children, [*map(F.col, by), F.col("at"), F.col("child")], "__range")
-    right = running(cut, by, [F.col("at"), F.col("child")], F.col("__range"), {"nth": Running("sum", one)}).drop("__range")
-    return left.join(right, [*by, "nth"])

@@ -27,7 +27,7 @@ MINUS = "−"
 EVENT_COLUMNS = [
     "agent", "node_id", "seq", "ts", "ts_raw", "kind", "text", "model", "call_id", "tool_name", "tool_input", "summary",
     "detail_input", "detail_diff", "detail_output", "has_detail", "duration_ms", "agent_id", "usage", "usage_aggregate", "harness",
-    "compact_trigger", "compact_post_tokens", "spawn_names", "spawn_result", "spawn_run", "path", "byte_offset", "byte_length", "digest",
+    "compact_trigger", "compact_post_tokens", "spawn_names", "spawn_result", "spawn_run", "spawn_call", "path", "byte_offset", "byte_length", "digest",
 ]
 
 
@@ -40,6 +40,7 @@ def _defaults(frame: DataFrame) -> DataFrame:
         "usage": F.lit(None).cast(USAGE_TYPE), "usage_aggregate": F.lit(False), "harness": F.lit(False),
         "compact_trigger": F.lit(""), "compact_post_tokens": F.lit(0).cast("bigint"),
         "spawn_names": F.lit(None).cast("array<string>"), "spawn_result": F.lit(""), "spawn_run": F.lit(""),
+        "spawn_call": F.lit(None).cast("bigint"),
     }
     missing = {name: value for name, value in empty.items() if name not in frame.columns}
     return frame.withColumns(missing).select(*EVENT_COLUMNS) if missing else frame.select(*EVENT_COLUMNS)
@@ -247,7 +248,7 @@ def _raw_text(value: Column) -> Column:
 
 def spawn_names(raw: Column) -> Column:
     fields = _edit_fields(raw)
-    return F.array_compact(F.array(*[fields.getField(key) for key in ("name", "description", "subagent_type")]))
+    return F.array(*[text_or_empty(fields.getField(key)) for key in ("name", "description", "subagent_type")])
 
 
 def _usage_lines(lines: DataFrame) -> DataFrame:
@@ -341,15 +342,13 @@ def claude_events(records: DataFrame, lines: DataFrame) -> DataFrame:
             F.max_by("shown", "seq").alias("answer"),
             F.max_by("result_text", F.when(F.col("call.has_detail") & (F.col("call_id") != ""), F.col("seq"))).alias("answer_output"),
             F.max_by(elapsed, F.when(elapsed >= 0, F.col("seq"))).alias("answer_ms"),
-            F.max_by("result_agent", F.when(F.col("result_agent") != "", F.col("seq"))).alias("spawn_result"),
-            F.max_by("result_run", F.when(F.col("result_run") != "", F.col("seq"))).alias("spawn_run"),
         )
     )
     heads = head_event_usage(blocks, _usage_lines(lines))
     joined = (
         blocks.join(heads, [*by, "seq"], "left")
         .join(advisors, [*by, "seq"], "left")
-        .join(paired.select(*by, "seq", "shown"), [*by, "seq"], "left")
+        .join(paired.select(*by, "seq", "shown", F.col("call.seq").alias("spawn_call")), [*by, "seq"], "left")
         .join(answered, [*by, "seq"], "left")
         .join(advisors.select(*by, "seq").withColumn("kept", F.lit(True)), [*by, "seq"], "left")
         .where("kind <> 'advisor' OR kept")
@@ -362,8 +361,8 @@ def claude_events(records: DataFrame, lines: DataFrame) -> DataFrame:
             "summary": text_or_empty(F.col("answer")),
             "detail_output": text_or_empty(F.col("answer_output")),
             "duration_ms": F.coalesce("answer_ms", F.lit(0)),
-            "spawn_result": text_or_empty(F.col("spawn_result")),
-            "spawn_run": text_or_empty(F.col("spawn_run")),
+            "spawn_result": text_or_empty(F.col("result_agent")),
+            "spawn_run": text_or_empty(F.col("result_run")),
             "agent_id": F.lit(""),
             "usage_aggregate": F.lit(False),
             "harness": F.coalesce("harness", F.lit(False)),

@@ -625,20 +625,32 @@ FROM orders"""
 ORACLES["filter_scope"] = f"""WITH {_PLACES} SELECT descendant AS node_id, 'claude:r1#n1' AS root_ref FROM walk WHERE ancestor = 'n1' AND EXISTS (SELECT 1 FROM place WHERE node_id = 'n1' AND parent = 'r1')"""
 
 ORACLES["link_spawn"] = """
-WITH sure AS (
-  SELECT s_nationkey AS nation, s_suppkey, c_custkey FROM supplier JOIN customer ON c_custkey = s_suppkey AND c_nationkey = s_nationkey
-  WHERE s_suppkey % 5 = 1 OR s_suppkey % 2 = 0
-),
-calls AS (
-  SELECT s_nationkey AS nation, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier
-  WHERE s_suppkey NOT IN (SELECT s_suppkey FROM sure) AND s_suppkey % 5 <> 1
-),
-kids AS (
-  SELECT c_nationkey AS nation, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS n FROM customer
-  WHERE c_custkey NOT IN (SELECT c_custkey FROM sure)
-)
-SELECT 'n' || nation AS node_id, s_suppkey, 'c' || c_custkey AS child FROM sure
-UNION ALL SELECT 'n' || nation, s_suppkey, 'c' || c_custkey FROM calls JOIN kids USING (nation, n)"""
+WITH RECURSIVE kids AS (
+  SELECT c_nationkey AS nation, list({'kid': c_custkey, 'title': lower(c_mktsegment), 'grp': c_custkey % 3 = 0} ORDER BY c_name) AS children,
+         min(c_custkey) AS low, min(c_custkey) FILTER (c_custkey % 3 = 0) AS third
+  FROM customer GROUP BY c_nationkey
+), moves AS (
+  SELECT s_nationkey AS nation, s_suppkey * 2 AS seq, s_suppkey AS call, 'call' AS what,
+         CASE WHEN s_suppkey % 4 < 2 THEN ['none'] ELSE ['none', (['automobile', 'building', 'furniture', 'nobody', 'machinery'])[s_suppkey % 5 + 1]] END AS names FROM supplier WHERE s_suppkey % 4 <> 0
+  UNION ALL
+  SELECT s_nationkey, s_suppkey * 2 + 61, s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'group' ELSE 'plain' END, NULL FROM supplier WHERE s_suppkey % 3 = 1 OR s_suppkey % 4 = 0
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY seq) AS n FROM moves),
+steps AS (
+  SELECT nation, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, CAST([] AS STRUCT(call BIGINT, kid BIGINT)[]) AS held FROM kids
+  UNION ALL
+  SELECT nation, n, CASE WHEN kid IS NULL THEN taken WHEN what = 'call' THEN list_append(taken, kid)
+                         ELSE list_append(list_filter(taken, lambda x: x IS DISTINCT FROM old AND x <> kid), kid) END,
+         CASE WHEN kid IS NULL THEN held ELSE list_append(list_filter(held, lambda h: h.call <> call), {'call': call, 'kid': kid}) END
+  FROM (
+    SELECT s.nation, m.n, s.taken, s.held, CAST(m.call AS BIGINT) AS call, m.what, (list_filter(s.held, lambda h: h.call = m.call))[1].kid AS old,
+           CAST(CASE m.what
+             WHEN 'call' THEN coalesce((list_filter(k.children, lambda c: list_contains(m.names, c.title) AND NOT list_contains(s.taken, c.kid)))[1].kid,
+                                       (list_filter(k.children, lambda c: NOT c.grp AND NOT list_contains(s.taken, c.kid)))[1].kid)
+             WHEN 'group' THEN k.third ELSE k.low END AS BIGINT) AS kid
+    FROM steps s JOIN numbered m ON m.nation = s.nation AND m.n = s.n + 1 JOIN kids k ON k.nation = s.nation
+  )
+), ends AS (SELECT nation, unnest(arg_max(held, n)) AS h FROM steps GROUP BY nation)
+SELECT 'n' || nation AS node_id, CAST(h.call AS BIGINT) AS s_suppkey, 'c' || h.kid AS child FROM ends"""
 
 _PART_FILES = """
 WITH parts AS (SELECT p_partkey % 5 AS kind, '/lake/p' || (p_partkey - p_partkey % 5) AS owner, p_partkey FROM part),

@@ -357,18 +357,24 @@ def filter_scope(spark, sf_dir):
 
 @query
 def link_spawn(spark, sf_dir):
-    """Suppliers as spawn calls, customers of the same nation as child nodes."""
+    """Suppliers as spawn calls that name market segments, customers of their nation as children; late results move calls."""
     nation = lambda key: F.concat(F.lit("n"), F.col(key))
-    calls = tables.table(spark, sf_dir, "supplier").select(
-        F.lit("claude").alias("agent"), nation("s_nationkey").alias("node_id"), F.col("s_suppkey").alias("seq"),
-        F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lower(F.format_string("Customer#%09d", F.col("s_suppkey"))))).otherwise(F.array().cast("array<string>")).alias("names"),
-        F.when(F.col("s_suppkey") % 5 == 1, F.concat(F.lit("c"), F.col("s_suppkey"))).otherwise(F.lit("")).alias("result_id"),
-    )
-    children = tables.table(spark, sf_dir, "customer").select(
+    segment = F.element_at(F.array(*map(F.lit, ["automobile", "BUILDING", "Furniture", "nobody", "MACHINERY"])), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    suppliers, customers = tables.table(spark, sf_dir, "supplier"), tables.table(spark, sf_dir, "customer")
+    calls = suppliers.select(
+        F.lit("claude").alias("agent"), nation("s_nationkey").alias("node_id"), (F.col("s_suppkey") * 2).cast("bigint").alias("seq"),
+        F.when(F.col("s_suppkey") % 4 == 0, None).when(F.col("s_suppkey") % 4 == 1, F.array(F.lit("none"))).otherwise(F.array(F.lit("none"), segment)).alias("names"),
+    )
+    named = customers.groupBy(nation("c_nationkey").alias("node_id")).agg(F.min("c_custkey").alias("low"), F.min(F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey"))).alias("third"))
+    results = suppliers.where("s_suppkey % 3 = 1 OR s_suppkey % 4 = 0").select(
+        F.lit("claude").alias("agent"), nation("s_nationkey").alias("node_id"), (F.col("s_suppkey") * 2 + 61).cast("bigint").alias("seq"),
+        (F.col("s_suppkey") * 2).cast("bigint").alias("call"), (F.col("s_suppkey") % 4 == 0).alias("of_group"),
+    ).join(named, "node_id").withColumn("name", F.concat(F.lit("c"), F.when(F.col("of_group"), F.col("third")).otherwise(F.col("low"))))
+    children = customers.select(
         F.lit("claude").alias("agent"), nation("c_nationkey").alias("node_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("child"),
-        F.concat(F.lit("c"), F.col("c_custkey")).alias("session_id"), F.col("c_name").alias("title"), F.lit(False).alias("is_group"), F.col("c_name").alias("at"),
+        F.concat(F.lit("c"), F.col("c_custkey")).alias("session_id"), F.col("c_mktsegment").alias("title"), (F.col("c_custkey") % 3 == 0).alias("is_group"), F.col("c_name").alias("at"),
     )
-    return graph.link_spawn(calls, children).select("node_id", F.col("seq").alias("s_suppkey"), "child")
+    return graph.link_spawn(calls, results, children).select("node_id", (F.col("seq") / 2).cast("bigint").alias("s_suppkey"), "child")
 
 
 @query

@@ -231,3 +231,29 @@ def test_counters_saturate(spark):
                                   "includes_cache_read boolean, usd double, estimated boolean, missing boolean, model string, pricing_model string")
     rolled = tree.rollup(nodes, tree.node_totals(usage), tree.closure(edges))
     assert rows(rolled, "node_id", "total_cache_write", "total_total", order="node_id") == [("p", MAX_COUNTER, MAX_COUNTER), ("q", MAX_COUNTER, MAX_COUNTER)]
+
+
+def test_spawn_calls_are_served_in_order(spark):
+    from sessionlake.operators.graph import link_spawn
+
+    child = lambda node, name, title="", group=False: ("x", node, f"{node}/{name}", name, title, group, name)
+    children = spark.createDataFrame(
+        [child("probe", "B"), child("probe", "C", "a")]
+        + [child("late", name) for name in ("k1", "k2", "k3")] + [child("late", "g", "named", True)]
+        + [child("short", "only"), child("idle", "nobody-asks")],
+        "agent string, node_id string, child string, session_id string, title string, is_group boolean, at string")
+    calls = spark.createDataFrame(
+        [("x", "probe", 1, ["zzz"]), ("x", "probe", 2, ["b"])]
+        # The result of call 10 moves it to k3 and sets k1 free, which call 30 takes; call 40 takes the group by its title.
+        + [("x", "late", 10, []), ("x", "late", 20, ["K2"]), ("x", "late", 30, []), ("x", "late", 40, ["NAMED", ""]), ("x", "late", 50, None)]
+        + [("x", "short", 1, []), ("x", "short", 2, [])],
+        "agent string, node_id string, seq long, names array<string>")
+    results = spark.createDataFrame(
+        [("x", "late", 25, 10, "k3", False), ("x", "late", 26, 10, "unknown", False), ("x", "late", 60, 50, "k1", True), ("x", "late", 61, 50, "g", True)],
+        "agent string, node_id string, seq long, call long, name string, of_group boolean")
+    found = sorted(rows(link_spawn(calls, results, children), "node_id", "seq", "child"))
+    assert found == [
+        ("late", 10, "late/k3"), ("late", 20, "late/k2"), ("late", 30, "late/k1"), ("late", 40, "late/g"), ("late", 50, "late/g"),
+        ("probe", 1, "probe/B"), ("probe", 2, "probe/C"), ("short", 1, "short/only"),
+    ]
+    assert link_spawn(calls.where("false"), results.where("false"), children).count() == 0
