@@ -112,8 +112,12 @@ def elide_encrypted(column: Column) -> Column:
     return bind(column, elided)
 
 
-def bounded_text(column: Column, limit: int = DETAIL_CODE_POINTS) -> Column:
-    """Keep the head and tail of a long text around an ellipsis; a limit of 0 keeps all."""
+def bounded_text(column: Column, limit: int | Column = DETAIL_CODE_POINTS) -> Column:
+    """Keep the head and tail of a long text around an ellipsis; a number of 0 keeps all."""
+    if isinstance(limit, Column):
+        head = F.floor((limit - 1) / 2).cast("int")
+        kept = F.concat(F.left(column, head), F.lit("…"), F.right(column, limit - 1 - head))
+        return F.when(F.char_length(column) > limit, kept).otherwise(column)
     if limit <= 0:
         return column
     head = (limit - 1) // 2
@@ -124,8 +128,8 @@ def bounded_text(column: Column, limit: int = DETAIL_CODE_POINTS) -> Column:
     ).otherwise(column)
 
 
-def is_cut(column: Column, limit: int) -> Column:
-    return F.lit(False) if limit <= 0 else F.char_length(column) > limit
+def is_cut(column: Column, limit: int | Column) -> Column:
+    return F.lit(False) if not isinstance(limit, Column) and limit <= 0 else F.char_length(column) > limit
 
 
 def terminal_safe(column: Column) -> Column:

@@ -72,12 +72,24 @@ def filter_scope(scoped: DataFrame, pairs: DataFrame) -> DataFrame:
     return scoped.join(below, ["agent", "start_id", "node_id"], "left_semi").select(*own.columns).unionByName(own)
 
 
+def unreadable_below(scoped: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """``agent, path, failed``: the start transcripts of a scope and the files in their companion folders that could not be read.
+
+    Every failed file is keyed by each folder above it, and every transcript by its companion folder, so the two meet by
+    equality: the work follows the failures and the depth of their paths.
+    """
+    companion = F.regexp_replace("path", r"\.[^./]*$", "")
+    starts = scoped.where("node_id = start_id AND instr(path, '#') = 0").select("agent", "path", companion.alias("folder")).distinct()
+    failed = diagnostics.where("code = 'unreadable_session'").select("agent", F.col("path").alias("failed")).distinct()
+    parts = F.split("failed", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    placed = failed.where(F.contains("failed", F.lit("/"))).select("agent", "failed", F.explode(above).alias("folder"))
+    return placed.join(starts, ["agent", "folder"]).select("agent", "path", "failed")
+
+
 def require_readable(scoped: DataFrame, diagnostics: DataFrame) -> None:
     """A scoped search fails when a file below its start could not be read."""
-    companion = F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit("/"))
-    starts = scoped.where("node_id = start_id AND instr(path, '#') = 0").select("agent", companion.alias("below"))
-    failed = diagnostics.where("code = 'unreadable_session'").select("agent", F.col("path").alias("failed"))
-    if not starts.join(failed, "agent").where("startswith(failed, below)").isEmpty():
+    if not unreadable_below(scoped, diagnostics).isEmpty():
         raise UnreadableScope("a file below the chosen session cannot be read")
 
 

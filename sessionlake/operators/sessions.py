@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os.path
 import re
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from sessionlake.functions.tokens import context_tokens, cost_valid, flow_tokens
 from sessionlake.operators.timeline import KINDS
 from sessionlake.operators.tree import resolve_selector
 from sessionlake.plans.running import Running, range_blocks, running
+from sessionlake.sources.scan import MAX_LINE_BYTES, offset_block
 
 # Fixed values.
 SCHEMA_VERSION = 1
@@ -235,21 +239,42 @@ def paging_state(rows: DataFrame, returned: DataFrame, offset: int = 0, complete
 
 
 def fit_single_event(wire: DataFrame, budget: int = RESPONSE_BUDGET_BYTES) -> DataFrame:
-    """Halve the texts of an event too large for the budget until it fits; smaller events stay as they are."""
-    named = ["text", "tool.summary", "tool.input", "tool.diff", "tool.output"]
+    """Bound the texts of an event too large for the budget by the largest limit that fits; smaller events stay.
+
+    All texts of an event share one limit. It is found by halving the range of limits inside the row; an event too
+    large for the budget even with a limit of one character keeps that limit.
+    """
+    fields = {"text": F.col("text")} | {f"tool.{name}": F.col(f"tool.{name}") for name in ("summary", "input", "diff", "output")}
+    filled = {name: F.coalesce(value, F.lit("")) for name, value in fields.items()}
+    encoded = lambda value: F.octet_length(F.to_json(F.struct(value.alias("x"))))
+    total = lambda values: reduce(lambda one, other: one + other, values)
     size = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
-    room = 2000
-    while room >= 1:
-        over = size > budget
-        cut = {"text": F.when(over, T.bounded_text(F.col("text"), room)).otherwise(F.col("text"))}
-        tool = F.col("tool")
-        for field in ("summary", "input", "diff", "output"):
-            tool = tool.withField(field, F.when(over, T.bounded_text(F.col(f"tool.{field}"), room)).otherwise(F.col(f"tool.{field}")))
-        longer = [F.when(over & T.is_cut(F.col(name), room), F.lit(name)) for name in named]
-        cut |= {"tool": F.when(F.col("tool").isNotNull(), tool), "truncated": F.array_union("truncated", F.array_compact(F.array(*longer)))}
-        wire = wire.withColumns(cut)
-        room //= 8
-    return wire
+
+    def needed(limit: Column) -> Column:
+        texts = [encoded(T.bounded_text(value, limit)) for value in filled.values()]
+        names = [F.when(T.is_cut(value, limit) & ~F.array_contains("truncated", name), len(name) + 3).otherwise(0) for name, value in filled.items()]
+        first = F.when((F.size("truncated") == 0) & (total(names) > 0), 1).otherwise(0)  # the first name has no comma before it
+        return F.col("__fixed") + total(texts + names) - first
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = (state["low"] + state["high"] + 1).bitwiseAND(F.lit(-2)) / 2
+        middle = middle.cast("int")
+        fits = needed(middle) <= budget
+        return F.struct(F.when(fits, middle).otherwise(state["low"]).alias("low"), F.when(fits, state["high"]).otherwise(middle - 1).alias("high"))
+
+    longest = F.greatest(*[F.char_length(value) for value in filled.values()])
+    start = F.struct(F.lit(1).alias("low"), F.greatest(longest, F.lit(1)).alias("high"))
+    sized = wire.withColumn("__fixed", F.when(size > budget, size - total([encoded(value) for value in filled.values()])))
+    roomed = sized.withColumn("__room", F.when(F.col("__fixed").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, halve)["low"]))
+    over, room = F.col("__room").isNotNull(), F.col("__room")
+    cut = {name: F.when(over, T.bounded_text(value, room)).otherwise(value) for name, value in fields.items()}
+    tool = F.col("tool")
+    for name in ("summary", "input", "diff", "output"):
+        tool = tool.withField(name, cut[f"tool.{name}"])
+    longer = [F.when(over & T.is_cut(value, room), F.lit(name)) for name, value in filled.items()]
+    return roomed.withColumns({
+        "text": cut["text"], "tool": F.when(F.col("tool").isNotNull(), tool), "truncated": F.array_union("truncated", F.array_compact(F.array(*longer))),
+    }).drop("__fixed", "__room")
 
 
 def parse_kinds(kinds: list[str] | None) -> list[str] | None:
@@ -359,19 +384,43 @@ def show_totals(rolled: DataFrame) -> DataFrame:
     )
 
 
-def read_record(events: DataFrame, raw: DataFrame, index: int | None = None) -> DataFrame:
-    """Exact source line of events with status ok, record_changed or record_unavailable."""
+def read_record(events: DataFrame, index: int | None = None) -> DataFrame:
+    """Exact source line of events with status ok, record_changed or record_unavailable.
+
+    Every task opens the files of its events and reads the recorded range of each and nothing else. Events of
+    one file are dealt by blocks of it, so a huge file is read by many tasks. A range that the file no longer
+    holds, or that holds other bytes, has changed; an event without a range (a total) is unavailable.
+    """
     if index is not None:
         events = events.where(F.col("event_index") == index)
     wanted = events.select("agent", "node_id", "event_index", "path", "byte_offset", "byte_length", "digest")
-    fresh = raw.select("agent", "path", "byte_offset", F.col("line").alias("raw_json"))
-    joined = wanted.join(fresh, ["agent", "path", "byte_offset"], "left")
-    same = F.col("raw_json").isNotNull() & (F.sha2("raw_json", 256) == F.col("digest"))
-    status = F.when(F.coalesce(F.col("byte_length"), F.lit(0)) <= 0, "record_unavailable").when(same, "ok").otherwise("record_changed")
-    return joined.select(
-        "agent", "node_id", "event_index", "path", "byte_offset", "byte_length", status.alias("status"),
-        F.when(status == "ok", F.col("raw_json")).alias("raw_json"),
-    )
+    dealt = wanted.repartition("path", offset_block()).sortWithinPartitions("path", "byte_offset")
+    types = dict(wanted.dtypes)
+    schema = ", ".join([f"{name} {types[name]}" for name in wanted.columns[:-1]] + ["status string", "raw_json string"])
+    return dealt.mapInArrow(_read_ranges, schema)
+
+
+def _read_ranges(batches):
+    from pyarrow import fs
+
+    for batch in batches:
+        states, texts, opened, stream = [], [], None, None
+        for path, at, size, digest in zip(*(batch.column(k).to_pylist() for k in range(3, 7))):
+            if not path or at is None or at < 0 or not size or size < 0 or size > MAX_LINE_BYTES:
+                states.append("record_unavailable")
+                texts.append(None)
+                continue
+            if path != opened:
+                system, inner = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+                stream = system.open_input_file(inner) if system.get_file_info(inner).type == fs.FileType.File else None
+                opened = path
+            raw = b"" if stream is None or at + size > stream.size() else stream.read_at(size, at)
+            text = raw.decode("utf-8", "replace")
+            # The digest was taken of the line as it was decoded.
+            same = raw != b"" and hashlib.sha256(text.encode()).hexdigest() == digest
+            states.append("ok" if same else "record_changed")
+            texts.append(text if same else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(states, pa.string()), pa.array(texts, pa.string())], [str(k) for k in range(8)])
 
 
 def sink_json(rows: DataFrame, path: str, command: str) -> None:

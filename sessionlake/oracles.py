@@ -660,6 +660,10 @@ files AS (
     ELSE '/lake/agent-' || p_partkey || '.jsonl' END AS path FROM parts
 )"""
 
+ORACLES["unreadable_scope"] = f"""{_PART_FILES}
+SELECT o.path, f.path AS failed FROM files o JOIN files f ON starts_with(f.path, replace(o.path, '.jsonl', '') || '/')
+WHERE NOT contains(o.path, 'agent-') AND f.p_partkey % 7 = 0"""
+
 ORACLES["session_graph"] = f"""{_PART_FILES}
 SELECT owner || '.jsonl' AS parent, path AS child FROM files WHERE kind IN (1, 4)
 UNION ALL SELECT owner || '/subagents/flow/w1', path FROM files WHERE kind = 2

@@ -383,6 +383,16 @@ def classify_path(spark, sf_dir):
     return scan.classify_path(_part_files(spark, sf_dir)).select("path", "role", "parent_path", "group_dir")
 
 
+@query
+def unreadable_scope(spark, sf_dir):
+    """Transcripts a scoped search would refuse, where every seventh part file cannot be read."""
+    files = _part_files(spark, sf_dir)
+    starts = files.where(~F.contains("path", F.lit("agent-"))).select("agent", "path", F.col("path").alias("node_id"), F.col("path").alias("start_id"))
+    number = F.regexp_extract("path", r"(\d+)\.jsonl$", 1).cast("long")
+    lost = files.select("agent", "path", F.when(number % 7 == 0, "unreadable_session").otherwise("malformed_line").alias("code"))
+    return search.unreadable_below(starts, lost).select("path", "failed")
+
+
 @query
 def affected_roots(spark, sf_dir):
     return manifest.affected_roots(_part_files(spark, sf_dir)).select("path", "root_path")

@@ -257,3 +257,56 @@ def test_spawn_calls_are_served_in_order(spark):
         ("probe", 1, "probe/B"), ("probe", 2, "probe/C"), ("short", 1, "short/only"),
     ]
     assert link_spawn(calls.where("false"), results.where("false"), children).count() == 0
+
+
+def test_read_record_reads_ranges(spark, tmp_path):
+    import hashlib
+
+    first, second = '{"é": 1}', "x" * 3_000
+    path = write(tmp_path / "in" / "r.jsonl", first, second)
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    size = len(first.encode())
+    events = spark.createDataFrame(
+        [("x", "n", 0, str(path), 0, size, digest(first)), ("x", "n", 1, str(path), size + 1, 3_000, digest(second)), ("x", "n", 2, str(path), size + 1, 3_000, digest(first)),
+         ("x", "n", 3, str(path), size + 1, 9_000, digest(second)), ("x", "n", 4, f"{path}.gone", 0, size, digest(first)), ("x", "n", 5, str(path), 0, 0, None),
+         ("x", "n", 6, None, None, None, None), ("x", "n", 7, f"file://{path}", 0, size, digest(first)), ("x", "n", 8, str(tmp_path), 0, size, digest(first))],
+        "agent string, node_id string, event_index long, path string, byte_offset long, byte_length int, digest string")
+    found = rows(sessions.read_record(events), "event_index", "status", "raw_json", order="event_index")
+    assert found == [
+        (0, "ok", first), (1, "ok", second), (2, "record_changed", None), (3, "record_changed", None), (4, "record_changed", None),
+        (5, "record_unavailable", None), (6, "record_unavailable", None), (7, "ok", first), (8, "record_changed", None),
+    ]
+    assert rows(sessions.read_record(events, index=1), "raw_json") == [(second,)]
+
+
+def test_single_event_is_cut_to_the_largest_limit_that_fits(spark):
+    def wire(text, output, truncated=()):
+        tool = {"name": "t", "call_id": "", "summary": "", "input": "i" * 40, "diff": "", "output": output, "duration_ms": 0}
+        return (0, text, tool if output is not None else None, list(truncated))
+
+    schema = ("index long, text string, tool struct<name string, call_id string, summary string, input string, diff string, output string, duration_ms long>, "
+              "truncated array<string>")
+    size = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    for case in (wire("a" * 5_000, "é\"\n" * 3_000), wire("b" * 9_000, None), wire("c" * 9_000, "d" * 10, ["text"]), wire("small", "e")):
+        frame = spark.createDataFrame([case], schema)
+        got = sessions.fit_single_event(frame, 4_000)
+        row, taken = got.first(), got.select(size).first()[0]
+        assert taken <= 4_000
+        if case[1] == "small":
+            assert row.text == "small" and row.truncated == []
+            continue
+        limit = len(row.text)
+        more = [value if value is None or len(value) <= limit + 1 else value[:limit // 2] + "…" + value[-(limit + 1 - 1 - limit // 2):] for value in (case[1], case[2] and case[2]["output"])]
+        tool = case[2] and dict(case[2], output=more[1])
+        assert spark.createDataFrame([(0, more[0], tool, list(row.truncated))], schema).select(size).first()[0] > 4_000
+        assert "text" in row.truncated and row.text.startswith(case[1][:limit // 2 - 1])
+
+
+def test_unreadable_files_below_a_scope(spark):
+    starts = spark.createDataFrame([("x", f"/r/{name}.jsonl") for name in ("a", "b", "a/subagents/deep")], "agent string, path string").selectExpr("*", "path AS node_id", "path AS start_id")
+    lost = spark.createDataFrame([("x", path, "unreadable_session") for path in ("/r/a/subagents/c.jsonl", "/r/a/subagents/deep/subagents/d.jsonl", "/r/ab.jsonl", "/r/b.jsonl", "bare")]
+                                 + [("y", "/r/b/c.jsonl", "unreadable_session"), ("x", "/r/b/c.jsonl", "malformed_line")], "agent string, path string, code string")
+    assert sorted(rows(search.unreadable_below(starts, lost), "path", "failed")) == [
+        ("/r/a.jsonl", "/r/a/subagents/c.jsonl"), ("/r/a.jsonl", "/r/a/subagents/deep/subagents/d.jsonl"),
+        ("/r/a/subagents/deep.jsonl", "/r/a/subagents/deep/subagents/d.jsonl"),
+    ]

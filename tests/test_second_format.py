@@ -136,6 +136,5 @@ def test_wire_rows(corpus):
     shown = sessions.show_session(corpus.nodes, corpus.events, "codex:clean-0001", kinds=["assistant-text"]).first()
     assert shown["usage"].asDict() == {"uncached_input": 60, "output": 10, "cache_write": 0, "cache_read": 40, "flow": 70, "context": 100}
     assert shown["cost"]["usd"] == pytest.approx(60 * 2e-6 + 10 * 8e-6 + 40 * 2e-7)
-    fresh = corpus.raw
-    states = rows(sessions.read_record(corpus.events, fresh), "status")
+    states = rows(sessions.read_record(corpus.events), "status")
     assert {state for (state,) in states} == {"ok", "record_unavailable"}
