@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
 import random
 import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,76 +164,116 @@ def test_byte_bpe_digests(spark):
 # 4
 
 
-def plain_line_dedup(rows):
-    """The same chunks found line by line, then the first copy by bytes kept."""
-    from sessionlake.llm.line_dedup import line_chunks
+def cut_places(docs):
+    """{id: [(start, end)]} of what is cut, in bytes."""
+    from sessionlake.llm.line_dedup import _key_columns, repeated
 
-    seen, out = {}, {}
-    found = []
+    later = repeated(docs).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "size")).alias("cuts"))
+    one, two = _key_columns("doc_id", "text")
+    rows = docs.select("doc_id", one, two).distinct().join(later, ["k1", "k2"]).collect()
+    return {r.doc_id: sorted((c.start, c.start + c["size"]) for c in r.cuts) for r in rows}
+
+
+def without(text, cuts):
+    raw, kept, at = text.encode(), b"", 0
+    for s, e in cuts:
+        kept += raw[at:s]
+        at = e + 1
+    kept += raw[at:]
+    return (kept[:-1] if at > len(raw) and kept.endswith(b"\n") else kept).decode()
+
+
+def check_cuts(before, after, cuts):
+    """What goes are whole lines, of two or of 50 words at least, and stands in one piece in a text that stays."""
+    left = ["\n" + (text or "") + "\n" for text in after.values()]
+    for doc, places in cuts.items():
+        assert after.get(doc, "") == without(before[doc], places)
+        for s, e in places:
+            passage = before[doc].encode()[s:e].decode()
+            assert "\n" + passage + "\n" in "\n" + before[doc] + "\n"
+            assert "\n" in passage.strip("\n") or len(passage.split()) >= 50
+            assert any("\n" + passage + "\n" in text for text in left)
+    assert {doc for doc in after if after[doc] != before[doc]} <= set(cuts)
+
+
+def lone_passages(rows):
+    """(id, passage) of runs of two lines or of 50 words that stand between lines of their own in two documents or more, but the first, line by line."""
+    count = collections.Counter(line for _, text in rows for line in text.split("\n") if line)
+    found = collections.defaultdict(list)
     for doc, text in rows:
-        raw = (text or "").encode()
-        data = np.frombuffer(raw, np.uint8)
-        _, start, end, _ = line_chunks(data, np.array([0, len(raw)]))
-        found += [(doc is not None, doc or 0, int(s), int(e), raw) for s, e in zip(start, end)]
-    for known, doc, s, e, raw in sorted(set(found)):
-        if raw[s:e] in seen:
-            out.setdefault((known, doc), []).append((s, e))
-        seen.setdefault(raw[s:e], doc)
-    return out
+        run = []
+        for line in [*text.split("\n"), None]:
+            if line and count[line] > 1:
+                run.append(line)
+            elif line != "":
+                if len(run) > 1 or run and len(run[0].split()) >= 50:
+                    found["\n".join(run)].append(doc)
+                run = []
+    return [(doc, passage) for passage, where in found.items() for doc in where[1:] if where[0] != doc]
 
 
 def test_line_dedup(docs):
     from sessionlake.llm.line_dedup import dedup_lines
 
-    want = plain_line_dedup([(r.doc_id, r.text) for r in docs.collect()])
     got = dedup_lines(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
     texts = {r.doc_id: r.text for r in docs.where("doc_id is not null").collect()}
-    for row in got.where("doc_id is not null").collect():
-        text, cuts = texts[row.doc_id], want.get((True, row.doc_id), [])
-        if not cuts:
-            assert row.text == text
-            continue
-        raw, kept, at = text.encode(), b"", 0
-        for s, e in sorted(cuts):
-            kept += raw[at:s]
-            at = e + 1
-        kept += raw[at:]
-        assert row.text == (kept[:-1] if at > len(raw) and kept.endswith(b"\n") else kept).decode()
-    after = {r.doc_id: r.text for r in got.collect()}
+    after = {r.doc_id: r.text for r in got.where("doc_id is not null").collect()}
+    check_cuts(texts, after, {k: v for k, v in cut_places(docs).items() if k is not None})
     assert after[7] == texts[7] and len(after[8]) < len(texts[8])  # a later copy
     assert len(after[17]) < len(texts[17]) - 200 and len(after[18]) < len(texts[18]) - 200  # the shared block, shifted
     assert dedup_lines(docs.where("false")).count() == 0
 
 
 def test_line_chunks_resist_shifts():
-    from sessionlake.llm.line_dedup import line_chunks
+    from sessionlake.llm.line_dedup import filled_lines, line_chunks
 
     def pieces(text):
         raw = text.encode()
-        _, s, e, _ = line_chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        return {raw[a:b] for a, b in zip(s, e)}
+        _, number, s, e, gap, words, code = filled_lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return {raw[s[a]:e[b]] for a, b in line_chunks(number.tolist(), code.tolist(), gap.tolist(), [False] * len(code))}
 
     block = "\n".join(prose(k, 8) for k in range(40))
-    shifted = pieces("new first line\n" + block)
-    assert len(pieces(block) & shifted) >= 0.7 * len(pieces(block))
+    own, shifted = pieces(block), pieces("new first line\n\n" + block)
+    assert len(own) > 8 and len(own & shifted) >= len(own) - 2
     assert all(piece.count(b"\n") >= 1 for piece in shifted)
 
 
 def test_line_dedup_compares_bytes(spark, docs, monkeypatch):
+    """With a hash that is the same for all lines of a size nothing is cut that is not kept elsewhere by its bytes."""
     from sessionlake.llm import line_dedup
 
-    real = line_dedup.line_chunks
-    clash = lambda data, offsets: (*real(data, offsets)[:3], np.zeros(len(real(data, offsets)[0]), np.uint64))
-
     def find(batches):
-        line_dedup.line_chunks = clash
-        yield from original(batches)
+        for batch in original(batches):
+            columns = list(batch.columns)
+            columns[-1] = pa.array(np.zeros(batch.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     original = line_dedup._find
-    want = collected(line_dedup.dedup_lines(docs), "doc_id", "text")
     monkeypatch.setattr(line_dedup, "_find", find)
-    assert collected(line_dedup.dedup_lines(docs), "doc_id", "text") == want
+    known = docs.where("doc_id is not null")
+    texts = {r.doc_id: r.text for r in known.collect()}
+    check_cuts(texts, {r.doc_id: r.text for r in line_dedup.dedup_lines(known).collect()}, cut_places(known))
+
+
+@pytest.mark.parametrize("texts, want", [
+    (["aa bb", "bb cc", "cc dd", "xx aa bb cc dd yy"], None),
+    (["xx aa", "xx aa bb cc", "aa bb cc"], None),
+    (["p aa bb cc q", "r aa bb cc s", "aa bb cc", "t cc bb aa u"], [0, "r s", "", 3]),
+    (["p aa bb q", "p aa bb q"], [0, ""]),
+])
+def test_line_dedup_keeps_what_stands_nowhere_else(spark, texts, want):
+    from sessionlake.llm.line_dedup import dedup_lines
+
+    rows = [(k, text.replace(" ", "\n")) for k, text in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text for r in dedup_lines(frame).orderBy("doc_id").collect()]
+    check_cuts(dict(rows), dict(enumerate(got)), cut_places(frame))
+    for text in texts:  # every document's lines still stand in one piece somewhere, or are what others keep
+        if want is None:
+            assert any("\n" + text.replace(" ", "\n") + "\n" in "\n" + other + "\n" for other in got)
+    if want is not None:
+        assert got == [(texts[each] if isinstance(each, int) else each).replace(" ", "\n") for each in want]
 
 
 def planted():
@@ -256,24 +298,20 @@ def test_line_dedup_of_planted_passages(spark):
 
 
 def test_line_dedup_against_plain_lines(spark):
-    """Runs of two filled lines and lines of 50 words that stood before, found line by line."""
+    """Passages that stand by themselves go but for the first; whatever else goes stands elsewhere."""
     from sessionlake.llm.line_dedup import dedup_lines
 
     draw = random.Random(4)
     pool = [prose(4000 + k, n).replace("\n", " ") for k, n in enumerate([3, 4, 5, 6, 49, 50, 51, 70])] + [""]
     docs = [(k, "\n".join(draw.choice(pool) if draw.random() < 0.5 else f"own {k} {at}" for at in range(draw.randint(1, 12)))) for k in range(60)]
     docs += [(k, "\n".join(draw.choice(pool) for _ in range(6))) for k in range(60, 80)]
-    seen, want = set(), []
-    for doc, text in docs:
-        lines = text.split("\n")
-        full, gone = [at for at, line in enumerate(lines) if line], set()
-        for a, b in [*[(at, at) for at in full if len(lines[at].split()) >= 50], *zip(full, full[1:])]:
-            window = tuple(lines[a:b + 1])
-            gone |= set(range(a, b + 1)) if window in seen else set()
-            seen.add(window)
-        want.append((doc, "\n".join(line for at, line in enumerate(lines) if at not in gone)))
+    common = "\n".join(prose(4100 + k, 6).replace("\n", " ") for k in range(3))
+    docs += [(k, f"before {k}\n{common}\nbehind {k}") for k in range(80, 120)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert collected(dedup_lines(frame), "doc_id", "text") == sorted(want, key=repr)
+    got = {r.doc_id: r.text for r in dedup_lines(frame).collect()}
+    check_cuts(dict(docs), got, cut_places(frame))
+    lone = [(doc, passage) for doc, passage in lone_passages(docs) if passage == common]
+    assert len(lone) == 39 and all("\n" + passage + "\n" not in "\n" + got[doc] + "\n" for doc, passage in lone)
 
 
 # 5
@@ -655,8 +693,10 @@ def test_pipeline_against_brute_force(spark):
             assert all(any(c.isalpha() for c in before[k].text) for k in after)
             assert len(after) >= 0.97 * sum(any(c.isalpha() for c in r.text or "") for r in before.values())
         if name == "line_dedup":
-            cuts = plain_line_dedup([(r.doc_id, r.text) for r in before.values()])
-            assert {k for k in after if after[k].text != before[k].text} <= {k for _, k in cuts} and all(r.n_chars == len(r.text) for r in after.values() if r.text != before[r.doc_id].text)
+            source_rows = [(r.doc_id, r.text) for r in before.values()]
+            frame = spark.createDataFrame(source_rows, "doc_id long, text string")
+            check_cuts(dict(source_rows), {k: r.text for k, r in after.items()}, cut_places(frame))
+            assert all(r.n_chars == len(r.text) for r in after.values() if r.text != before[r.doc_id].text)
         if name == "near_dedup":
             classes = brute.near_classes([(r.doc_id, r.text) for r in before.values()])
             assert sorted(classes[k] for k in after) == sorted(set(classes.values()))
