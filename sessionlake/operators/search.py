@@ -19,6 +19,7 @@ SCAN_ALLOWED = [
     "kubernetes", "kubernetes-admin", "aws_profile", "local", "in-cluster",
 ]
 SCAN_MIN_CHARS = 5
+INDEX_LITERALS = 1_000
 ACCOUNT_ID = r"\b\d{12}\b"
 ARN_TAIL = r"/([^/:\s]+)\z"
 
@@ -104,9 +105,13 @@ def search_hits(
     session: str | None = None,
     around: int = 200,
     diagnostics: DataFrame | None = None,
+    index: DataFrame | None = None,
     **filters,
 ) -> DataFrame:
-    """Every hit, unpaged: summary filters first, then only the events of the nodes in scope."""
+    """Every hit, unpaged: summary filters first, then only the events of the nodes in scope.
+
+    ``index`` (rows of ``gram_index``) rules files out before any of their events is read.
+    """
     matcher = compile_matcher(pattern, regex, case_sensitive)
     kinds = parse_kinds(kinds)
     scoped = scope_nodes(nodes, session, **filters)
@@ -117,6 +122,8 @@ def search_hits(
     )
     if kinds:
         events = events.where(F.col("kind").isin(kinds))
+    if index is not None and not regex:
+        events = _only_promising(events, index, pattern, case_sensitive)
     # Matching runs below the join, so only hits are joined to their session.
     live = events.join(scoped.select("agent", "node_id"), ["agent", "node_id"], "left_semi")
     hits = match_fields(search_fields(live), matcher, around).select(
@@ -126,6 +133,30 @@ def search_hits(
     return hits.join(scoped, ["agent", "node_id"])
 
 
+def gram_index(events: DataFrame) -> DataFrame:
+    """``path, bits``: filters over the grams of the searchable texts of every file, a few per cent of the texts."""
+    texts = search_fields(events).select("path", F.transform("fields", lambda field: field["text"]).alias("texts"))
+    return texts.sortWithinPartitions("path").mapInArrow(grams.sketch, "path string, bits binary")
+
+
+def _only_promising(events: DataFrame, index: DataFrame, pattern: str, case_sensitive: bool) -> DataFrame:
+    """Events of the files whose filter does not rule the pattern out.
+
+    Letters are folded in ASCII alone, so a pattern that folds beyond it, or one too short for a gram, rules nothing out.
+    Few files go to the scan as literals, which skips the row groups of all others; many are joined.
+    """
+    if not case_sensitive and not pattern.isascii():
+        return events
+    test = grams.may_hold(pattern.encode())
+    if test is None:
+        return events
+    promising = index.select("path", "bits").mapInArrow(test, "path string").distinct()
+    few = [row.path for row in promising.limit(INDEX_LITERALS + 1).collect()]
+    if len(few) <= INDEX_LITERALS:
+        return events.where(F.col("path").isin(few)) if few else events.where("false")
+    return events.join(promising, "path", "left_semi").select(*events.columns)
+
+
 def search_events(nodes, events, pairs, pattern: str, limit: int | None = 30, offset: int = 0, **options) -> DataFrame:
     """Ordered, paged hits within the response budget."""
     hits = search_hits(nodes, events, pairs, pattern, **options)

@@ -120,3 +120,72 @@ def find_grams(filters):
                         ["id", "size", "code"])
 
     return run
+
+
+SKETCH_SIZE = 4
+SKETCH_GRAMS = 65_536
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _sampled(data: np.ndarray) -> np.ndarray:
+    """Hashes of half of all distinct grams, the same half wherever a gram stands; A-Z lower-cased."""
+    hashes = np.unique(spread(codes(_LOWER[data], SKETCH_SIZE), 32))
+    return hashes[hashes & 1 == 0] >> 1
+
+
+def _bits(hashes: np.ndarray) -> bytes:
+    """A filter with two to four bits for each of the hashes."""
+    size = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    held = np.zeros(size, bool)
+    held[hashes & (size - 1)] = True
+    return np.packbits(held).tobytes()
+
+
+def sketch(batches):
+    """Rows ``path, bits`` from rows ``path, texts`` that are sorted by path.
+
+    The texts of a row go into one filter; a path with very many grams has several, so no filter fills up.
+    """
+    path, held, many = None, [], 0
+    for batch in batches:
+        lists = batch.column(1)
+        for row, name in enumerate(batch.column(0).to_pylist()):
+            if path is not None and (name != path or many > SKETCH_GRAMS):
+                yield _sketched(path, held)
+                held, many = [], 0
+            path = name
+            for text in lists[row]:
+                if text.is_valid:
+                    found = _sampled(np.frombuffer(text.as_buffer(), np.uint8))
+                    held.append(found)
+                    many += len(found)
+            if len(held) > 256:
+                held = [np.unique(np.concatenate(held))]
+                many = len(held[0])
+    if path is not None:
+        yield _sketched(path, held)
+
+
+def _sketched(path: str, held: list[np.ndarray]) -> pa.RecordBatch:
+    bits = _bits(np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([bits], pa.binary())], ["path", "bits"])
+
+
+def may_hold(pattern: bytes):
+    """Rows ``path`` of the filters (rows ``path, bits``) that do not rule the pattern out; None if the pattern has no sampled gram."""
+    wanted = _sampled(np.frombuffer(pattern, np.uint8)) if len(pattern) >= SKETCH_SIZE else np.zeros(0, np.int64)
+    if not len(wanted):
+        return None
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for row, bits in enumerate(batch.column(1)):
+                raw = np.frombuffer(bits.as_buffer(), np.uint8)
+                at = wanted & (len(raw) * 8 - 1)
+                if (raw[at >> 3] >> (7 - (at & 7)) & 1).all():
+                    keep.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64()))], ["path"])
+
+    return run
