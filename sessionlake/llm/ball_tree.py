@@ -6,8 +6,8 @@ its terms' weights; the score is their inner product. Vectors hold query terms o
 One pass over the texts counts words and occurrences of query terms and is staged; document frequencies and totals
 come from it. The vectors are then searched where they lie: a task builds a ball tree over each run of ``BLOCK``
 documents (the children of a ball are the halves along the line through two far points), and every item walks the tree
-best first. A ball with centre ``c`` and radius ``r`` holds no document above ``q.c + |q| r``; sums and radii are raised by
-more than their rounding, and a ball is left only if its bound is below the worst score that is still listed, so ties are
+best first. A ball with centre ``c`` and radius ``r`` holds no document above ``q.c + |q| r``, with ``|q|`` over the terms that occur in the
+ball; sums and radii are raised by more than their rounding, and a ball is left only if its bound is below the worst score that is still listed, so ties are
 kept. Leaves are scored in 64-bit integers. The list of an item goes on from block to block of a task, which prunes more
 from block to block. A task returns at most ``top`` rows for each item; Spark keeps the best of them.
 
@@ -142,9 +142,13 @@ class BallTree:
         return out
 
     def bounds(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """What no row of each ball exceeds in its product with the query."""
+        """What no row of each ball exceeds in its product with the query.
+
+        Rows of a ball differ from its centre only in terms that the centre has, so only these count in the query's length.
+        """
         query = weight.astype(np.float64)
-        raised = self.centres[:, term] @ query + math.sqrt(float(query @ query)) * self.radii
+        centres = self.centres[:, term]
+        raised = centres @ query + np.sqrt((centres > 0) @ (query * query)) * self.radii
         return raised * (1 + _SLACK) + 1e-6
 
     def products(self, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:
