@@ -126,7 +126,7 @@ class Corpus:
     def nodes(self) -> DataFrame:
         """Addressable nodes with references, models, and owned tokens and cost rolled up."""
         totals = tree.node_totals(self.requests, self.attributed)
-        rolled = tree.rollup(self._addressed[0], totals, self.pairs)
+        rolled = tree.rollup(self._addressed[0], totals, self.edges)
         return stage(rolled.join(self.models, ["agent", "node_id"], "left"), "rolled")
 
     @property

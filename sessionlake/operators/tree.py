@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,35 +93,75 @@ def node_totals(priced: DataFrame, attributed: DataFrame | None = None) -> DataF
     return joined.withColumns(owned).drop(*[f"__{name}" for name in TOTALS])
 
 
-def rollup(nodes: DataFrame, totals: DataFrame, pairs: DataFrame) -> DataFrame:
+class CyclicTree(ValueError):
+    """A node is its own ancestor, so it has no subtree to add up."""
+
+
+def subtree(own: DataFrame, edges: DataFrame, combine: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``own`` (agent, node_id and the columns of ``combine``) added up over every node and all below it.
+
+    What lies fewer than 2 ** k steps below a node is known in round k; the next round adds what the nodes exactly
+    2 ** k steps below know, at their ancestor. A round is one aggregate by node and its jumps are one join, each as large as
+    the tree, so a chain of any length costs the logarithm of its length. Rows of ``own`` that share a key are combined; columns
+    beside ``combine`` belong to the key.
+    """
+    key = [name for name in own.columns if name not in combine]
+    merge = lambda rows: rows.groupBy(*key).agg(*[function(F.col(name)).alias(name) for name, function in combine.items()]) if combine else rows.select(*key).distinct()
+    jumps = stage(edges.select("agent", F.col("child").alias("node_id"), F.col("parent").alias("up")).where("node_id <> up").distinct(), "jumps")
+    known, most, rounds = stage(merge(own), "subtree"), jumps.count(), 0
+    while not jumps.isEmpty():
+        if 1 << rounds > most:
+            raise CyclicTree("some node is its own ancestor")
+        risen = known.join(jumps, ["agent", "node_id"]).drop("node_id").withColumnRenamed("up", "node_id")
+        known = stage(merge(known.unionByName(risen.select(*known.columns))), "subtree")
+        further = jumps.select("agent", F.col("node_id").alias("up"), F.col("up").alias("__up"))
+        jumps = stage(jumps.join(further, ["agent", "up"]).select("agent", "node_id", F.col("__up").alias("up")), "jumps")
+        rounds += 1
+    return known
+
+
+def _below(own: DataFrame, edges: DataFrame, combine: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``own`` added up over all nodes below each node, the node itself left out.
+
+    Where links form a cycle (broken transcripts) the pairs of the closure say once what is below what.
+    """
+    up = edges.select("agent", F.col("child").alias("node_id"), "parent").where("node_id <> parent").distinct()
+    key = [name for name in own.columns if name not in combine]
+    try:
+        added = subtree(own, edges, combine)
+    except CyclicTree:
+        added, up = own, closure(edges).select("agent", F.col("descendant").alias("node_id"), F.col("ancestor").alias("parent"))
+    risen = added.join(up, ["agent", "node_id"]).drop("node_id").withColumnRenamed("parent", "node_id")
+    return risen.groupBy(*key).agg(*[function(F.col(name)).alias(name) for name, function in combine.items()]) if combine else risen.select(*key).distinct()
+
+
+def rollup(nodes: DataFrame, totals: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with ``self_*``, ``desc_*`` and ``total_*`` tokens and cost over their subtree.
 
     Also ``subagents`` (group containers excluded) and ``updated_at`` as the subtree's latest.
     """
     numeric = [*TOTALS, "usd", "gross_usd"]
-    measured = nodes.select("agent", "node_id", "is_group", "updated_at", "updated_raw").join(
+    measured = nodes.select("agent", "node_id", "is_group", F.struct("updated_at", "updated_raw").alias("desc_updated")).join(
         totals, ["agent", "node_id"], "left"
     )
-    below = (
-        pairs.join(measured.withColumnRenamed("node_id", "descendant"), ["agent", "descendant"])
-        .groupBy("agent", F.col("ancestor").alias("node_id"))
-        .agg(
-            *[sat_sum(F.col(name)).alias(f"desc_{name}") for name in TOTALS],
-            F.sum("usd").alias("desc_usd"),
-            F.sum("gross_usd").alias("desc_gross_usd"),
-            F.coalesce(F.bool_or("estimated"), F.lit(False)).alias("desc_estimated"),
-            F.count_if(~F.col("is_group")).alias("subagents"),
-            F.max(F.struct("updated_at", "updated_raw")).alias("desc_updated"),
-        )
+    own = measured.select(
+        "agent", "node_id", *[F.coalesce(F.col(name), F.lit(0)).cast("bigint").alias(f"desc_{name}") for name in TOTALS],
+        *[F.coalesce(F.col(name), F.lit(0.0)).alias(f"desc_{name}") for name in ("usd", "gross_usd")],
+        F.coalesce("estimated", F.lit(False)).alias("desc_estimated"), F.when(F.col("is_group"), 0).otherwise(1).cast("bigint").alias("subagents"), "desc_updated",
     )
-    for name, kept in (("missing_pricing", "desc_missing"), ("estimated_rates", "desc_rates")):
-        # One row per distinct element, so no reducer holds a set of sets.
-        elements = totals.select("agent", F.col("node_id").alias("descendant"), F.explode(name).alias("element"))
-        sets = (
-            pairs.join(elements, ["agent", "descendant"]).select("agent", F.col("ancestor").alias("node_id"), "element").distinct()
-            .groupBy("agent", "node_id").agg(F.collect_list("element").alias(kept))
-        )
-        below = below.join(sets, ["agent", "node_id"], "left")
+    combine = {f"desc_{name}": sat_sum for name in TOTALS} | {"desc_usd": F.sum, "desc_gross_usd": F.sum, "desc_estimated": F.bool_or, "subagents": F.sum, "desc_updated": F.max}
+    below = _below(own, edges, combine)
+    # One row per distinct element, so no reducer holds a set of sets.
+    missing = totals.select("agent", "node_id", F.explode("missing_pricing").alias("model")).withColumns({"pricing_model": F.lit(None).cast("string"), "priced": F.lit(False)})
+    rates = totals.select("agent", "node_id", F.explode("estimated_rates").alias("rate")).select("agent", "node_id", "rate.model", "rate.pricing_model", F.lit(True).alias("priced"))
+    elements = stage(missing.unionByName(rates), "tree-elements")
+    if not elements.isEmpty():
+        sets = _below(elements, edges, {}).groupBy("agent", "node_id").agg(
+            F.collect_list(F.when(~F.col("priced"), F.col("model"))).alias("desc_missing"),
+            F.collect_list(F.when(F.col("priced"), F.struct("model", "pricing_model"))).alias("desc_rates"))
+    else:
+        sets = nodes.select("agent", "node_id", F.array().cast("array<string>").alias("desc_missing"), F.array().cast("array<struct<model:string,pricing_model:string>>").alias("desc_rates"))
+    below = below.join(sets, ["agent", "node_id"], "left")
     out = nodes.join(totals, ["agent", "node_id"], "left").join(below, ["agent", "node_id"], "left")
     zero = {name: F.lit(0).cast("bigint") for name in TOTALS} | {"usd": F.lit(0.0), "gross_usd": F.lit(0.0)}
     sums = {}

@@ -266,8 +266,8 @@ def _places(spark, sf_dir):
 
 @query
 def tree_rollup(spark, sf_dir):
-    nodes, _, pairs = _places(spark, sf_dir)
-    rolled = tree.rollup(nodes, tables.order_totals(spark, sf_dir), pairs)
+    nodes, edges = tables.place_tree(spark, sf_dir)
+    rolled = tree.rollup(nodes, tables.order_totals(spark, sf_dir), edges)
     return rolled.select(
         "node_id", "self_total", "desc_total", "total_total", F.round("total_usd", 2).alias("total_usd"), F.round("desc_usd", 2).alias("desc_usd"),
         "subagents", "total_estimated", F.array_join("total_missing", ",").alias("missing"), "updated_at",
@@ -284,8 +284,8 @@ def tree_preorder(spark, sf_dir):
 
 @query
 def cost_tree(spark, sf_dir):
-    nodes, _, pairs = _places(spark, sf_dir)
-    rolled = tree.rollup(nodes, tables.order_totals(spark, sf_dir), pairs)
+    nodes, edges, pairs = _places(spark, sf_dir)
+    rolled = tree.rollup(nodes, tables.order_totals(spark, sf_dir), edges)
     return tree.cost_tree(rolled, pairs, "r1").select(
         "node_id", "depth", "title", "self_uncached_input", "total_uncached_input", F.round("own_usd", 2).alias("own_usd"), F.round("total_usd", 2).alias("total_usd")
     )

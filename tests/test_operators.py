@@ -229,7 +229,7 @@ def test_counters_saturate(spark):
     usage = spark.createDataFrame([("x", n, 1, 1, MAX_COUNTER, MAX_COUNTER, 1, False, 0.0, False, False, "m", "m") for n in "pq"],
                                   "agent string, node_id string, input long, output long, write_5m long, write_1h long, cache_read long, "
                                   "includes_cache_read boolean, usd double, estimated boolean, missing boolean, model string, pricing_model string")
-    rolled = tree.rollup(nodes, tree.node_totals(usage), tree.closure(edges))
+    rolled = tree.rollup(nodes, tree.node_totals(usage), edges)
     assert rows(rolled, "node_id", "total_cache_write", "total_total", order="node_id") == [("p", MAX_COUNTER, MAX_COUNTER), ("q", MAX_COUNTER, MAX_COUNTER)]
 
 
@@ -310,3 +310,21 @@ def test_unreadable_files_below_a_scope(spark):
         ("/r/a.jsonl", "/r/a/subagents/c.jsonl"), ("/r/a.jsonl", "/r/a/subagents/deep/subagents/d.jsonl"),
         ("/r/a/subagents/deep.jsonl", "/r/a/subagents/deep/subagents/d.jsonl"),
     ]
+
+
+def test_subtree_sums_of_a_long_chain(spark):
+    n = 20_000
+    own = spark.range(n).selectExpr("'x' AS agent", "CAST(id AS string) AS node_id", "1L AS count", "id AS low")
+    edges = spark.range(1, n).selectExpr("'x' AS agent", "CAST(id - 1 AS string) AS parent", "CAST(id AS string) AS child")
+    added = tree.subtree(own, edges, {"count": F.sum, "low": F.min})
+    assert added.count() == n and added.where(f"count <> {n} - CAST(node_id AS long) OR low <> CAST(node_id AS long)").count() == 0
+
+
+def test_subtree_sums_of_bushes_and_cycles(spark):
+    own = spark.createDataFrame([("x", name, value) for name, value in zip("abcdef", range(1, 7))], "agent string, node_id string, n long")
+    edges = spark.createDataFrame([("x", *pair) for pair in ("ab", "ac", "bd", "be")] + [("x", "f", "f")], "agent string, parent string, child string")
+    assert rows(tree.subtree(own, edges, {"n": F.sum}), "node_id", "n", order="node_id") == [("a", 15), ("b", 11), ("c", 3), ("d", 4), ("e", 5), ("f", 6)]
+    assert rows(tree._below(own, edges, {"n": F.sum}), "node_id", "n", order="node_id") == [("a", 14), ("b", 9)]
+    assert sorted(rows(tree.subtree(own.drop("n").withColumn("tag", F.expr("node_id IN ('c', 'd', 'e')")), edges, {}), "node_id", "tag"))[:2] == [("a", False), ("a", True)]
+    with pytest.raises(tree.CyclicTree):
+        tree.subtree(own, edges.union(edges.selectExpr("agent", "'e'", "'a'")), {"n": F.sum})

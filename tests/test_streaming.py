@@ -168,3 +168,36 @@ def test_follow_refreshes_the_store(spark, prices, tmp_path):
         query.stop()
     assert seen == [1]
     assert owned(store, prices) == {"b": 20}
+
+
+def test_late_sessions_take_requests_back(spark, tmp_path):
+    from datetime import datetime
+
+    from sessionlake.streaming.ownership import STATE_STORE, reattribute
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    schema = "agent string, message_id string, request_id string, session_id string, path string, started_at timestamp"
+    at = lambda hour: datetime(2026, 1, 1, hour)
+    batches = [
+        [("x", "m1", "r", "b", "/b", at(9)), ("x", "m1", "r", "c", "/c", at(10)), ("x", "m2", "r", "c", "/c", at(10)), ("x", "", "r", "c", "/c", at(10))],
+        [("x", "m1", "r", "d", "/d", at(11)), ("x", "m3", None, "d", "/d", at(11)), ("x", "", "r", "b", "/b", at(9))],
+        [("x", "m1", "r", "a", "/a", at(1)), ("x", "m2", "r", "z", "/z", None)],  # late, and one without a start
+    ]
+    source = tmp_path / "in"
+    stream = spark.readStream.schema(schema).parquet(str(source))
+    changes = []
+
+    def note(batch, _):
+        changes.append(sorted((row.message_id, row.session_id, row.is_duplicate, row.owner_path) for row in batch.collect()))
+
+    for number, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
+        query = reattribute(stream).writeStream.outputMode("update").foreachBatch(note).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    changes = [batch for batch in changes if batch]
+    assert changes == [
+        [("", "c", False, "/c"), ("m1", "b", False, "/b"), ("m1", "c", True, "/b"), ("m2", "c", False, "/c")],
+        [("", "b", False, "/b"), ("m1", "d", True, "/b"), ("m3", "d", False, "/d")],
+        # Only the late session and the owners before it are named again.
+        [("m1", "a", False, "/a"), ("m1", "b", True, "/a"), ("m2", "c", True, "/z"), ("m2", "z", False, "/z")],
+    ]
