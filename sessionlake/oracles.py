@@ -687,3 +687,45 @@ ORACLES["affected_roots"] = f"""{_PART_FILES} SELECT path, CASE WHEN kind < 4 TH
 ORACLES["token_totals"] = f"""WITH {_REQUESTS}
 SELECT event_id, u AS uncached_input, input + output + write_5m + write_1h + c AS total, u + output + write_5m + write_1h AS flow, input + c + write_5m + write_1h AS context
 FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN greatest(0, input - cache_read) ELSE input END AS u, CASE WHEN event_id % 2 = 0 THEN 0 ELSE cache_read END AS c FROM requests)"""
+
+_TALK = """
+rows AS (
+  SELECT conv_id, turn, (conv_id + turn) % 9 AS form, md5(coalesce(text, '')) AS d, 'call-' || conv_id || '-' || turn AS id FROM conversations
+)"""
+
+ORACLES["talk_events"] = f"""WITH {_TALK},
+answers AS (SELECT conv_id, turn - 1 AS turn, d AS answer FROM rows WHERE form = 6),
+parts AS (
+  SELECT conv_id, turn, form, d, unnest(CASE WHEN form = 7 THEN [0, 1] ELSE [0] END) AS part FROM rows
+), events AS (
+  SELECT p.conv_id, p.turn, p.part, p.form, p.d, answer FROM parts p LEFT JOIN answers a ON a.conv_id = p.conv_id AND a.turn = p.turn AND p.form IN (3, 4, 5)
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1 AS event_index,
+  CASE WHEN form < 3 THEN 'user' WHEN form < 6 THEN 'tool-call' WHEN form = 6 THEN 'tool-result' WHEN form = 7 AND part = 0 THEN 'advisor' ELSE 'assistant-text' END AS kind,
+  CASE form WHEN 0 THEN 'Ask ' || d WHEN 1 THEN 'Meta ' || d WHEN 2 THEN 'Hook ' || d WHEN 6 THEN '[{{"text":"part ' || d || '","type":"text"}},{{"type":"image"}},{{"text":"end","type":"text"}}]' WHEN 7 THEN CASE WHEN part = 1 THEN 'Reply ' || d ELSE '' END WHEN 8 THEN 'Reply ' || d ELSE '' END AS text,
+  CASE form WHEN 3 THEN '/w/' || d || '.py · +1 −2' WHEN 4 THEN '{{"file_path":"/w/' || d || '.py","edits":[{{"old_string":"x","new_string":"y\\nz"}},{{"old_string":"q","new_string":"' || d || '"}}]}}'
+    WHEN 5 THEN '/w/' || d || '.py' ELSE '' END AS tool_input,
+  CASE WHEN form = 5 THEN '/w/' || d || '.py · offset ' || turn || ' · limit 5' ELSE '' END AS detail_input,
+  CASE form WHEN 3 THEN E'-a\\n-b\\n+' || d WHEN 4 THEN E'-x\\n+y\\n+z\\n\\n-q\\n+' || d ELSE '' END AS detail_diff,
+  CASE WHEN answer IS NOT NULL THEN 'part ' || answer || E'\\nend' ELSE '' END AS detail_output,
+  form IN (1, 2) AS harness, CASE WHEN form IN (3, 4, 5, 8) OR part = 1 THEN 'oak-1' WHEN form = 7 THEN 'adv-1' ELSE '' END AS model,
+  CASE WHEN form IN (3, 4, 5, 8) THEN turn + 10 WHEN form = 7 AND part = 0 THEN turn + 1 END AS usage_input
+FROM events"""
+
+ORACLES["talk_requests"] = f"""WITH {_TALK}
+SELECT conv_id, id AS message_id, 'oak-1' AS model, turn + 10 AS input, CAST(2 AS BIGINT) AS output FROM rows WHERE form IN (3, 4, 5, 7, 8)
+UNION ALL SELECT conv_id, id || '/advisor/' || n, 'adv-' || (n + 1), turn + 1 + 2 * n, 3 FROM rows, (SELECT unnest([0, 1]) AS n) WHERE form = 7"""
+
+ORACLES["scan_records"] = """
+SELECT doc_id, CAST(octet_length(encode('{"id":' || doc_id || ',"digest":"' || md5(coalesce(text, '')) || '","pad":"' || repeat('é', CAST(doc_id % 50 AS INTEGER)) || '"}')) AS INTEGER) AS byte_length,
+  'ok' AS status, md5(coalesce(text, '')) AS digest FROM documents"""
+
+ORACLES["wire_rows"] = """
+SELECT md5('{"schema_version":1,"command":"list","conv_id":' || conv_id || ',"turn":' || turn || ',"tags":' || (CASE WHEN turn % 2 = 0 THEN '["' || role || '"]' ELSE '[]' END)
+  || ',"maybe":' || (CASE WHEN turn % 3 = 0 THEN '"' || role || '"' ELSE 'null' END) || '}') AS digest, conv_id, CAST(turn AS BIGINT) AS turn FROM conversations"""
+
+ORACLES["reattribute"] = f"""WITH {_EVENT_ROWS},
+starts AS (SELECT user_id, min(ts) AS started FROM rows GROUP BY user_id),
+keys AS (SELECT DISTINCT k, event_type, user_id, started FROM rows JOIN starts USING (user_id)),
+owned AS (SELECT *, first_value(CAST(user_id AS VARCHAR)) OVER (PARTITION BY k, event_type ORDER BY started, CAST(user_id AS VARCHAR)) AS owner FROM keys)
+SELECT CAST(k AS VARCHAR) AS message_id, event_type AS request_id, CAST(user_id AS VARCHAR) AS session_id, owner <> CAST(user_id AS VARCHAR) AS is_duplicate, owner FROM owned"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from sessionlake.functions import text, tokens
 from sessionlake.functions.matching import compile_matcher
 from sessionlake.operators import graph, ledger, manifest, pricing, search, sessions, timeline, tree
-from sessionlake.plans.staging import stage
+from sessionlake.plans.staging import shared_folder, stage
 from sessionlake.sources import claude, codex, scan, tables
 from sessionlake.sources.pricing import overlay_pricing
 from sessionlake.sources.records import USAGE_FIELDS, distinct_models
@@ -553,6 +554,78 @@ def transcript_events(spark, sf_dir):
     )
 
 
+def _talk(spark, sf_dir):
+    records = claude.claude_records(stage(tables.talk_transcripts(spark, sf_dir), "talk"))
+    return records, stage(claude.claude_lines(records), "talk-lines")
+
+
+@query
+def talk_events(spark, sf_dir):
+    """Timelines with edits, block results, injected prompts and advisors: details, flags and advisor usage."""
+    events = timeline.event_index(stage(timeline.claude_events(*_talk(spark, sf_dir)), "talk-events"))
+    return events.select(
+        F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).cast("long").alias("conv_id"), "event_index", "kind", "text", "tool_input", "detail_input", "detail_diff", "detail_output",
+        "harness", "model", F.col("usage.input").alias("usage_input"),
+    )
+
+
+@query
+def talk_requests(spark, sf_dir):
+    """Billed requests of advised replies: the reply's own and one for each advisor step."""
+    requests = ledger.dedup_requests(claude.claude_requests(_talk(spark, sf_dir)[1]))
+    return requests.select(
+        F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).cast("long").alias("conv_id"), F.replace("message_id", F.lit("\0"), F.lit("/")).alias("message_id"), "model", "input", "output",
+    )
+
+
+@query
+def scan_records(spark, sf_dir):
+    """Documents written as transcript files, found, scanned by byte ranges, and each line read again by its range."""
+    folder = f"{shared_folder(spark)}/scan-records/{uuid.uuid4().hex}"
+    line = F.to_json(F.struct(F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.repeat(F.lit("é"), (F.col("doc_id") % 50).cast("int")).alias("pad")))
+    tables.write_lines(tables.table(spark, sf_dir, "documents").select(line.alias("line")), folder)
+    raw = stage(scan.scan_jsonl(spark, {"claude": folder}, split_bytes=10_000), "scanned")
+    good, _ = scan.skip_malformed(raw)
+    events = good.select(
+        F.lit("claude").alias("agent"), F.col("path").alias("node_id"), F.get_json_object("line", "$.id").cast("long").alias("event_index"), "path", "byte_offset", "byte_length",
+        F.sha2("line", 256).alias("digest"))
+    read = sessions.read_record(events)
+    return read.select(F.col("event_index").alias("doc_id"), "byte_length", "status", F.get_json_object("raw_json", "$.digest").alias("digest"))
+
+
+@query
+def wire_rows(spark, sf_dir):
+    """Conversation turns sunk as versioned JSON rows and read again; arrays and required fields are never absent."""
+    folder = f"{shared_folder(spark)}/wire-rows/{uuid.uuid4().hex}"
+    turns = tables.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.array("role")).alias("tags"), F.when(F.col("turn") % 3 == 0, F.col("role")).alias("maybe"))
+    sessions.sink_json(turns, folder, "list")
+    return spark.read.text(folder).select(F.md5("value").alias("digest"), F.get_json_object("value", "$.conv_id").cast("long").alias("conv_id"), F.get_json_object("value", "$.turn").cast("long").alias("turn"))
+
+
+@query
+def reattribute(spark, sf_dir):
+    """Owners of the requests of the events table, told by a stream over it."""
+    from sessionlake.streaming import ownership
+
+    folder = f"{shared_folder(spark)}/reattribute/{uuid.uuid4().hex}"
+    starts = tables.event_sessions(spark, sf_dir).select("node_id", "started_at")
+    requests = tables.event_requests(spark, sf_dir).select("agent", "node_id", "message_id", "request_id").distinct().join(starts, "node_id")
+    given = requests.select("agent", "message_id", "request_id", F.col("node_id").alias("session_id"), F.concat(F.lit("/lake/"), "node_id").alias("path"), F.col("started_at").cast("timestamp").alias("started_at"))
+    given.write.parquet(f"{folder}/requests")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ownership.STATE_STORE)
+    try:
+        stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1_000).parquet(f"{folder}/requests")
+        told = ownership.reattribute(stream).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
+        told.foreachBatch(lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/told")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    rows = spark.read.parquet(f"{folder}/told")
+    last = rows.groupBy("message_id", "request_id", "session_id").agg(F.max_by(F.struct("is_duplicate", "owner_path"), "batch").alias("last"))
+    return last.select("message_id", "request_id", "session_id", "last.is_duplicate", F.substring_index("last.owner_path", "/", -1).alias("owner"))
+
+
 def _rollouts(spark, sf_dir):
     records = codex.codex_records(stage(tables.event_rollouts(spark, sf_dir), "rollouts"))
     meta = codex.file_meta(records)

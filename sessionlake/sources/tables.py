@@ -219,6 +219,67 @@ def event_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def talk_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations table written as transcript lines of the first format, one file per conversation.
+
+    Turns take nine forms in turn: a typed prompt, two that the harness injects, calls that edit, edit several times and
+    read, the result of the call before as blocks, an advised reply, and a plain reply. Texts stand for themselves as digests.
+    """
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.pmod(F.col("conv_id") + F.col("turn"), F.lit(9)).alias("form"), F.md5(F.coalesce("text", F.lit(""))).alias("d")
+    )
+    form, said = F.col("form"), lambda word: F.concat(F.lit(word), F.col("d"))
+    call = lambda back: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    edit = lambda old, new: F.struct(old.alias("old_string"), new.alias("new_string"))
+    file = F.concat(F.lit("/w/"), F.col("d"), F.lit(".py"))
+    input_ = (
+        F.when(form == 3, F.to_json(F.struct(file.alias("file_path"), F.lit("a\nb").alias("old_string"), F.col("d").alias("new_string"))))
+        .when(form == 4, F.to_json(F.struct(file.alias("file_path"), F.array(edit(F.lit("x"), F.lit("y\nz")), edit(F.lit("q"), F.col("d"))).alias("edits"))))
+        .when(form == 5, F.to_json(F.struct(file.alias("file_path"), F.col("turn").cast("int").alias("offset"), F.lit(5).alias("limit"))))
+    )
+    quote = lambda column: F.to_json(F.struct(column.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(column.alias("x")))) - 6)
+    tool = F.when(form == 3, "Edit").when(form == 4, "MultiEdit").otherwise("Read")
+    usage = lambda more: F.concat(F.lit('"usage":{"input_tokens":'), (F.col("turn") + 10).cast("string"), F.lit(',"output_tokens":2'), more, F.lit("}"))
+    step = lambda kind, model, n: F.concat(F.lit(f'{{"type":"{kind}","model":"{model}","input_tokens":'), n.cast("string"), F.lit(',"output_tokens":3}'))
+    steps = F.concat(F.lit(',"iterations":['), step("advisor_message", "adv-1", F.col("turn") + 1), F.lit(","), step("message", "other", F.col("turn") + 2), F.lit(","),
+                     step("advisor_message", "adv-2", F.col("turn") + 3), F.lit("]"))
+    advisor = F.concat(F.lit('{"type":"server_tool_use","id":"'), call(0), F.lit('","name":"advisor"}'))
+    reply = F.concat(F.lit('{"type":"text","text":'), quote(said("Reply ")), F.lit("}"))
+    spoken = lambda blocks, more: F.concat(F.lit('{"type":"assistant","requestId":"r","message":{"id":"'), call(0), F.lit('","model":"oak-1",'), usage(more), F.lit(',"content":['), blocks, F.lit("]}"))
+    asked = lambda word, more: F.concat(F.lit('{"type":"user",'), F.lit(more), F.lit('"message":{"content":'), quote(said(word)), F.lit("}"))
+    parts = F.concat(F.lit('[{"text":'), quote(said("part ")), F.lit(',"type":"text"},{"type":"image"},{"text":"end","type":"text"}]'))
+    answered = F.concat(F.lit('{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"'), call(1), F.lit('","content":'), parts, F.lit("}]}"))
+    used = F.concat(F.lit('{"type":"tool_use","id":"'), call(0), F.lit('","name":"'), tool, F.lit('","input":'), input_, F.lit("}"))
+    none = F.lit("")
+    body = (
+        F.when(form == 0, asked("Ask ", "")).when(form == 1, asked("Meta ", '"isMeta":true,')).when(form == 2, asked("Hook ", '"origin":{"kind":"hook"},'))
+        .when(form.isin(3, 4, 5), spoken(used, none)).when(form == 6, answered).when(form == 7, spoken(F.concat(advisor, F.lit(","), reply), steps)).otherwise(spoken(reply, none))
+    )
+    line = F.concat(body, F.lit(',"timestamp":"2026-01-01T00:00:00Z","sessionId":"'), F.col("conv_id").cast("string"), F.lit('"}'))
+    return rows.select(
+        F.lit(CLAUDE).alias("agent"), F.concat(F.lit("/talk/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"),
+        (F.col("turn") * LINE_STRIDE).cast("bigint").alias("byte_offset"), F.octet_length(line).alias("byte_length"), line.alias("line"),
+    )
+
+
+def write_lines(lines: DataFrame, folder: str, suffix: str = ".jsonl") -> None:
+    """Write a column of lines as files of this suffix, one for each task; a task that runs again writes the same file anew."""
+
+    def write(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, inner = (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
+        system.create_dir(inner, recursive=True)
+        with system.open_output_stream(f"{inner}/part-{TaskContext.get().partitionId():05d}{suffix}") as out:
+            for batch in batches:
+                for line in batch.column(0):
+                    out.write(line.as_buffer().to_pybytes() + b"\n")
+                yield batch.slice(0, 0)
+
+    lines.mapInArrow(write, lines.schema).write.format("noop").mode("overwrite").save()
+
+
 def place_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Region, nation and customer or supplier rows as a three-level tree; nations are containers."""
     region = table(spark, sf_dir, "region").select(
