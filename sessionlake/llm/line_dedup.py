@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import chunks, free_name, mix, short_batches, slice_hashes, text_bytes
+from sessionlake.llm.batches import chunks, free_name, mix, short_batches, slice_hashes, slices, text_bytes
 from sessionlake.plans.staging import stage
 
 LONG_WORDS = 50
 DIVISOR = 2
 GROW = 8
+_SLICE = 50
+_EXTRACT_BYTES = 4 << 20
 _FEED = 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -120,7 +122,7 @@ _CHUNK_FIELDS = "hash long, size long, first long, last long, start long, end lo
 
 
 def _chunk(batches):
-    for batch in batches:
+    for batch in slices(batches, _SLICE):
         rows, out = [], []
         for row, lines in enumerate(batch.column(3).to_pylist()):
             lines.sort(key=lambda line: line["number"])
@@ -164,7 +166,7 @@ def passages(runs: list[dict]) -> list[dict]:
 
 def _choose(batches):
     names = [part.split()[0] for part in _RUN.split(", ")]
-    for batch in batches:
+    for batch in slices(batches, _SLICE):
         rows, out = [], []
         for row, runs in enumerate(batch.column(2).to_pylist()):
             for run in passages(runs):
@@ -176,12 +178,22 @@ def _choose(batches):
 
 
 def _extract(batches):
-    for batch in batches:
+    held, size = [], 0
+    for batch in slices(batches, _SLICE):
         for row, wanted in enumerate(batch.column(1).to_pylist()):
             raw = memoryview(batch.column(0)[row].as_buffer())
             for place in wanted:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([place["passage"]]), pa.array([place["kept"]]), pa.array([bytes(raw[place["start"]:place["end"]])], pa.binary())], ["passage", "kept", "bytes"])
+                held.append((place["passage"], place["kept"], bytes(raw[place["start"]:place["end"]])))
+                size += place["end"] - place["start"]
+                if size > _EXTRACT_BYTES:
+                    yield _extracted(held)
+                    held, size = [], 0
+    yield _extracted(held)
+
+
+def _extracted(held: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*held)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.bool_(), pa.binary()))], ["passage", "kept", "bytes"])
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
