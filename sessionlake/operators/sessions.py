@@ -9,7 +9,7 @@ from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -338,12 +338,19 @@ def event_rows(events: DataFrame, max_text: int = 2000) -> DataFrame:
 
 def resolve(nodes: DataFrame, selector: str) -> str:
     """The reference that a reference, path, id or id prefix names; an unclear or unknown one is an error."""
-    if nodes.where(F.col("ref") == selector).limit(1).count():
-        return selector
+    return _chosen(nodes, selector).ref
+
+
+def _chosen(nodes: DataFrame, selector: str) -> Row:
+    """``ref, agent, node_id`` of the node that a selector names; a reference costs one job."""
+    keys = nodes.select("ref", "agent", "node_id")
+    exact = keys.where(F.col("ref") == selector).head(1)
+    if exact:
+        return exact[0]
     asked = nodes.sparkSession.createDataFrame([(selector,)], "selector string")
     found = resolve_selector(asked, nodes).orderBy("ref").limit(11).collect()
     if found[0].status == "ok":
-        return found[0].ref
+        return keys.where(F.col("ref") == found[0].ref).first()
     if found[0].status == "ambiguous_ref":
         raise UsageError(f"{selector!r} fits {found[0].candidates} sessions, among them {', '.join(row.ref for row in found)}")
     raise UsageError(f"{selector!r} names no session" if found[0].status == "not_found" else f"{selector!r} is too short for the start of an id")
@@ -353,7 +360,7 @@ def timeline_of(nodes: DataFrame, events: DataFrame, selector: str, kinds: list[
     """All events of the node that ``selector`` names, of the given kinds."""
     kinds = parse_kinds(kinds)
     # The node's key goes to the scan as a literal and prunes the files.
-    chosen = nodes.where(F.col("ref") == resolve(nodes, selector)).select("agent", "node_id").first()
+    chosen = _chosen(nodes, selector)
     rows = events.where((F.col("agent") == chosen.agent) & (F.col("node_id") == chosen.node_id))
     return rows.where(F.col("kind").isin(kinds)) if kinds else rows
 

@@ -296,29 +296,22 @@ def resolve_selector(selectors: DataFrame, nodes: DataFrame) -> DataFrame:
     eligible = (
         F.col("is_group") | (F.col("ref_path") == "") | (F.instr("path", "#") == 0) | (refs.escape_component(F.col("session_id")) != last)
     )
-    known = nodes.select("ref", "agent", "project", "title", "session_id", "path", eligible.alias("eligible"))
-    shown = ["selector", "ref", "priority"]
-    by_ref = asked.join(known.withColumn("selector", F.col("ref")), "selector").withColumn("priority", F.lit(1))
-    by_path = asked.join(
-        known.where("instr(path, '#') = 0 AND startswith(path, '/')").withColumn("selector", F.col("path")), "selector"
-    ).withColumn("priority", F.lit(2))
-    named = known.where("eligible AND session_id <> ''")
-    by_id = asked.join(named.withColumn("selector", F.col("session_id")), "selector").withColumn("priority", F.lit(3))
-    # Ids are cut to the lengths that selectors have (a handful), so whole selectors are the join key.
-    long_enough = asked.where(F.char_length("selector") >= SELECTOR_PREFIX)
-    lengths = sorted(row[0] for row in long_enough.select(F.char_length("selector")).distinct().collect())
-    size = F.char_length("session_id")
-    cut = F.array_compact(F.array(*[F.when(size >= length, F.substring("session_id", 1, length)) for length in lengths]))
-    by_prefix = long_enough.join(
-        named.withColumn("selector", F.explode(cut.cast("array<string>"))), "selector"
-    ).withColumn("priority", F.lit(4))
-    found = by_ref.select(*shown)
-    for part in (by_path, by_id, by_prefix):
-        found = found.unionByName(part.select(*shown))
-    best = found.groupBy("selector").agg(F.min("priority").alias("priority"))
-    matches = found.join(best, ["selector", "priority"])
-    counts = matches.groupBy("selector").agg(F.count("*").alias("candidates"))
-    listed = matches.join(counts, "selector").select("selector", "ref", "candidates")
+    # Ids are cut to the lengths that selectors have, so whole selectors are the join key; the lengths are one row.
+    lengths = asked.where(F.char_length("selector") >= SELECTOR_PREFIX).agg(F.collect_set(F.char_length("selector")).alias("lengths"))
+    named = eligible & (F.col("session_id") != "")
+    key = lambda value, priority: F.struct(value.alias("selector"), F.lit(priority).alias("priority"))
+    some = lambda condition, keys: F.when(condition, keys).otherwise(F.array().cast("array<struct<selector:string,priority:int>>"))
+    fitting = F.filter("lengths", lambda length: length <= F.char_length("session_id"))
+    keys = F.concat(
+        F.array(key(F.col("ref"), 1)),
+        some((F.instr("path", "#") == 0) & F.startswith("path", F.lit("/")), F.array(key(F.col("path"), 2))),
+        some(named, F.array(key(F.col("session_id"), 3))),
+        some(named, F.transform(fitting, lambda length: key(F.substring(F.col("session_id"), F.lit(1), length), 4))),
+    )
+    every = nodes.select("ref", "ref_path", "session_id", "path", "is_group").crossJoin(F.broadcast(lengths)).select("ref", F.explode(keys).alias("key"))
+    found = stage(every.select("key.selector", "key.priority", "ref").join(asked, "selector"), "selected")
+    best = found.groupBy("selector", "priority").agg(F.count("*").alias("n")).groupBy("selector").agg(F.min(F.struct("priority", "n")).alias("best"))
+    listed = found.join(best, "selector").where("priority = best.priority").select("selector", "ref", F.col("best.n").alias("candidates"))
     out = asked.join(listed, "selector", "left")
     short = F.when(F.char_length("selector") < SELECTOR_PREFIX, F.lit("usage")).otherwise(F.lit("not_found"))
     status = F.when(F.col("candidates").isNull(), short).when(F.col("candidates") > 1, F.lit("ambiguous_ref")).otherwise(F.lit("ok"))
