@@ -104,9 +104,9 @@ def _edit_fields(raw: Column) -> Column:
                             "name STRING, subagent_type STRING")
 
 
-def tool_input(name: Column, raw: Column) -> Column:
-    """One-line summary of a tool invocation."""
-    fields = _edit_fields(raw)
+def tool_input(name: Column, raw: Column, fields: Column | None = None) -> Column:
+    """One-line summary of a tool invocation; ``fields`` is the input where it is parsed already."""
+    fields = _edit_fields(raw) if fields is None else fields
     get = lambda key: fields.getField(key)
     size = lambda key: T.short_text_lines(text_or_empty(get(key))).cast("string")
     edit = F.concat(
@@ -121,9 +121,9 @@ def tool_input(name: Column, raw: Column) -> Column:
     return F.coalesce(picked, T.collapse(text_or_empty(raw)))
 
 
-def tool_detail(name: Column, raw: Column) -> tuple[Column, Column]:
+def tool_detail(name: Column, raw: Column, fields: Column | None = None) -> tuple[Column, Column]:
     """Full input and diff of a tool invocation; edits become removed and added line blocks."""
-    fields = _edit_fields(raw)
+    fields = _edit_fields(raw) if fields is None else fields
     get = lambda key: fields.getField(key)
     many = F.array_join(
         F.transform(
@@ -207,7 +207,7 @@ def claude_blocks(records: DataFrame) -> DataFrame:
     )
     name = text_or_empty(F.col("b.name"))
     is_call = F.col("kind").isin("tool-call", "subagent")
-    full, diff = tool_detail(name, F.col("b.input"))
+    full, diff = tool_detail(name, F.col("b.input"), F.col("fields"))
     text = (
         F.when(F.col("kind") == "assistant-text", T.elide_encrypted(cleaned(F.col("b.text"))))
         .when(F.col("kind") == "thinking", T.elide_encrypted(text_or_empty(F.col("b.thinking"))))
@@ -217,6 +217,7 @@ def claude_blocks(records: DataFrame) -> DataFrame:
     blocks = (
         exploded.withColumn("kind", kind)
         .where("kind IS NOT NULL")
+        .withColumn("fields", F.when(is_call, _edit_fields(F.col("b.input"))))  # parsed once, read by name below
         .select(
             *common,
             (F.col("byte_offset") + F.col("pos") + 1).alias("seq"),
@@ -225,7 +226,7 @@ def claude_blocks(records: DataFrame) -> DataFrame:
             "model",
             text_or_empty(F.when(F.col("kind") == "tool-result", F.col("b.tool_use_id")).otherwise(F.col("b.id"))).alias("call_id"),
             F.when(is_call | (F.col("kind") == "advisor"), name).otherwise(F.lit("")).alias("tool_name"),
-            F.when(is_call, T.elide_encrypted(tool_input(name, F.col("b.input")))).otherwise(F.lit("")).alias("tool_input"),
+            F.when(is_call, T.elide_encrypted(tool_input(name, F.col("b.input"), F.col("fields")))).otherwise(F.lit("")).alias("tool_input"),
             F.when(is_call, full).otherwise(F.lit("")).alias("detail_input"),
             F.when(is_call, diff).otherwise(F.lit("")).alias("detail_diff"),
             (is_call & ~name.isin("Agent", "Task")).alias("has_detail"),
@@ -233,7 +234,7 @@ def claude_blocks(records: DataFrame) -> DataFrame:
             F.coalesce("b.is_error", F.lit(False)).alias("result_error"),
             text_or_empty(F.col("tool_result_of.agentId")).alias("result_agent"),
             text_or_empty(F.col("tool_result_of.runId")).alias("result_run"),
-            F.when(F.col("kind") == "subagent", spawn_names(F.col("b.input"))).alias("spawn_names"),
+            F.when(F.col("kind") == "subagent", spawn_names(F.col("fields"))).alias("spawn_names"),
             "message_id",
             "request_id",
         )
@@ -246,8 +247,7 @@ def _raw_text(value: Column) -> Column:
     return text_or_empty(F.try_variant_get(value, "$", "string"))
 
 
-def spawn_names(raw: Column) -> Column:
-    fields = _edit_fields(raw)
+def spawn_names(fields: Column) -> Column:
     return F.array(*[text_or_empty(fields.getField(key)) for key in ("name", "description", "subagent_type")])
 
 
@@ -409,25 +409,30 @@ def _delegated_payload(body: Column) -> Column:
     return F.when(at > 0, T.strip(F.substr(body, at + len(marker)))).otherwise(body)
 
 
-def codex_tool_input(name: Column, raw: Column) -> Column:
-    """One-line summary of a tool invocation of the second format."""
+def _call_fields(raw: Column) -> Column:
+    return F.from_json(raw, "cmd STRING, path STRING")
+
+
+def codex_tool_input(name: Column, raw: Column, fields: Column | None = None, nested: Column | None = None) -> Column:
+    """One-line summary of a tool invocation of the second format; ``fields`` and ``nested`` where they are known already."""
     added, removed = T.patch_line_counts(raw)
     patch = F.concat(F.lit("+"), added.cast("string"), F.lit(f" {MINUS}"), removed.cast("string"))
-    fields = F.from_json(raw, "cmd STRING, path STRING")
+    fields = _call_fields(raw) if fields is None else fields
+    nested = T.nested_tools(raw) if nested is None else nested
     picked = (
         F.when(name == "exec_command", fields.getField("cmd"))
         .when(name.isin("view_image", "Read", "Edit", "Write"), fields.getField("path"))
     )
     return (
         F.when(name == "apply_patch", patch)
-        .when((name == "exec") & F.exists(T.nested_tools(raw), lambda tool: tool != "exec_command"), F.lit(""))
-        .when((name == "exec") & (F.size(T.nested_tools(raw)) > 1), F.lit(""))
+        .when((name == "exec") & F.exists(nested, lambda tool: tool != "exec_command"), F.lit(""))
+        .when((name == "exec") & (F.size(nested) > 1), F.lit(""))
         .otherwise(F.coalesce(picked, T.collapse(raw)))
     )
 
 
-def codex_tool_detail(name: Column, raw: Column) -> tuple[Column, Column]:
-    fields = F.from_json(raw, "cmd STRING")
+def codex_tool_detail(name: Column, raw: Column, fields: Column | None = None) -> tuple[Column, Column]:
+    fields = _call_fields(raw) if fields is None else fields
     full = F.when(name == "apply_patch", F.lit("")).when(
         name == "exec_command", F.coalesce(fields.getField("cmd"), raw)
     ).otherwise(raw)
@@ -511,8 +516,10 @@ def codex_events(records: DataFrame, state: DataFrame, meta: DataFrame, requests
         .withColumn("kind", codex_event_kind(is_subagent))
         .where("kind IS NOT NULL")
         .withColumn("call_raw", F.when(F.col("kind") == "tool-call", T.elide_encrypted(raw_call)))
+        # Parsed once, read by name below.
+        .withColumns({"call_fields": _call_fields(F.col("call_raw")), "nested": F.when(F.col("name") == "exec", T.nested_tools(F.col("call_raw")))})
     )
-    nested = T.nested_tools(F.col("call_raw"))
+    nested = F.col("nested")
     tool = F.when((F.col("name") == "exec") & (F.size(nested) == 1), nested[0]).otherwise(F.col("name"))
     delegated = ~posted & F.startswith("body", F.lit("Message Type:"))
     text = (
@@ -522,7 +529,7 @@ def codex_events(records: DataFrame, state: DataFrame, meta: DataFrame, requests
         .when(F.col("kind") == "compact", F.lit("context compacted"))
         .otherwise(F.lit(""))
     )
-    full, diff = codex_tool_detail(F.col("name"), F.col("call_raw"))
+    full, diff = codex_tool_detail(F.col("name"), F.col("call_raw"), F.col("call_fields"))
     is_call = F.col("kind") == "tool-call"
     message = F.col("kind").isin("user", "assistant-text")
     rows = lines.withColumn("plain", text).withColumn("clean", F.when(message, T.clean_timeline_text(F.col("plain"))).otherwise(F.col("plain")))
@@ -542,7 +549,7 @@ def codex_events(records: DataFrame, state: DataFrame, meta: DataFrame, requests
         F.col("line_model").alias("model"),
         F.when(F.col("kind").isin("tool-call", "tool-result"), F.col("call_id")).otherwise(F.lit("")).alias("call_id"),
         F.when(is_call, tool).otherwise(F.lit("")).alias("tool_name"),
-        F.when(is_call, codex_tool_input(F.col("name"), F.col("call_raw"))).otherwise(F.lit("")).alias("tool_input"),
+        F.when(is_call, codex_tool_input(F.col("name"), F.col("call_raw"), F.col("call_fields"), nested)).otherwise(F.lit("")).alias("tool_input"),
         F.when(is_call, full).otherwise(F.lit("")).alias("detail_input"),
         F.when(is_call, diff).otherwise(F.lit("")).alias("detail_diff"),
         is_call.alias("has_detail"),

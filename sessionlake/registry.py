@@ -37,7 +37,7 @@ def priced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deduplicated and priced request ledger of the events table."""
     requests = ledger.dedup_requests(tables.event_requests(spark, sf_dir))
-    return pricing.price_requests(requests, tables.event_pricing(spark))
+    return stage(pricing.price_requests(requests, tables.event_pricing(spark)), "priced-ledger")  # read several times
 
 
 def attributed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
