@@ -343,7 +343,7 @@ SELECT user_id, max(CASE WHEN event_type = 'signup' THEN seq END) AS seq, min(CA
 FROM segments GROUP BY user_id, coalesce(before, 0) HAVING max(CASE WHEN event_type = 'signup' THEN seq END) IS NOT NULL"""
 
 ORACLES["event_index"] = f"""WITH {_EVENT_ROWS}
-SELECT event_id, n - 1 AS event_index FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n FROM rows) WHERE event_type = 'error'"""
+SELECT event_id, n - 1 AS event_index FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n FROM rows)"""
 
 ORACLES["mirror_dedup"] = f"""WITH RECURSIVE {_EVENT_ROWS},
 marked AS (
@@ -370,7 +370,7 @@ fold AS (
 SELECT user_id, seq, slot FROM fold WHERE n > 0"""
 
 ORACLES["replay_prefix"] = f"""WITH {_EVENT_ROWS},
-tokens AS (SELECT user_id, event_id, strftime(ts, '%Y-%m-%d') AS second, event_type, k FROM rows WHERE event_type IN ('click', 'view') AND user_id % 2 = 0),
+tokens AS (SELECT user_id, event_id, strftime(ts, '%Y-%m-%d') AS second, event_type, k FROM rows),
 clicks AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM tokens WHERE event_type = 'click'),
 replayed AS (SELECT user_id, min(second) AS replay_second FROM clicks WHERE n <= 2 GROUP BY user_id HAVING count(*) = 2 AND min(second) = max(second)),
 ended AS (SELECT user_id, replay_second, min(event_id) FILTER (WHERE second > replay_second) AS replay_end FROM tokens JOIN replayed USING (user_id) GROUP BY ALL)

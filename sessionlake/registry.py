@@ -469,7 +469,7 @@ def request_target(spark, sf_dir):
 @query
 def event_index(spark, sf_dir):
     rows = _event_rows(spark, sf_dir).withColumns({"agent": F.lit("claude"), "node_id": F.col("user_id")})
-    return timeline.event_index(rows, _day_block()).where("event_type = 'error'").select("event_id", "event_index")
+    return timeline.event_index(rows, _day_block()).select("event_id", "event_index")
 
 
 @query
@@ -489,7 +489,7 @@ def mirror_dedup(spark, sf_dir):
 @query
 def replay_prefix(spark, sf_dir):
     """Users whose first two deltas fall on one day replay that day."""
-    rows = tables.table(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
+    rows = tables.table(spark, sf_dir, "events")
     path = F.col("user_id").cast("string")
     counters = lambda value: F.struct(*[value.alias(name) for name in codex.TOKEN_FIELDS])
     k = tables.event_number()
@@ -499,7 +499,7 @@ def replay_prefix(spark, sf_dir):
     )
     forks = tokens.select("agent", "path").distinct().withColumns(
         {"thread_source": F.lit("subagent"), "forked_from_id": F.lit("")}
-    ).where("CAST(path AS BIGINT) % 2 = 0")
+    )
     found = codex.replay_prefix(tokens, forks)
     return found.select(F.col("path").alias("user_id"), "replay_second", "replay_end", F.col("baseline.input_tokens").alias("baseline"))
 
