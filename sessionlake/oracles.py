@@ -729,3 +729,20 @@ starts AS (SELECT user_id, min(ts) AS started FROM rows GROUP BY user_id),
 keys AS (SELECT DISTINCT k, event_type, user_id, started FROM rows JOIN starts USING (user_id)),
 owned AS (SELECT *, first_value(CAST(user_id AS VARCHAR)) OVER (PARTITION BY k, event_type ORDER BY started, CAST(user_id AS VARCHAR)) AS owner FROM keys)
 SELECT CAST(k AS VARCHAR) AS message_id, event_type AS request_id, CAST(user_id AS VARCHAR) AS session_id, owner <> CAST(user_id AS VARCHAR) AS is_duplicate, owner FROM owned"""
+
+ORACLES["both_ledgers"] = f"""
+SELECT 'claude' AS agent, CAST(user_id AS VARCHAR) AS user_id, count(*) AS requests, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output
+FROM ({ORACLES["transcript_ledger"]}) GROUP BY 2
+UNION ALL
+SELECT 'codex', CAST(user_id AS VARCHAR), count(*), CAST(sum(input) AS BIGINT), CAST(sum(output) AS BIGINT) FROM ({ORACLES["rollout_ledger"]}) GROUP BY 2"""
+
+ORACLES["tree_standins"] = """
+WITH own AS (SELECT DISTINCT o_custkey AS cust, o_orderpriority || '>' || left(o_orderpriority, 1) AS rate FROM orders WHERE o_orderstatus = 'P'),
+placed AS (
+  SELECT 'c' || c_custkey AS node_id, rate FROM customer LEFT JOIN own ON cust = c_custkey
+  UNION SELECT 'n' || n_nationkey, rate FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN own ON cust = c_custkey
+  UNION SELECT 'r' || n_regionkey, rate FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN own ON cust = c_custkey
+  UNION SELECT 's' || s_suppkey, NULL FROM supplier
+  UNION SELECT 'r' || r_regionkey, NULL FROM region
+)
+SELECT node_id, coalesce(string_agg(rate, ',' ORDER BY rate), '') AS rates FROM placed GROUP BY node_id"""

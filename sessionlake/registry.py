@@ -275,6 +275,19 @@ def tree_rollup(spark, sf_dir):
     )
 
 
+@query
+def tree_standins(spark, sf_dir):
+    """Stand-in rates of every subtree, each pair once, where the priorities of pending orders stand for models."""
+    nodes, edges = tables.place_tree(spark, sf_dir)
+    rates = tables.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.concat(F.lit("c"), F.col("o_custkey")).alias("node_id")).agg(
+        F.array_sort(F.collect_set(F.struct(F.col("o_orderpriority").alias("model"), F.substring("o_orderpriority", 1, 1).alias("pricing_model")))).alias("pending"))
+    totals = tables.order_totals(spark, sf_dir).join(rates, "node_id", "left")
+    none = F.array().cast("array<struct<model:string,pricing_model:string>>")
+    totals = totals.withColumn("estimated_rates", F.coalesce(F.col("pending"), none)).drop("pending")
+    rolled = tree.rollup(nodes, totals, edges)
+    return rolled.select("node_id", F.array_join(F.transform("total_rates", lambda rate: F.concat(rate["model"], F.lit(">"), rate["pricing_model"])), ",").alias("rates"))
+
+
 @query
 def tree_preorder(spark, sf_dir):
     """Depth and position in the pre-order listing of every tree."""
@@ -641,6 +654,17 @@ def rollout_ledger(spark, sf_dir):
     )
 
 
+@query
+def both_ledgers(spark, sf_dir):
+    """Requests of both formats as one ledger: how many each session of each agent has, and their tokens."""
+    first = ledger.dedup_requests(claude.claude_requests(_transcript_lines(spark, sf_dir)))
+    second = codex.codex_ledger(_rollouts(spark, sf_dir)[2])
+    shared = ["agent", "node_id", "input", "output"]
+    both = first.select(*shared).unionByName(second.select(*shared))
+    return both.groupBy("agent", F.regexp_extract("node_id", r"(\d+)\.jsonl$", 1).alias("user_id")).agg(
+        F.count("*").alias("requests"), F.sum("input").alias("input"), F.sum("output").alias("output"))
+
+
 @query
 def current_model(spark, sf_dir):
     """Model in force at every token record, by the accounting and the timeline rule."""
