@@ -4,7 +4,7 @@ Words and windows follow ``batches.Words``. A window is ``n`` consecutive words
 of fewer words, but not none, is one window. Hash matches are verified word by word before they count.
 
 Defined cases: a null or empty text has no words and no hits; a null item text gives no window; items that
-share a window all count; repeated rows are scanned one by one; an empty benchmark leaves every document
+share a window all count; items without an id count as one, last in order, that adds nothing to joined ids; repeated rows are scanned one by one; an empty benchmark leaves every document
 clean; extra columns pass through untouched under any name.
 """
 
@@ -29,7 +29,7 @@ class WindowTable:
     """The windows of one block of items: sorted hashes with the place of each window in the items' bytes."""
 
     def __init__(self, rows: list[tuple[str | None, str | None]], n: int):
-        self.items = [str(item) for item, _ in rows]
+        self.items = [None if item is None else str(item) for item, _ in rows]
         column = pa.array([text for _, text in rows], pa.string())
         data, offsets = text_bytes(column)
         words = Words(data, offsets) if len(data) else None
@@ -122,7 +122,7 @@ def _scanner(table, text_at: int, state_at: int | None):
                         before = old[first + row]
                         spans = spans + list(zip(before["spans"][::2], before["spans"][1::2]))
                         names = names | set(before["items"])
-                    states.append({"n_words": count, "spans": _merge(spans), "items": sorted(names)})
+                    states.append({"n_words": count, "spans": _merge(spans), "items": sorted(names, key=lambda name: (name is None, name or ""))})
             kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
             columns = [c for k, c in enumerate(batch.columns) if k != state_at]
             names = [str(k) for k in range(len(columns) + 1)]

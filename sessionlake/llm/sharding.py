@@ -1,6 +1,7 @@
 """Sharding by a two-pass external shuffle, in DataFrame operations only.
 
-Pass one scatters the rows by a seeded hash of the whole row into buckets of about ``bucket_bytes`` of text.
+Pass one scatters the rows by a seeded hash of the whole row into buckets of about ``bucket_bytes``, all columns and
+``ROW_BYTES`` for each row counted.
 Pass two puts each bucket's rows in a fixed order, shuffles them (``shuffle`` is a seeded Fisher-Yates) and
 writes them: the place of a row is its bucket's offset plus its place in the bucket, and the row of places is
 cut into shards. The law is ``rows``: shard sizes differ by one row at most, slots run from 0 without gaps.
@@ -27,16 +28,18 @@ from sessionlake.plans.joins import broadcast_if_small
 from sessionlake.plans.staging import shared_folder
 
 BUCKET_BYTES = 8_000_000
+ROW_BYTES = 64
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 17, text_col: str = "text",
-                 bucket_bytes: int = BUCKET_BYTES) -> tuple[str, str]:
+def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> tuple[str, str]:
     """Write ``docs`` below ``path``, one folder per shard, and return the names of the shard and slot columns."""
     taken = list(docs.columns)
     shard, slot = free_name(taken, "shard"), free_name(taken, "slot")
-    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = max(1, math.ceil(size / bucket_bytes))
     whole = [F.col(f"`{name}`") for name in taken]
+    held = lambda field: F.coalesce(F.octet_length(F.col(f"`{field.name}`") if isinstance(field.dataType, T.BinaryType) else F.col(f"`{field.name}`").cast("string")), F.lit(0))
+    wide = [held(field) for field in docs.schema.fields if not isinstance(field.dataType, T.NumericType)]  # numbers are within ROW_BYTES
+    size, rows = docs.agg(F.coalesce(F.sum(sum(wide, F.lit(ROW_BYTES).cast("long"))), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = max(1, math.ceil(size / bucket_bytes))
     row = F.struct(*whole)
     keyed = docs.select(
         F.pmod(F.xxhash64(F.lit(seed), *whole), F.lit(buckets)).alias("bucket"),

@@ -82,6 +82,16 @@ def test_repeated_benchmark_rows_are_collected_once(spark):
     assert sorted(item for table in window_tables(items, "item_id", "text", 10, 1_000) for item in table.items) == ["1", "2", "3"]
 
 
+def test_items_without_an_id(spark):
+    from sessionlake.llm.decontaminate import scan
+
+    passage = prose(31, 14)
+    docs = spark.createDataFrame([(1, passage), (2, "clean words")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), ("None", passage), (None, passage + " more")], "item_id string, text string")
+    frame, state = scan(docs, items)
+    assert {r.doc_id: r[state]["items"] for r in frame.collect()} == {1: ["None", None], 2: []}
+
+
 def test_decontamination_modes(spark, docs, items):
     from sessionlake.llm.decontaminate import decontaminate
 
@@ -128,6 +138,18 @@ def test_shards_shuffle_and_empty(spark, tmp_path):
     write_shards(spark.createDataFrame([], SCHEMA), str(tmp_path / "none"))
 
 
+def test_shards_count_all_columns_and_rows(spark, tmp_path):
+    from sessionlake.llm.sharding import write_shards
+
+    bare = spark.range(4_000).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text")
+    wide = bare.where("doc_id < 40").selectExpr("*", "repeat('x', 5000) AS more")
+    for name, frame in (("bare", bare), ("wide", wide)):
+        shard, _ = write_shards(frame, str(tmp_path / name), shards=3, bucket_bytes=20_000)
+        files = {path.name.split("-")[1] for path in (tmp_path / name).rglob("part-*.parquet")}
+        assert len(files) > 3  # buckets, each written by a task of its own
+        assert spark.read.parquet(str(tmp_path / name)).groupBy("doc_id").count().where("count = 1").count() == frame.count()
+
+
 def test_shards_are_native(spark, docs):
     from sessionlake.llm.sharding import op2_sharding
 
