@@ -99,7 +99,7 @@ def line_chunks(numbers: list[int], codes: list[int], gaps: list[int], long: lis
             low = at + 1
 
 
-def _grown(codes: list[int], gaps: list[int], numbers: list[int], first: int, step: int) -> list[int]:
+def _grown(numbers: list[int], first: int, step: int) -> list[int]:
     """Places next to ``first`` in one direction, as long as the run goes on."""
     out, at = [], first
     while len(out) < GROW and 0 <= at + step < len(numbers) and numbers[at + step] == numbers[at] + step:
@@ -130,7 +130,7 @@ def _chunk(batches):
             code = [value & _MASK for value in code]
             for first, last in line_chunks(number, code, gap, long):
                 whole = _joint(code, gap, list(range(first, last + 1)), first)[-1]
-                left, right = _grown(code, gap, number, first, -1), _grown(code, gap, number, last, 1)
+                left, right = _grown(number, first, -1), _grown(number, last, 1)
                 rows.append(row)
                 out.append((whole ^ (last - first), start[last] + size[last] - start[first], number[first], number[last], start[first], start[last] + size[last],
                             _joint(code, gap, left, first), [start[at] for at in left], _joint(code, gap, right, last), [start[at] + size[at] for at in right]))
