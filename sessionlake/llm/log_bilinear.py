@@ -186,7 +186,7 @@ def _encode(counts: Counts, tokens: Tokens) -> list[pa.Array]:
     place = found[tokens.kind]
     seen = place >= 0
     base = np.bincount(tokens.row[seen], counts.base[place[seen]], rows) + counts.base_end
-    share = np.bincount(tokens.row[seen], counts.share[place[seen]], rows)
+    share = np.bincount(tokens.row[seen], counts.share[place[seen]], rows).astype(np.float64)  # whole numbers where there is nothing to add
     known = np.bincount(tokens.row[seen], minlength=rows) + (1 if counts.ends else 0)
     cut = np.concatenate([[0], np.cumsum(tokens.counts + 1)])
     ids = np.full(cut[-1], END, np.int16)
