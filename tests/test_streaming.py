@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from fixtures import assistant, text, tokens, user, write
@@ -162,8 +163,10 @@ def test_follow_refreshes_the_store(spark, prices, tmp_path):
     store = Store(spark, str(tmp_path / "tables"), {"claude": str(root)})
     seen = []
     query = follow(spark, store, prices, "1 second", after=lambda fresh: seen.append(fresh.table("manifest").count()))
+    deadline = time.time() + 240
     try:
-        query.processAllAvailable()
+        while not seen and query.isActive and time.time() < deadline:
+            time.sleep(0.5)
     finally:
         query.stop()
     assert seen == [1]
