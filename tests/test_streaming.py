@@ -187,6 +187,7 @@ def test_late_sessions_take_requests_back(spark, tmp_path):
         [("x", "m1", "r", "a", "/a", at(1)), ("x", "m2", "r", "z", "/z", None)],  # late, and one without a start
     ]
     source = tmp_path / "in"
+    source.mkdir()
     stream = spark.readStream.schema(schema).parquet(str(source))
     changes = []
 
