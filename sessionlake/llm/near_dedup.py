@@ -9,15 +9,15 @@ with the probability Jaccard similarity of their shingles. ``BANDS`` bands of ``
 With unit weights that similarity is the plain Jaccard similarity of the shingle sets, which decides. So every text
 has the buckets of its unit signature, and a text with repeated shingles has those of its weighted one besides.
 
-Texts with equal shingles are one node, however many copies there are. In the first turn every member of a bucket is
-paired with the bucket's first node; a pair that meets in several buckets is one pair. Pairs of fitting size whose unit
+Texts with equal shingles are one node, however many copies there are. First every member of a bucket is paired with
+the bucket's smallest node; a pair that meets in several buckets is one pair. Pairs of fitting size whose unit
 signatures do not disagree in far more registers than a similar pair's would (``DEVIATIONS`` standard deviations) are verified by the exact Jaccard
 similarity of their shingle sets, and components of the verified links are formed. A bucket within one
-component is done. The others go on: those of up to ``SMALL`` members are compared in full, larger ones are split
-further by buckets of two bands, small ones of which are compared in full too, and get another hub in each of the
-``turns``. So the pairs of a turn are at most ``SMALL`` for each member of a bucket, whatever the size of a group; a member of a group that
-its hubs miss meets others in its other buckets. Components of the verified links are the classes. Recall is set by
-bands, registers, turns and deviations; the README gives it as measured against all pairs.
+component is done. In all others every two members of different components are compared, none left out: those of up to
+``SMALL`` members as pairs; larger buckets are dealt to cells, so that any two members meet in one cell of bounded size. A
+cell compares signatures and shingle sets by itself and gives only links that join two components, so
+the rows stay as many as the members of the cells, whatever the number of pairs. Components of the verified links are the classes. Recall is set by
+bands, registers and deviations; the README gives it as measured against all pairs.
 
 Defined cases: a text that is null, empty or without a word is a class of its own; repeated rows are copies of
 each other and one of them is kept; a null id counts as the smallest when the kept row is chosen, and is no class
@@ -39,9 +39,9 @@ from sessionlake.plans.staging import stage
 SHINGLE = 5
 BANDS = 25
 ROWS = 6
-TURNS = 3
 SMALL = 8
-DEEPER = 6
+CELL_ROWS = 1_024
+CELL_BYTES = 4 << 20
 DEVIATIONS = 5
 CHUNK = (1 << 20) - 1
 _ARRIVAL = np.uint64(0x9E3779B97F4A7C15)
@@ -185,32 +185,99 @@ def _similar(shingle: int, threshold: float):
     return run
 
 
-def _turn(buckets: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one turn: every member of a bucket with the bucket's hub, and after the first all pairs of small buckets."""
-    order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    large = buckets if turn == 0 else buckets.where(F.col("n") > SMALL)
-    hubs = large.groupBy("band").agg(F.min_by(F.struct("node", "component"), order).alias("hub"))
-    star = large.join(hubs, "band").where("component <> hub.component").select("node", F.col("hub.node").alias("hub"))
-    pairs = star.select(F.least("node", "hub").alias("one"), F.greatest("node", "hub").alias("other"))
-    if turn == 0:
-        return pairs
+def _hub_pairs(buckets: DataFrame) -> DataFrame:
+    """Every member of a bucket with the bucket's smallest node."""
+    hubs = buckets.groupBy("band").agg(F.min("node").alias("one"))
+    return buckets.select("band", F.col("node").alias("other")).join(hubs, "band").where("one < other").select("one", "other")
+
+
+def _small_pairs(buckets: DataFrame) -> DataFrame:
+    """All pairs of members of different components in buckets of up to ``SMALL`` members."""
     small = buckets.where(F.col("n") <= SMALL)
     left, right = (small.select("band", F.col("node").alias(name), F.col("component").alias(f"of_{name}")) for name in ("one", "other"))
-    return pairs.union(left.join(right, "band").where("one < other AND of_one <> of_other").select("one", "other"))
+    return left.join(right, "band").where("one < other AND of_one <> of_other").select("one", "other")
+
+
+def _cells(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members of larger buckets by cell: a bucket is cut into parts, and a cell holds two parts or, if ``whole``, one."""
+    large = buckets.where(F.col("n") > SMALL).join(texts.select("node", "size", "code", F.octet_length("text").alias("bytes")), "node")
+    parts = large.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL_ROWS), F.ceil(F.sum("bytes") / CELL_BYTES), F.lit(1)).cast("int").alias("parts"))
+    dealt = large.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(F.xxhash64("band", F.least("part", "with"), F.greatest("part", "with")).alias("cell"), "node", "component", "part",
+                        (F.col("part") == F.col("with")).alias("own"), "size", "code")
+
+
+def _whole(own: np.ndarray, part: np.ndarray) -> bool:
+    """Does the cell hold one part only? Then its members are compared with each other, else across the parts."""
+    return bool(own.all()) and len(np.unique(part)) == 1
+
+
+def _close(cell: pa.Table, threshold: float, most: int):
+    """(first, hits) by slices of rows: pairs across components whose sizes and signatures do not rule them out, each once."""
+    node, component, part, size = (cell[name].to_numpy() for name in ("node", "component", "part", "size"))
+    whole = _whole(cell["own"].to_numpy(), part)
+    code = cell["code"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    step = max(1, (1 << 20) // max(1, len(node)))
+    for first in range(0, len(node), step):
+        at = slice(first, first + step)
+        different = np.zeros((len(node[at]), len(node)), np.uint16)
+        for word in range(code.shape[1]):
+            x = code[at, None, word] ^ code[None, :, word]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            different += np.bitwise_count(x & np.uint64(0x1111111111111111))
+        hits = (different <= most) & (node[at, None] < node) & (component[at, None] != component)
+        hits &= np.minimum(size[at, None], size) >= threshold * np.maximum(size[at, None], size) - 1e-9
+        yield first, hits if whole else hits & (part[at, None] != part)
+
+
+def _drawn(threshold: float, most: int):
+    """The members of a cell that are in any pair to be verified."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        wanted = np.zeros(cell.num_rows, bool)
+        for first, hits in _close(cell, threshold, most):
+            wanted |= hits.any(axis=0)
+            wanted[first:first + len(hits)] |= hits.any(axis=1)
+        return cell.select(["cell", "node", "component", "part", "own"]).filter(pa.array(wanted))
+
+    return run
+
 
+def _linked(shingle: int, threshold: float, most: int):
+    """Verified pairs of a cell, without those between components that others of its pairs have joined."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        node, group = cell["node"].to_numpy(), cell["component"].to_numpy().copy()
+        data, offsets = text_bytes(cell["text"].combine_chunks())
+        found = [shingles(Words(part, ends), shingle) for _, part, ends in chunks(data, offsets, CHUNK)]
+        codes = np.unique(np.concatenate([codes for _, codes, _ in found]), return_inverse=True)[1]
+        many = cell["size"].to_numpy()
+        starts, marked, links = np.cumsum(many) - many, np.zeros(len(codes) + 1, bool), []
+        for first, hits in _close(cell, threshold, most):
+            for one, near in enumerate(hits, first):
+                others = np.flatnonzero(near)
+                others = others[group[others] != group[one]]
+                if not len(others):
+                    continue
+                own, sizes = codes[starts[one]:starts[one] + many[one]], many[others]
+                marked[own] = True
+                at = np.arange(sizes.sum()) + np.repeat(starts[others] - (np.cumsum(sizes) - sizes), sizes)
+                common = np.bincount(np.repeat(np.arange(len(others)), sizes), marked[codes[at]], len(others))
+                marked[own] = False
+                for other in others[common >= threshold * (many[one] + sizes - common) - 1e-9]:
+                    if group[other] != group[one]:
+                        links.append((node[one], node[other]))
+                        group[group == group[other]] = group[one]
+        links = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"one": links[:, 0], "other": links[:, 1]})
 
-def _deeper(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The buckets, and for members of large ones also buckets of two bands: those right behind theirs in the signature."""
-    large = buckets.where(F.col("n") > SMALL).join(nodes.select("node", "bands"), "node")
-    at = F.array_position("bands", F.col("band")).cast("int") - 1
-    behind = F.transform(F.sequence(F.lit(1), F.lit(DEEPER)), lambda k: F.get("bands", (at + k) % F.size("bands")))
-    keys = large.select("node", "component", F.explode(F.transform(behind, lambda key: F.xxhash64("band", key))).alias("band"))
-    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return buckets.unionByName(keys.join(shared, "band").select("node", "band", "n", "component"))
+    return run
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = SHINGLE,
-            bands: int = BANDS, rows: int = ROWS, turns: int = TURNS) -> DataFrame:
+            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: ``id``, ``k1, k2`` (hashes of id and text), ``class_id`` (smallest id) and ``kept``."""
     short_batches(docs.sparkSession)
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), *_keys(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
@@ -237,16 +304,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         told = near.join(left, "one").join(right, "other").select("one", "other", "text_one", "text_other")
         return stage(told.mapInArrow(_similar(shingle, threshold), "one long, other long"), "verified")
 
-    links, component = None, nodes.select("node", F.col("node").alias("component"))
-    for turn in range(turns):
-        found = verified(_turn(buckets, turn))
-        links = found if links is None else links.union(found)
-        component = stage(components(links, "one", "other"), "components")
-        if turn + 1 < turns:
-            merged = buckets.drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = merged.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-            buckets = stage(merged.join(mixed, "band", "left_semi").select("node", "band", "n", "component"), "buckets")
-            buckets = stage(_deeper(buckets, nodes), "buckets") if turn == 0 else buckets
+    def compared(buckets: DataFrame) -> DataFrame:
+        """Links between members of larger buckets, enough to join all components that any pair joins."""
+        most = _most_different(bands * rows, threshold)
+        drawn = _cells(buckets, texts).groupBy("cell").applyInArrow(_drawn(threshold, most), "cell long, node long, component long, part int, own boolean")
+        told = stage(drawn, "cells").join(texts, "node").groupBy("cell").applyInArrow(_linked(shingle, threshold, most), "one long, other long")
+        return stage(told, "linked")
+
+    links = verified(_hub_pairs(buckets))
+    component = stage(components(links, "one", "other"), "components")
+    merged = buckets.drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = merged.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    buckets = stage(merged.join(mixed, "band", "left_semi").select("node", "band", "n", "component"), "buckets")
+    links = links.union(verified(_small_pairs(buckets))).union(compared(buckets))
+    component = stage(components(links, "one", "other"), "components")
     of_text = nodes.join(component, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     members = stage(worded.join(of_text, ["d1", "d2"]).select("id", "k1", "k2", "row", "component"), "members")
     best = members.groupBy("component").agg(F.min("id").alias("class_id"), F.min(F.struct("id", "row")).getField("row").alias("best"))

@@ -547,6 +547,25 @@ def test_near_classes_of_a_hot_bucket(spark):
     assert {r.id: r.class_id for r in classes(docs).collect()} == brute.near_classes(rows)
 
 
+def test_near_classes_of_pairs_in_large_buckets(spark, monkeypatch):
+    """Pairs little above the threshold; the few, wide buckets are full of texts that share two thirds and that no hub is near to."""
+    from sessionlake.llm import near_dedup
+
+    base, rows = prose(50, 150).split(), []
+    for k in range(150):
+        at = k * 7 % 125
+        own = base[:at] + prose(900 + k, 18).split() + base[at + 18:]
+        other = list(own)
+        for edit in (at + 30, at + 60, at + 90):
+            other[edit % 150] = f"edit{k}x{edit}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute.near_classes(rows)
+    assert {r.id: r.class_id for r in near_dedup.classes(docs, bands=6, rows=1).collect()} == want
+    monkeypatch.setattr(near_dedup, "CELL_ROWS", 20)  # buckets of many parts
+    assert {r.id: r.class_id for r in near_dedup.classes(docs, bands=6, rows=1).collect()} == want
+
+
 def test_near_classes_of_texts_that_differ_in_repeats(spark):
     from sessionlake.llm.near_dedup import classes
 
