@@ -1,7 +1,7 @@
 """Exact sequential folds, run in parallel over blocks of a group.
 
 Some rules depend on their own earlier output, so no window can express them. Groups of ordinary
-size are folded whole. A larger group is cut into blocks of equal row count and every block is folded
+size are folded whole, many of them in one call, as a call costs more than a small group. A larger group is cut into blocks of equal row count and every block is folded
 by itself: the first pass starts each block from the empty state, and a block whose real incoming
 state turns out to differ is folded again with that state until no incoming state changes any more.
 The result equals one sequential pass, no task ever holds more than one block, and only the small
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from sessionlake.plans.running import Running, running
 from sessionlake.plans.staging import stage
 
-BLOCK = "__fold"
+BLOCK, BIN = "__fold", "__bin"
 ROWS_PER_BLOCK = 8192
 
 # (rows of one block in order, incoming state or None) -> (one decision per row, outgoing state)
@@ -46,14 +47,21 @@ def fold_blocks(
         head = pd.DataFrame({name: value for name, value in zip(by, keys)}, index=range(len(pdf)))
         return pd.concat([head, pdf[[order]], decisions.reset_index(drop=True)], axis=1)
 
+    def decide_all(pdf):
+        pdf = pdf.assign(**{BIN: pdf.groupby(by, dropna=False, sort=False).ngroup()}).sort_values([BIN, order], kind="stable").reset_index(drop=True)
+        cuts = [0, *(np.flatnonzero(np.diff(pdf[BIN])) + 1), len(pdf)]
+        decided = [step(pdf.iloc[first:end].reset_index(drop=True), None)[0] for first, end in zip(cuts, cuts[1:])]
+        return pd.concat([pdf[[*by, order]], pd.concat(decided, ignore_index=True)], axis=1)
+
     df = stage(df, "fold-rows")
     no_carry = F.lit(None).cast("string")
-    large = df.groupBy(*by).count().where(F.col("count") > rows_per_block).select(*by)
+    large = stage(df.groupBy(*by).count().where(F.col("count") > rows_per_block).select(*by), "fold-large")
+    bins = df.count() // rows_per_block + 1
+    bin_of = F.pmod(F.xxhash64(*by), F.lit(bins))
     if large.isEmpty():
-        return df.withColumn("__carry", no_carry).groupBy(*by).applyInPandas(decide, decided_schema)
+        return df.groupBy(bin_of.alias(BIN)).applyInPandas(decide_all, decided_schema)
 
-    small = df.join(large, by, "left_anti").withColumn("__carry", no_carry)
-    whole = small.groupBy(*by).applyInPandas(decide, decided_schema)
+    whole = df.join(large, by, "left_anti").groupBy(bin_of.alias(BIN)).applyInPandas(decide_all, decided_schema)
     numbered = running(df.join(large, by, "left_semi"), by, [F.col(order)], block, {"__nth": Running("sum", F.lit(1))})
     cut = stage(numbered.withColumn(BLOCK, F.floor((F.col("__nth") - 1) / rows_per_block)).drop("__nth"), "fold-blocks")
     key = [*by, BLOCK]

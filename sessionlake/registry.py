@@ -640,7 +640,7 @@ def reattribute(spark, sf_dir):
 
 
 def _rollouts(spark, sf_dir):
-    records = codex.codex_records(stage(tables.event_rollouts(spark, sf_dir), "rollouts"))
+    records = stage(codex.codex_records(stage(tables.event_rollouts(spark, sf_dir), "rollouts")), "records")  # parsed once, read often
     meta = codex.file_meta(records)
     return records, meta, codex.line_state(records, meta)
 

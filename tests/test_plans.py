@@ -98,3 +98,23 @@ def test_dedup_cases(spark, reports, want):
     got = dedup_requests(frame)
     found = sorted(rows(got, "request_id", "input", (F.col("byte_offset") / 100).cast("int")))
     assert found == sorted(want)
+
+
+def test_small_groups_are_folded_many_in_a_call(spark):
+    import pandas as pd
+
+    from sessionlake.plans.blockfold import fold_blocks
+
+    def step(rows, state):
+        total = rows["value"].cumsum() + int(state or 0)
+        return pd.DataFrame({"total": total}), str(total.iloc[-1])
+
+    rows = [(None if g == 7 else f"g{g}", at, g + at) for g in range(60) for at in range(40 if g == 5 else 3)]
+    frame = spark.createDataFrame(rows, "g string, at long, value long").repartition(5)
+    for limit in (8192, 10):  # all groups whole; one cut into blocks
+        found = fold_blocks(frame, ["g"], "at", F.floor(F.col("at") / 16), step, "total long", limit)
+        want = {}
+        for g, at, value in rows:
+            want[g, at] = want.get((g, at - 1), 0) + value
+        assert {(r.g, r.at): r.total for r in found.collect()} == want
+        assert "__bin" in found._jdf.queryExecution().analyzed().toString()

@@ -138,3 +138,14 @@ def test_wire_rows(corpus):
     assert shown["cost"]["usd"] == pytest.approx(60 * 2e-6 + 10 * 8e-6 + 40 * 2e-7)
     states = rows(sessions.read_record(corpus.events), "status")
     assert {state for (state,) in states} == {"ok", "record_unavailable"}
+
+
+def test_rollout_queries_parse_every_line_once(spark):
+    """Records are read by a dozen passes; none of them parses the lines again."""
+    from sessionlake import registry
+
+    records, meta, state = registry._rollouts(spark, "/root/testdata/sf0.001")
+    for frame in (records, meta, state):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and "jsontostructs" not in plan.lower()
+    assert records.count() > 0 and "variant" in dict(records.dtypes)["output"]
