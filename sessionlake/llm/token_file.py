@@ -6,7 +6,8 @@ interleaved coders. A block carries its coders' states at the start and at every
 run between checkpoints reads, and a checksum, so blocks, and runs inside a block, decode on their own.
 
 Steps: tokens are written once (staged), counted by id, range-partitioned by document, and coded. The tokenizer
-runs over words between spaces and line feeds, which it never joins, so each distinct word is encoded once per cache.
+runs over words between spaces and line feeds, which it never joins, so each distinct word is encoded once per chunk
+of texts, and seldom twice while it stays in the cache of its worker.
 
 Defined cases: a null or empty text holds only the end id; ids equal in rising order (null first) are ordered by
 the hash of their ids; repeated rows are all written; other columns are not read; an empty table writes an
@@ -21,33 +22,43 @@ import re
 import uuid
 import zlib
 from array import array
+from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.batches import Recent, byte_characters, short_batches, slices
+from sessionlake.llm.batches import byte_characters, chunks, short_batches, slices, text_bytes
 from sessionlake.plans.joins import broadcast_if_small
 from sessionlake.plans.staging import shared_folder, stage
 
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 60_000
+CACHE_CHARACTERS = 64  # longer ones seldom come again and would make the cache large
+CHUNK_TEXT = 4_000_000
 LANES = 1024
 BLOCK_IDS = 1 << 18
 CHECKPOINT_STEPS = 128
 SEGMENT_BYTES = 32_000_000
 LOW = np.uint64(1 << 31)
-_LATIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIGNS = r"!-&(-/:;=-@\[-`{-~"  # of ASCII all but ' and <, which begin contractions and special tokens
+_LATIN_WORD = f"^(?P<word>[{_LATIN}]+)(?P<stops>[{_SIGNS}]*)$"
+_PLAIN = re.compile(f"[{_LATIN}0-9{_SIGNS}]+").fullmatch
+_PIECES = re.compile(f"[{_LATIN}]+|[0-9]|[{_SIGNS}]+").findall
 
 
 class Tokens:
-    """Ids of texts under one tokenizer file; keeps the ids of recent words.
+    """Ids of texts under one tokenizer file; keeps the ids of recent pieces.
 
-    A byte-level tokenizer that lower-cases, drops spaces and splits letters from stops (probed once) gives Latin
-    words straight to its merge model; every other word runs through the whole tokenizer.
+    The distinct units (between spaces) of a chunk of texts are found first, and each is encoded once. A byte-level
+    tokenizer that lower-cases, drops spaces and splits letters, digits and signs (probed once) gives the pieces of
+    Latin units straight to its merge model; every other unit runs through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -57,30 +68,84 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_type(self.tokenizer.get_vocab_size())
         self.code = {"<u2": "H", "<u4": "I"}[self.kind]
-        self.characters = dict(enumerate(byte_characters()))
-        self.parts = Recent(self._model, CACHE_ENTRIES)
-        probes = ["The", "a\n b  c", "Winter, Snow.", "qzXv..,", "ÉtÀgères?! Straße", "antidisestablishment"]
-        self.plain = True
-        self.plain = all(self._whole(probe) == b"".join(map(self._unit, probe.split())) for probe in probes)
-        self.units = Recent(self._unit, CACHE_ENTRIES)
-
-    def _whole(self, text: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _model(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.characters)
-        return array(self.code, [token.id for token in self.tokenizer.model.tokenize(word)]).tobytes()
-
-    def _unit(self, unit: str) -> bytes:
-        found = _LATIN_WORD(unit) if self.plain else None
-        if not found:
-            return self._whole(unit)
-        word, stops = found.groups()
-        return self.parts[word.lower()] + self.parts[stops] if stops else self.parts[word.lower()]
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.units.__getitem__, text.replace("\n", " ").split(" ")))
+        self.characters = {byte: character for byte, character in enumerate(byte_characters()) if byte != 10}
+        self.kept: dict[str, bytes] = {}
+        self.kept_before: dict[str, bytes] = {}
+        probes = ["The", "a\n b  c", "Winter, Snow.", "qzXv..,", "ÉtÀgères?! Straße", "antidisestablishment",
+                  "a1b22--C3_d (x)[y]{z}|~`^ \"Q\"*** $5.00 4f/b\\c &#%@+=>;"]
+        self.plain = not any(_PLAIN(token.content) for token in self.tokenizer.get_added_tokens_decoder().values())
+        self.plain = self.plain and all(self._whole([probe]) == [b"".join(self._units(probe.split()))] for probe in probes)
+
+    def _whole(self, units: list[str]) -> list[bytes]:
+        return [array(self.code, self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes() for unit in units]
+
+    def _model(self, pieces: list[str]) -> list[bytes]:
+        """The merge model reads a character for each byte."""
+        tokenize = self.tokenizer.model.tokenize
+        mapped = "\n".join(pieces).encode().decode("latin-1").translate(self.characters).split("\n") if pieces else []
+        return [array(self.code, [token.id for token in tokenize(piece)]).tobytes() for piece in mapped]
+
+    def _recent(self, keys: list[str], counts, compute) -> list[bytes]:
+        """Ids of distinct keys. Only short ones that come more than once are kept: most others never come again."""
+        out = [self.kept.get(key) for key in keys]
+        for at, ids in enumerate(out):
+            if ids is None and (ids := self.kept_before.get(keys[at])) is not None:
+                out[at] = self._keep(keys[at], ids)
+        new = [at for at, ids in enumerate(out) if ids is None]
+        for at, ids in zip(new, compute([keys[at] for at in new])):
+            out[at] = self._keep(keys[at], ids) if counts[at] > 1 and len(keys[at]) <= CACHE_CHARACTERS else ids
+        return out
+
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        if len(self.kept) >= CACHE_ENTRIES:
+            self.kept, self.kept_before = {}, self.kept
+        self.kept[key] = ids
+        return ids
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Ids of units that are not one Latin word with signs behind it."""
+        cut = [_PIECES(unit.lower()) if self.plain and _PLAIN(unit) else None for unit in units]
+        whole = iter(self._whole([unit for unit, pieces in zip(units, cut) if pieces is None]))
+        distinct = Counter(chain.from_iterable(pieces for pieces in cut if pieces))
+        ids = dict(zip(distinct, self._recent(list(distinct), list(distinct.values()), self._model)))
+        return [next(whole) if pieces is None else b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
+
+    def _distinct(self, units: pa.Array, counts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Ids of the pieces of ``units``, and the two pieces that each unit is made of (the first one is empty)."""
+        out, of = [b""], np.zeros((len(units), 2), np.int64)
+        rest = np.ones(len(units), bool)
+        if self.plain:
+            word, stops = pc.extract_regex(units, _LATIN_WORD).flatten()
+            rest = word.is_null().to_numpy(zero_copy_only=False)
+            for side, column in enumerate((pc.utf8_lower(word), stops)):
+                column = column.drop_null().dictionary_encode()
+                at = column.indices.to_numpy()
+                of[~rest, side] = at + len(out)
+                often = np.bincount(at, counts[~rest], len(column.dictionary))
+                out += self._recent(column.dictionary.to_numpy(zero_copy_only=False).tolist(), often, self._model)
+        of[rest, 0] = np.arange(rest.sum()) + len(out)
+        others = units.filter(pa.array(rest)).to_numpy(zero_copy_only=False).tolist()
+        return out + self._recent(others, counts[rest], self._units), of
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one text after another, and how many each has; null counts as empty."""
+        units = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        found = units.flatten().dictionary_encode()
+        at = found.indices.to_numpy()
+        pieces, of = self._distinct(found.dictionary, np.bincount(at, minlength=len(found.dictionary)))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // np.dtype(self.kind).itemsize
+        ids, ends = gather(np.frombuffer(b"".join(pieces), self.kind), size, of.reshape(-1))
+        ids, ends = gather(ids, np.diff(ends[::2]), at)
+        last = np.cumsum(pc.list_value_length(units).to_numpy())
+        return ids, np.diff(ends[last], prepend=0)
+
+
+def gather(values: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of ``values`` (of ``size`` each) in ``order``, and where each begins there and the last one ends."""
+    first = (np.cumsum(size) - size)[order]
+    size = size[order]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return values[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
 def id_type(vocabulary: int) -> str:
@@ -94,15 +159,34 @@ def tokens_of(path: str) -> Tokens:
     return Tokens(path)
 
 
+def _joined(batches, limit: int):
+    """Runs of whole batches of about ``limit`` bytes as one batch."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id (as ``id``) and its token ids with ``end_id`` at the end (as ``ids``, narrow binary)."""
 
     def run(batches):
         own = tokens_of(path)
-        end = np.array([end_id], own.kind).tobytes()
-        for batch in slices(batches):
-            ids = [(own.encode(text) if text else b"") + end for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+        end = np.array(end_id, own.kind)
+        for batch in _joined(batches, CHUNK_TEXT):
+            for first, _, offsets in chunks(*text_bytes(batch.column(1)), CHUNK_TEXT):
+                part = batch.slice(first, len(offsets) - 1)
+                ids, counts = own.encode(part.column(1))
+                ids = np.insert(ids, np.cumsum(counts), end)
+                ends = np.concatenate([[0], np.cumsum(counts + 1) * ids.itemsize]).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), column], ["id", "ids"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     short_batches(docs.sparkSession)
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -115,9 +199,7 @@ def frequencies(tokens: DataFrame, kind: str, size: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                part = np.bincount(np.frombuffer(ids, kind))
-                total[:len(part)] += part
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_numpy(zero_copy_only=False)), kind), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 

@@ -363,6 +363,28 @@ def test_token_file_round_trip(spark, docs, tmp_path):
     assert digest == {(r.start, zlib.crc32(bytes(r.ids))) for r in rows}
 
 
+def test_token_file_keeps_few_words_and_each_text_its_ids():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from sessionlake.llm.token_file import CACHE_CHARACTERS, CACHE_ENTRIES, Tokens
+
+    own = Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    assert own.plain
+    kept = lambda: own.kept_before.keys() | own.kept.keys()
+    texts = [None, "", " ", "\n\n", "a  b", "Öl-Straße 12b!", "don't they'Ll 's", "<|endoftext|>x <| |>", "d48fd8e9*** (a[b]{c})", "東京 Привет,", "İstanbul Å e\u0301a \u212b",
+             "tab\tand\r\nline \u00a0 x", "ª²½ _under_score_ ... ,;:", "x" * 5000, "z9" * 3000, "東" * 3000]
+    ids, counts = own.encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    for text, first, last in zip(texts, ends - counts, ends):
+        assert ids[first:last].tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+    own.encode(pa.array([text for text in texts if text] * 2).slice(3))  # all words come twice
+    assert "Öl-Straße" in kept() and max(map(len, kept())) <= CACHE_CHARACTERS
+    before = len(kept())
+    own.encode(pa.array([" ".join(f"q{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(10_000))]))
+    assert len(kept()) <= before < CACHE_ENTRIES  # words that come once push out none
+
+
 def test_token_file_damage_and_empty(spark, docs, tmp_path):
     import public_tokenizers
 
