@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.plans.joins import parts_for
+from sessionlake.plans.staging import stage
 from sessionlake.sources.codex import AGENT_COMPONENT, agent_path_parts
 from sessionlake.sources.scan import directory
 
@@ -23,18 +25,24 @@ def _file_nodes(summaries: DataFrame) -> DataFrame:
 
 def claude_graph(summaries: DataFrame, roles: DataFrame, run_titles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges from the directory layout, legacy session ids and workflow groups."""
-    placed = summaries.join(roles.select("agent", "path", "role", "parent_path", "group_dir"), ["agent", "path"])
-    placed = placed.where("role <> 'ignored'")
+    parts = parts_for(summaries)
+    roles = roles.select("agent", "path", "role", "parent_path", "group_dir").repartition(parts, "agent", "path")
+    placed = summaries.repartition(parts, "agent", "path").join(roles, ["agent", "path"])
+    placed = stage(placed.where("role <> 'ignored'"), "placed")  # read for every kind of edge
     direct = placed.where("role = 'child'").select("agent", F.col("parent_path").alias("parent"), F.col("path").alias("child"))
     folder = directory(F.col("path"))
+    by = ["agent", "folder", "file_session_id"]
     owners = placed.where("role = 'root' AND session_id <> ''").select(
         "agent", folder.alias("folder"), F.col("session_id").alias("file_session_id"), F.col("path").alias("parent")
     )
     legacy = (
         placed.where("role = 'legacy'")
-        .withColumn("folder", folder)
-        .join(owners, ["agent", "folder", "file_session_id"])
-        .groupBy("agent", F.col("path").alias("child"))
+        .select("agent", "path", folder.alias("folder"), "file_session_id")
+        .repartition(parts, *by)
+        .join(owners.repartition(parts, *by), by)
+        .select("agent", F.col("path").alias("child"), "parent")
+        .repartition(parts, "agent", "child")
+        .groupBy("agent", "child")
         .agg(F.min("parent").alias("parent"))
         .select("agent", "parent", "child")
     )
@@ -42,7 +50,9 @@ def claude_graph(summaries: DataFrame, roles: DataFrame, run_titles: DataFrame)
     run = F.substring_index("group_dir", "/", -1)
     # A group has no file of its own: it spans the earliest start and latest update of its members.
     groups = (
-        members.groupBy("agent", "group_dir", "parent_path")
+        members.select("agent", "group_dir", "parent_path", "started_at", "started_raw", "updated_at", "updated_raw")
+        .repartition(parts, "agent", "group_dir", "parent_path")
+        .groupBy("agent", "group_dir", "parent_path")
         .agg(
             F.min(F.struct("started_at", "started_raw")).alias("none_first"),
             F.min_by(F.struct("started_at", "started_raw"), F.when(F.col("started_at").isNotNull(), F.struct("started_at", "started_raw"))).alias("start"),
@@ -72,12 +82,13 @@ def claude_graph(summaries: DataFrame, roles: DataFrame, run_titles: DataFrame)
         )
     )
     grouped = members.select("agent", F.col("group_dir").alias("parent"), F.col("path").alias("child"))
-    hung = members.select("agent", F.col("parent_path").alias("parent"), F.col("group_dir").alias("child")).distinct()
+    hung = members.select("agent", F.col("parent_path").alias("parent"), F.col("group_dir").alias("child"))
+    hung = hung.repartition(parts, *hung.columns).distinct()
     edges = direct.unionByName(legacy).unionByName(grouped).unionByName(hung)
     files = _file_nodes(placed)
     # A companion file without its transcript, and a legacy file without its session, hang nowhere.
     known = files.select("agent", F.col("path").alias("parent")).unionByName(groups.select("agent", F.col("node_id").alias("parent")))
-    edges = edges.join(known, ["agent", "parent"], "left_semi")
+    edges = edges.repartition(parts, "agent", "parent").join(known.repartition(parts, "agent", "parent"), ["agent", "parent"], "left_semi")
     attached = files.where("role = 'root'").select(*NODE_COLUMNS).unionByName(
         files.where("role <> 'root'")
         .join(edges.select("agent", F.col("child").alias("node_id")), ["agent", "node_id"], "left_semi")

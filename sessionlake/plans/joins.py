@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+TASK_ROWS = 50_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -24,3 +27,12 @@ def tune_for_skew(spark) -> None:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
+def parts_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Partitions that hold about ``rows`` rows of ``df`` each.
+
+    Adaptive execution joins partitions up to a size in compressed bytes. Paths and other repetitive texts are many
+    times as large in the sorts of a task, so their shuffles are given a number, which it leaves as it is.
+    """
+    return math.ceil(df.count() / rows) or 1

@@ -246,7 +246,7 @@ def cost_valid(spark, sf_dir):
 @query
 def session_graph(spark, sf_dir):
     """Parts as transcript files of every role: direct, grouped and legacy children of their sessions."""
-    roles = scan.classify_path(_part_files(spark, sf_dir))
+    roles = stage(scan.classify_path(_part_files(spark, sf_dir)), "roles")
     part = F.regexp_extract("path", r"(\d+)\.jsonl$", 1).cast("long")
     session = F.concat(F.lit("p"), (part - part % 5).cast("string"))
     none = F.lit("")

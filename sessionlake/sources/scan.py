@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlake.plans.joins import parts_for
 from sessionlake.plans.staging import stage
 
 # Fixed values.
@@ -229,6 +230,8 @@ def classify_path(files: DataFrame) -> DataFrame:
     ``role`` is root, child, member (of a group directory), legacy or ignored. ``parent_path`` is the
     transcript that owns the file, null for legacy files whose owner is found by session id.
     """
+    parts = parts_for(files)
+    files = files.repartition(parts, "agent", "path")
     path = F.col("path")
     name = F.substring_index(path, "/", -1)
     owner = F.regexp_extract("path", r"^(.*)/subagents/.*$", 1)
@@ -267,8 +270,10 @@ def classify_path(files: DataFrame) -> DataFrame:
                 )
             ).alias("companion"),
         )
-        .join(files.select("agent", F.col("path").alias("companion")), ["agent", "companion"], "left_semi")
+        .repartition(parts, "agent", "companion")
+        .join(files.select("agent", F.col("path").alias("companion")).repartition(parts, "agent", "companion"), ["agent", "companion"], "left_semi")
         .select("agent", "path")
+        .repartition(parts, "agent", "path")
         .distinct()
         .withColumn("owned", F.lit(True))
     )

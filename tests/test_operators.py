@@ -70,6 +70,24 @@ def test_path_roles(spark):
     assert found["/r/p/s/subagents/c/subagents/d.jsonl"][:2] == ("child", "/r/p/s/subagents/c.jsonl")
 
 
+def test_graph_tasks_hold_a_bounded_number_of_paths(spark):
+    from sessionlake.operators import graph
+
+    number = F.col("id").cast("string")
+    path = F.when(F.col("id") % 2 == 0, F.concat(F.lit("/r/s"), number, F.lit(".jsonl"))).otherwise(
+        F.concat(F.lit("/r/s"), (F.col("id") - 1).cast("string"), F.lit("/subagents/c"), number, F.lit(".jsonl")))
+    files = spark.range(300_000).select(F.lit("claude").alias("agent"), path.alias("path"))
+    roles = scan.classify_path(files)
+    sizes = lambda df: [row["count"] for row in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes(roles)) == 300_000 and max(sizes(roles)) < 60_000  # adaptive execution made 4 parts or fewer
+    text = {name: F.lit("") for name in ["session_id", "file_session_id", "cwd", "project", "title", "title_prompt", "git_branch", "started_raw", "updated_raw", "agent_path", "parent_id"]}
+    times = {name: F.lit(None).cast("timestamp") for name in ["started_at", "updated_at"]}
+    summaries = files.withColumns({**text, **times, "messages": F.lit(0).cast("bigint"), "has_error": F.lit(False)})
+    runs = spark.createDataFrame([], "agent string, path string, run_id string, run_title string")
+    _, edges = graph.claude_graph(summaries, roles, runs)
+    assert sum(sizes(edges)) == 150_000 and max(sizes(edges)) < 30_000
+
+
 def test_price_files(spark, price_file, prices, tmp_path):
     assert sorted(row.model for row in prices.collect()) == ["anthropic/elm-2", "elm-2-fast", "oak-1", "openai/gpt-5"]
     assert prices.where("model = 'elm-2-fast'").first().fast == 2.0
