@@ -27,7 +27,7 @@ def claude_graph(summaries: DataFrame, roles: DataFrame, run_titles: DataFrame)
     """Nodes and edges from the directory layout, legacy session ids and workflow groups."""
     parts = parts_for(summaries)
     roles = roles.select("agent", "path", "role", "parent_path", "group_dir").repartition(parts, "agent", "path")
-    placed = summaries.repartition(parts, "agent", "path").join(roles, ["agent", "path"])
+    placed = summaries.repartition(parts, "agent", "path").join(roles.hint("merge"), ["agent", "path"])
     placed = stage(placed.where("role <> 'ignored'"), "placed")  # read for every kind of edge
     direct = placed.where("role = 'child'").select("agent", F.col("parent_path").alias("parent"), F.col("path").alias("child"))
     folder = directory(F.col("path"))
@@ -39,7 +39,7 @@ def claude_graph(summaries: DataFrame, roles: DataFrame, run_titles: DataFrame)
         placed.where("role = 'legacy'")
         .select("agent", "path", folder.alias("folder"), "file_session_id")
         .repartition(parts, *by)
-        .join(owners.repartition(parts, *by), by)
+        .join(owners.repartition(parts, *by).hint("merge"), by)
         .select("agent", F.col("path").alias("child"), "parent")
         .repartition(parts, "agent", "child")
         .groupBy("agent", "child")
@@ -88,10 +88,10 @@ def claude_graph(summaries: DataFrame, roles: DataFrame, run_titles: DataFrame)
     files = _file_nodes(placed)
     # A companion file without its transcript, and a legacy file without its session, hang nowhere.
     known = files.select("agent", F.col("path").alias("parent")).unionByName(groups.select("agent", F.col("node_id").alias("parent")))
-    edges = edges.repartition(parts, "agent", "parent").join(known.repartition(parts, "agent", "parent"), ["agent", "parent"], "left_semi")
+    edges = edges.repartition(parts, "agent", "parent").join(known.repartition(parts, "agent", "parent").hint("merge"), ["agent", "parent"], "left_semi")
     attached = files.where("role = 'root'").select(*NODE_COLUMNS).unionByName(
         files.where("role <> 'root'")
-        .join(edges.select("agent", F.col("child").alias("node_id")), ["agent", "node_id"], "left_semi")
+        .join(edges.select("agent", F.col("child").alias("node_id")).hint("merge"), ["agent", "node_id"], "left_semi")
         .select(*NODE_COLUMNS)
     )
     nodes = attached.unionByName(groups.select(*NODE_COLUMNS))

@@ -230,7 +230,7 @@ def classify_path(files: DataFrame) -> DataFrame:
     ``role`` is root, child, member (of a group directory), legacy or ignored. ``parent_path`` is the
     transcript that owns the file, null for legacy files whose owner is found by session id.
     """
-    parts = parts_for(files)
+    parts = parts_for(files)  # and no broadcasts: sizes are guessed from what the files' table takes on disk
     files = files.repartition(parts, "agent", "path")
     path = F.col("path")
     name = F.substring_index(path, "/", -1)
@@ -271,12 +271,12 @@ def classify_path(files: DataFrame) -> DataFrame:
             ).alias("companion"),
         )
         .repartition(parts, "agent", "companion")
-        .join(files.select("agent", F.col("path").alias("companion")).repartition(parts, "agent", "companion"), ["agent", "companion"], "left_semi")
+        .join(files.select("agent", F.col("path").alias("companion")).repartition(parts, "agent", "companion").hint("merge"), ["agent", "companion"], "left_semi")
         .select("agent", "path")
         .repartition(parts, "agent", "path")
         .distinct()
         .withColumn("owned", F.lit(True))
     )
-    out = out.join(folders, ["agent", "path"], "left")
+    out = out.join(folders.hint("merge"), ["agent", "path"], "left")
     role = F.when(F.col("owned"), F.lit("ignored")).otherwise(F.col("role"))
     return out.withColumn("role", role).drop("owned")

@@ -86,6 +86,9 @@ def test_graph_tasks_hold_a_bounded_number_of_paths(spark):
     runs = spark.createDataFrame([], "agent string, path string, run_id string, run_title string")
     _, edges = graph.claude_graph(summaries, roles, runs)
     assert sum(sizes(edges)) == 150_000 and max(sizes(edges)) < 30_000
+    few = spark.createDataFrame([("claude", "/r/s.jsonl"), ("claude", "/r/s/subagents/c.jsonl")], "agent string, path string")
+    for frame in (scan.classify_path(few), edges):  # all paths are never sent to each task, however small their table is taken to be
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
 def test_price_files(spark, price_file, prices, tmp_path):
