@@ -26,8 +26,8 @@ def _file_nodes(summaries: DataFrame) -> DataFrame:
 def claude_graph(summaries: DataFrame, roles: DataFrame, run_titles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges from the directory layout, legacy session ids and workflow groups."""
     parts = parts_for(summaries)
-    roles = roles.select("agent", "path", "role", "parent_path", "group_dir").repartition(parts, "agent", "path")
-    placed = summaries.repartition(parts, "agent", "path").join(roles.hint("merge"), ["agent", "path"])
+    roles = roles.select("agent", "path", "role", "parent_path", "group_dir").repartition(parts, "path")
+    placed = summaries.repartition(parts, "path").join(roles.hint("merge"), ["agent", "path"])
     placed = stage(placed.where("role <> 'ignored'"), "placed")  # read for every kind of edge
     direct = placed.where("role = 'child'").select("agent", F.col("parent_path").alias("parent"), F.col("path").alias("child"))
     folder = directory(F.col("path"))
@@ -38,10 +38,10 @@ def claude_graph(summaries: DataFrame, roles: DataFrame, run_titles: DataFrame)
     legacy = (
         placed.where("role = 'legacy'")
         .select("agent", "path", folder.alias("folder"), "file_session_id")
-        .repartition(parts, *by)
-        .join(owners.repartition(parts, *by).hint("merge"), by)
+        .repartition(parts, *by[1:])
+        .join(owners.repartition(parts, *by[1:]).hint("merge"), by)
         .select("agent", F.col("path").alias("child"), "parent")
-        .repartition(parts, "agent", "child")
+        .repartition(parts, "child")
         .groupBy("agent", "child")
         .agg(F.min("parent").alias("parent"))
         .select("agent", "parent", "child")
@@ -51,7 +51,7 @@ def claude_graph(summaries: DataFrame, roles: DataFrame, run_titles: DataFrame)
     # A group has no file of its own: it spans the earliest start and latest update of its members.
     groups = (
         members.select("agent", "group_dir", "parent_path", "started_at", "started_raw", "updated_at", "updated_raw")
-        .repartition(parts, "agent", "group_dir", "parent_path")
+        .repartition(parts, "group_dir", "parent_path")
         .groupBy("agent", "group_dir", "parent_path")
         .agg(
             F.min(F.struct("started_at", "started_raw")).alias("none_first"),
@@ -83,12 +83,12 @@ def claude_graph(summaries: DataFrame, roles: DataFrame, run_titles: DataFrame)
     )
     grouped = members.select("agent", F.col("group_dir").alias("parent"), F.col("path").alias("child"))
     hung = members.select("agent", F.col("parent_path").alias("parent"), F.col("group_dir").alias("child"))
-    hung = hung.repartition(parts, *hung.columns).distinct()
+    hung = hung.repartition(parts, "parent", "child").distinct()
     edges = direct.unionByName(legacy).unionByName(grouped).unionByName(hung)
     files = _file_nodes(placed)
     # A companion file without its transcript, and a legacy file without its session, hang nowhere.
     known = files.select("agent", F.col("path").alias("parent")).unionByName(groups.select("agent", F.col("node_id").alias("parent")))
-    edges = edges.repartition(parts, "agent", "parent").join(known.repartition(parts, "agent", "parent").hint("merge"), ["agent", "parent"], "left_semi")
+    edges = edges.repartition(parts, "parent").join(known.repartition(parts, "parent").hint("merge"), ["agent", "parent"], "left_semi")
     attached = files.where("role = 'root'").select(*NODE_COLUMNS).unionByName(
         files.where("role <> 'root'")
         .join(edges.select("agent", F.col("child").alias("node_id")).hint("merge"), ["agent", "node_id"], "left_semi")

@@ -33,6 +33,7 @@ def parts_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
     """Partitions that hold about ``rows`` rows of ``df`` each.
 
     Adaptive execution joins partitions up to a size in compressed bytes. Paths and other repetitive texts are many
-    times as large in the sorts of a task, so their shuffles are given a number, which it leaves as it is.
+    times as large in the sorts of a task, so their shuffles are given a number, which it leaves as it is. Name only columns
+    that vary: the optimizer folds a constant one, and the join then shuffles again.
     """
     return math.ceil(df.count() / rows) or 1

@@ -231,7 +231,7 @@ def classify_path(files: DataFrame) -> DataFrame:
     transcript that owns the file, null for legacy files whose owner is found by session id.
     """
     parts = parts_for(files)  # and no broadcasts: sizes are guessed from what the files' table takes on disk
-    files = files.repartition(parts, "agent", "path")
+    files = files.repartition(parts, "path")
     path = F.col("path")
     name = F.substring_index(path, "/", -1)
     owner = F.regexp_extract("path", r"^(.*)/subagents/.*$", 1)
@@ -270,10 +270,10 @@ def classify_path(files: DataFrame) -> DataFrame:
                 )
             ).alias("companion"),
         )
-        .repartition(parts, "agent", "companion")
-        .join(files.select("agent", F.col("path").alias("companion")).repartition(parts, "agent", "companion").hint("merge"), ["agent", "companion"], "left_semi")
+        .repartition(parts, "companion")
+        .join(files.select("agent", F.col("path").alias("companion")).repartition(parts, "companion").hint("merge"), ["agent", "companion"], "left_semi")
         .select("agent", "path")
-        .repartition(parts, "agent", "path")
+        .repartition(parts, "path")
         .distinct()
         .withColumn("owned", F.lit(True))
     )
